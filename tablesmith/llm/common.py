@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,3 +92,25 @@ def classes(links: DataFrame, name: str = "classes", most_rounds: int = 60) -> D
     else:
         raise RuntimeError(f"class ids over links did not settle in {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def with_text(df: DataFrame, added: list[pa.Field], work: Callable[[pa.Array], list[pa.Array]], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``df``'s columns (``keep``: only those) and the ``added`` ones, which ``work`` makes of a run of texts. A clashing column is replaced."""
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    names = [f.name for f in added]
+    stay = [c for c in (df.columns if keep is None else keep) if c not in names]
+    schema = df.select(*(f"`{c}`" for c in stay)).schema
+    for f in added:
+        schema = schema.add(f.name, from_arrow_type(f.type))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(batch.num_columns - 1)
+            _, starts = utf8(text)
+            for i, j in spans_of(starts):
+                new = work(text.slice(i, j - i))
+                old = [batch.column(k).slice(i, j - i) for k in range(len(stay))]
+                yield pa.RecordBatch.from_arrays([*old, *new], [*stay, *names])
+
+    return df.select(*(f"`{c}`" for c in stay), F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
