@@ -13,7 +13,7 @@ from .common import utf8, with_text
 from .pretokens import range_hashes
 
 #: Bounds of the sample that the model is fitted on: labelled documents, and lines of one of them (longer ones are left out of the sample, never out of scoring).
-SAMPLE_DOCS, SAMPLE_LINES = 3000, 1000
+SAMPLE_DOCS, SAMPLE_LINES = 3000, 500
 BLANKS = b" \t\n\r\x0b\x0c"
 GROUPS = (range(0x41, 0x5B), range(0x61, 0x7B), range(0x80, 0x100), range(0x30, 0x3A), BLANKS, b".,;:'-()\"?", b"!", b"|", b"#$%&*@^~<>{}[]\\/_=+`")
 
@@ -140,7 +140,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-(self.slope * np.log(share / (1 - share)) + self.shift)))
 
 
-def train(x: np.ndarray, size: np.ndarray, text: np.ndarray, good: np.ndarray, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-3) -> QualityModel:
+def train(x: np.ndarray, size: np.ndarray, text: np.ndarray, good: np.ndarray, rounds: int = 200, rate: float = 0.3, ridge: float = 1e-5) -> QualityModel:
     """Maximum likelihood by Adam over all sampled texts; a line is labelled as its document is. Then a logistic curve over document shares calibrates the score."""
     y = good[text].astype(float)
     weights, steps = np.zeros(x.shape[1]), np.zeros((2, 2))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, packing, quality
+from . import bpe, language, packing, quality, secrets
 from .common import held_out, read
 
 
@@ -32,6 +32,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json")))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+    counts = {f"n_{k}": secrets.number(F.col("secrets"), k) for k in secrets.KINDS}
+    base = secrets.listed(F.filter("secrets", lambda s: s["kind"] != "entropy"))
+    return out.select("doc_id", *(c.alias(k) for k, c in counts.items()), F.sha2(base, 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language.fit(docs.where(~held_out("doc_id")))
@@ -39,7 +46,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op5_byte_bpe, op7_packing, op10_language)}
+    return {f.__name__: f for f in (op1_quality, op5_byte_bpe, op7_packing, op9_secrets, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
