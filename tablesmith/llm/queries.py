@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, packing, quality, secrets
+from . import bpe, language, packing, pii, quality, secrets, urls
 from .common import held_out, read
 
 
@@ -23,6 +23,25 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, keep=["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+# The rules of op2.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    out = pii.find(docs, pii.fit(docs), keep=["doc_id"])
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def _of_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_multi_50k.tiktoken"), decode=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -46,7 +65,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op5_byte_bpe, op7_packing, op9_secrets, op10_language)}
+    return {f.__name__: f for f in (op1_quality, op2_urls, op3_pii, op5_byte_bpe, op7_packing, op9_secrets, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
