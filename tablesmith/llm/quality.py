@@ -165,14 +165,15 @@ def train(x: np.ndarray, size: np.ndarray, text: np.ndarray, good: np.ndarray, r
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> QualityModel:
-    """Learns from at most ``sample_docs`` labelled documents of at most SAMPLE_LINES lines, those of least hashed id.
+    """Learns from at most ``sample_docs`` labels, those of least hashed id, and their documents of at most SAMPLE_LINES lines.
 
     Labels other than 0 and 1, null labels and ids without a document are left out. With no label, or only one, the
     model gives every text the smoothed share of good ones.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).cast("int").alias("__good"))
-    some = docs.join(known, id_col).where(F.length(F.coalesce(text_col, F.lit(""))) - F.length(F.replace(F.coalesce(text_col, F.lit("")), F.lit("\n"), F.lit(""))) < SAMPLE_LINES)
-    some = some.select("__good", text_col, F.xxhash64(id_col).alias("__order")).orderBy("__order").limit(sample_docs)
+    known = F.broadcast(known.orderBy(F.xxhash64(id_col), id_col).limit(sample_docs))  # bounded, so texts need no shuffle
+    breaks = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
+    some = docs.join(known, id_col).where(F.coalesce(breaks, F.lit(0)) < SAMPLE_LINES).select("__good", text_col)
 
     def work(text: pa.Array) -> list[pa.Array]:
         x, size, owner = features(*utf8(text))
@@ -180,6 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return [pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([size[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())]
 
     rows = with_text(some, [pa.field("__x", pa.binary()), pa.field("__size", pa.binary())], work, text_col, ["__good"]).collect()
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))  # tasks may return them in any order
     good = np.array([r[0] for r in rows], float)
     if len(set(good)) < 2:
         return QualityModel(None, None, prior=float((good.sum() + 1) / (len(good) + 2)))

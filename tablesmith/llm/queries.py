@@ -19,7 +19,7 @@ def vocabulary(name: str) -> str:
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    model = quality.fit(docs.where(~held_out("doc_id")), read(spark, sf_dir, "labels", "doc_id", "quality"))
+    model = quality.fit(docs.where(~held_out("doc_id")), read(spark, sf_dir, "labels", "doc_id", "quality").where(~held_out("doc_id")))
     return quality.score(docs, model, keep=["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
