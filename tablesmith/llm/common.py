@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at a time; numpy's temporaries are a small multiple of it.
 CHUNK_BYTES = 2_000_000
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -34,9 +35,24 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def durable(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors, and is computed once however often it is used."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")  # nothing reads this query's shuffle files after its table is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sampled(df: DataFrame, id_col: str, limit: int, total: int | None = None) -> DataFrame:
+    """At most ``limit`` rows, those of least hashed id (all ties of an id alike). ``total``, at least the number of rows, lets all but about twice the limit go before anything is sorted."""
+    total = df.count() if total is None else total
+    order = F.xxhash64(id_col)
+    if total > 2 * limit:
+        df = df.where(order < int(-(2**63) + 2**64 * min(1.0, (2 * limit + 200) / total)))
+    return df.orderBy(order, id_col).limit(limit)
 
 
 def held_out(doc_id: Column | str) -> Column:

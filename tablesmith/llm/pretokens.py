@@ -75,6 +75,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_ranges(blank: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, text) of the runs that are not blank; starts: the len + 1 places where the texts begin."""
+    if not len(blank):
+        return (np.zeros(0, np.int64),) * 3
+    new = np.zeros(len(blank) + 1, bool)
+    new[starts] = True
+    solid = ~blank
+    begin = np.flatnonzero(solid & (new[:-1] | np.concatenate([[True], blank[:-1]])))
+    end = np.flatnonzero(solid & (new[1:] | np.concatenate([blank[1:], [True]]))) + 1
+    return begin, end, np.searchsorted(starts, begin, side="right") - 1
+
+
 class Encoder:
     """Encodes texts through ``encode``, which gets the distinct pieces not met before and returns their ids.
 

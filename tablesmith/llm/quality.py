@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import utf8, with_text
-from .pretokens import range_hashes
+from .pretokens import range_hashes, word_ranges
 
 #: Bounds of the sample that the model is fitted on: labelled documents, and lines of one of them (longer ones are left out of the sample, never out of scoring).
 SAMPLE_DOCS, SAMPLE_LINES = 3000, 500
@@ -48,15 +48,13 @@ def features(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     upper, lower, high, digit, blank, mark, shout, bar, sign = (counted(kind == k) for k in range(1, len(GROUPS) + 1))
     spaces = kind == GROUPS.index(BLANKS) + 1
     # words, and words that repeat the one before them in the line
-    edge = np.diff(np.concatenate([[True], spaces, [True]]).astype(np.int8))
-    first, past = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    crossing = np.searchsorted(starts, first, side="right") != np.searchsorted(starts, past - 1, side="right")
+    first, past, owner = word_ranges(spaces, starts)
     word = range_hashes(flat, first, past) if len(first) else np.zeros(0, np.uint64)
     begins = np.zeros(len(flat), np.int32)
     begins[first] = 1
     again = np.zeros(len(flat), np.int32)
     if len(first) > 1:
-        near = (word[1:] == word[:-1]) & ~crossing[1:] & ~crossing[:-1]
+        near = (word[1:] == word[:-1]) & (owner[1:] == owner[:-1])
         again[first[1:][near]] = 1
     words = np.maximum(counted(begins), 1)
     whole = range_hashes(flat, begin, end) if len(flat) else np.zeros(len(begin), np.uint64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, packing, pii, quality, secrets, urls
+from . import bpe, language, packing, pii, quality, secrets, simjoin, urls
 from .common import held_out, read
 
 
@@ -42,6 +42,10 @@ def _of_kind(kind: str) -> Callable[[Column], Column]:
     return lambda s: s["kind"] == kind
 
 
+def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simjoin.similar(read(spark, sf_dir, "documents", "doc_id", "text"), n=4, percent=85)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_multi_50k.tiktoken"), decode=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -65,7 +69,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_urls, op3_pii, op5_byte_bpe, op7_packing, op9_secrets, op10_language)}
+    return {f.__name__: f for f in (op1_quality, op2_urls, op3_pii, op4_parity_join, op5_byte_bpe, op7_packing, op9_secrets, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
