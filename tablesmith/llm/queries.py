@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, packing, pii, quality, secrets, simjoin, urls
+from . import bpe, language, packing, pii, quality, secrets, simjoin, urls, vectors
 from .common import held_out, read
 
 
@@ -51,10 +51,18 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), 0.95)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json")))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
     counts = {f"n_{k}": secrets.number(F.col("secrets"), k) for k in secrets.KINDS}
@@ -69,7 +77,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_urls, op3_pii, op4_parity_join, op5_byte_bpe, op7_packing, op9_secrets, op10_language)}
+    return {f.__name__: f for f in (op1_quality, op2_urls, op3_pii, op4_parity_join, op5_byte_bpe, op6_vector_dedup, op7_packing, op8_nearest, op9_secrets, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
