@@ -117,16 +117,18 @@ def with_text(df: DataFrame, added: list[pa.Field], work: Callable[[pa.Array], l
     names = [f.name for f in added]
     stay = [c for c in (df.columns if keep is None else keep) if c not in names]
     schema = df.select(*(f"`{c}`" for c in stay)).schema
+    at = stay.index(text_col) if text_col in stay and schema[text_col].dataType.simpleString() == "string" else len(stay)
     for f in added:
         schema = schema.add(f.name, from_arrow_type(f.type))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
+            text = batch.column(at)
             _, starts = utf8(text)
             for i, j in spans_of(starts):
                 new = work(text.slice(i, j - i))
                 old = [batch.column(k).slice(i, j - i) for k in range(len(stay))]
                 yield pa.RecordBatch.from_arrays([*old, *new], [*stay, *names])
 
-    return df.select(*(f"`{c}`" for c in stay), F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    text = [] if at < len(stay) else [F.col(f"`{text_col}`").cast("string").alias("__text")]
+    return df.select(*(f"`{c}`" for c in stay), *text).mapInArrow(run, schema)

@@ -123,7 +123,13 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 12, rate
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> LanguageModel | None:
     """Learns from at most ``per_lang`` documents of each language. Rows without a language or a letter teach nothing; without any row there is no model (None)."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    known = docs.where(F.col(lang_col).isNotNull())
+    # before anything is ranked, hashes alone let go of all but about twice the bound of each language
+    order, cut = F.xxhash64(id_col), F.lit(False)
+    for row in known.groupBy(lang_col).count().collect():
+        share = (2 * per_lang + 200) / row["count"]
+        cut = cut | (F.col(lang_col) == row[0]) & (F.lit(True) if share >= 1 else order < int(-(2**63) + 2**64 * share))
+    known = known.where(cut).where(F.col(text_col).rlike(r"\p{L}"))
     few = known.select(lang_col, text_col, F.row_number().over(W.partitionBy(lang_col).orderBy(F.xxhash64(id_col))).alias("__rank")).where(F.col("__rank") <= per_lang)
 
     def work(text: pa.Array) -> list[pa.Array]:
@@ -138,11 +144,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(x, np.array([langs.index(r[0]) for r in rows]), langs)
 
 
-def identify(df: DataFrame, model: LanguageModel | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(df: DataFrame, model: LanguageModel | None, text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Adds lang_pred, score and rejected for every row's whole text.
 
     A text that is null or has no letter is ``und`` with score 0; so is every text without a model. Ties go to the
-    language that sorts first. Columns of these names are replaced.
+    language that sorts first. Columns of these names, ``prefix`` before them, are replaced.
     """
 
     def work(text: pa.Array) -> list[pa.Array]:
@@ -160,4 +166,4 @@ def identify(df: DataFrame, model: LanguageModel | None, text_col: str = "text",
         lang = pc.if_else(pa.array(letter), pa.array(model.langs, pa.string()).take(pa.array(best)), pa.scalar("und"))
         return [lang, pa.array(score, pa.float64()), pa.array(~letter | (score < model.least))]
 
-    return with_text(df, [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64()), pa.field("rejected", pa.bool_())], work, text_col, keep)
+    return with_text(df, [pa.field(f"{prefix}lang_pred", pa.string()), pa.field(f"{prefix}score", pa.float64()), pa.field(f"{prefix}rejected", pa.bool_())], work, text_col, keep)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, with_text
+from .common import sampled, utf8, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 # The base forms. A digit run is tried from its beginning only, which finds the same matches in linear time.
@@ -318,8 +318,8 @@ def train(code: np.ndarray, tag: np.ndarray, epochs: int = 4, batch: int = 48, r
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> Tagger:
     """Trains on at most ``sample`` documents with a digit or an at sign and at most SAMPLE_CHARS characters, those of least hashed id; without any, on invented passages alone."""
-    few = docs.where(F.col(text_col).rlike("[0-9@]") & (F.length(text_col) <= SAMPLE_CHARS)).orderBy(F.xxhash64(id_col), text_col).limit(sample)
-    return train(*examples([r[0] for r in few.select(text_col).collect()]))
+    some = docs.select(id_col, text_col).where(F.col(text_col).rlike("[0-9@]") & (F.length(text_col) <= SAMPLE_CHARS))
+    return train(*examples([r[1] for r in sampled(some, id_col, sample).collect()]))
 
 
 def network_spans(net: Tagger, texts: list[str], most: int = 2048) -> list[list[tuple[str, int, int]]]:

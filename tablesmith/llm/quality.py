@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, with_text
+from .common import sampled, utf8, with_text
 from .pretokens import range_hashes, word_ranges
 
 #: Bounds of the sample that the model is fitted on: labelled documents, and lines of one of them (longer ones are left out of the sample, never out of scoring).
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model gives every text the smoothed share of good ones.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).cast("int").alias("__good"))
-    known = F.broadcast(known.orderBy(F.xxhash64(id_col), id_col).limit(sample_docs))  # bounded, so texts need no shuffle
+    known = F.broadcast(sampled(known, id_col, sample_docs))  # bounded, so texts need no shuffle
     breaks = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
     some = docs.join(known, id_col).where(F.coalesce(breaks, F.lit(0)) < SAMPLE_LINES).select("__good", text_col)
 
@@ -189,11 +189,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(x.astype(float), np.concatenate(size), text, good)
 
 
-def score(df: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds score (0 to 1, higher is better) and predicted (1 from 0.5 on) for every row's whole text. Null and empty texts count as one empty line; columns of these names are replaced."""
+def score(df: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """Adds score (0 to 1, higher is better) and predicted (1 from 0.5 on) for every row's whole text. Null and empty texts count as one empty line; columns of these names, ``prefix`` before them, are replaced."""
 
     def work(text: pa.Array) -> list[pa.Array]:
         found = model.scores(*utf8(text))
         return [pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32), pa.int32())]
 
-    return with_text(df, [pa.field("score", pa.float64()), pa.field("predicted", pa.int32())], work, text_col, keep)
+    return with_text(df, [pa.field(f"{prefix}score", pa.float64()), pa.field(f"{prefix}predicted", pa.int32())], work, text_col, keep)

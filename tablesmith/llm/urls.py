@@ -8,11 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, sampled
 
 #: Bound of the sample that trees are fitted on: labelled URLs, those of least hashed text.
 SAMPLE_URLS = 20_000
 BINS, DEPTH, ROUNDS, RATE, RIDGE = 16, 3, 12, 0.4, 1.0
+#: URLs that a suffix needs in the sample to have a rate of its own: at most SAMPLE_URLS / LEAST suffixes have one.
+LEAST = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,7 +73,7 @@ def suffix_of(host: Column) -> Column:
 
 @dataclass
 class UrlModel:
-    """trees: nested (feature, cut, low, high) or leaves; rates: the share of blocked URLs by suffix, at most as many as sampled URLs; without labels ``base`` is None and all is allowed."""
+    """trees: nested (feature, cut, low, high) or leaves; rates: the share of blocked URLs by suffix, at most SAMPLE_URLS / LEAST of them; without labels ``base`` is None and all is allowed."""
 
     base: float | None = None
     trees: list = field(default_factory=list)
@@ -108,14 +110,14 @@ def fit(urls: DataFrame, url_col: str = "url", action_col: str = "action", sampl
     url = F.col(url_col)
     host, path = host_of(url), path_of(url)
     known = urls.where(F.col(action_col).isin("block", "allow")).select(url, (F.col(action_col) == "block").cast("double").alias("y"))
-    few = durable(known.orderBy(F.xxhash64(url_col), url_col, "y").limit(sample).select("y", host.alias("host"), *(c.alias(k) for k, c in lexical(url, host, path).items())), "urls").coalesce(1)
+    few = durable(sampled(known, url_col, sample).select("y", host.alias("host"), *(c.alias(k) for k, c in lexical(url, host, path).items())), "urls").coalesce(1)
     total = few.agg(F.count("*").alias("n"), F.sum("y").alias("s")).first()
     if not total["n"]:
         return UrlModel()
     prior = (total["s"] + 1) / (total["n"] + 2)
     model = UrlModel(base=math.log(prior / (1 - prior)), prior=prior)
     by_suffix = few.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count("*").alias("n"), F.sum("y").alias("s")).collect()
-    model.rates = {r["suffix"]: (r["s"] + 10 * prior) / (r["n"] + 10) for r in by_suffix}
+    model.rates = {r["suffix"]: (r["s"] + 10 * prior) / (r["n"] + 10) for r in by_suffix if r["n"] >= LEAST}
     names = [c for c in few.columns if c not in ("y", "host")]
     names.append("suffix_rate")
     few = few.withColumn("suffix_rate", model.suffix_rate(F.col("host")))
