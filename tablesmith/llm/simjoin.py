@@ -111,6 +111,21 @@ def sketch_keys(grams: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.nda
     return np.concatenate(out)
 
 
+def bit_sketch(grams: np.ndarray) -> bytes:
+    """The parity of the n-grams by bit, in a power of two of bits, at least twice as many as n-grams: half the bits are the exclusive or of both halves."""
+    width = max(64, 1 << int(2 * len(grams) - 1).bit_length())
+    bits = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def distance(x: bytes, y: bytes) -> int:
+    """The Hamming distance of two sketches, the wider one folded to the width of the other."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> DataFrame:
     """(id, n_shingles, component_id) for every row: documents link when 100 * intersection >= percent * union of their sets of word n-grams.
 
@@ -169,9 +184,15 @@ def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
             flat, starts = utf8(batch.column(1))
             for i, j in spans_of(starts):
                 sets = shingle_sets(flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i], n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(list(map(len, sets)), pa.int64()), pa.array([bit_sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "size", "bits", "grams"])
 
-    sets = durable(docs.join(wanted, "id", "left_semi").mapInArrow(whole, f"id {kind}, grams binary").where("length(grams) > 0").distinct(), "sets")
+    sets = durable(docs.join(wanted, "id", "left_semi").mapInArrow(whole, f"id {kind}, size bigint, bits binary, grams binary").where("size > 0"), "sets")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
+            keep = [distance(x, y) * (100 + percent) <= (100 - percent) * (m + n) for m, n, x, y in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,14 +208,16 @@ def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    size_of = F.length("grams")
+    def beside(some: DataFrame, *columns: str) -> DataFrame:
+        """The pairs (a, b) with these columns of both their sets."""
+        left, right = (sets.select(F.col("id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in columns)) for c in ("a", "b"))
+        return some.join(left, "a").join(right, "b").select("a", "b", *(f"{c}_{x}" for x in columns for c in ("a", "b")))
 
     def linked(some: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link."""
-        sized = sets.select("id", "grams", size_of.alias("size"))
-        left, right = (sized.select(F.col("id").alias(c), F.col("grams").alias(f"{c}_grams"), F.col("size").alias(f"{c}_size")) for c in ("a", "b"))
-        both = some.join(left, "a").join(right, "b").where(f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)")
-        return both.select("a", "b", "a_grams", "b_grams").mapInArrow(verify, f"a {kind}, b {kind}")
+        """Those of the pairs (a, b) that link: by size, by the distance of their sketches, then by their whole sets."""
+        sized = beside(some, "size", "bits").where(f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)")
+        close = durable(sized.mapInArrow(near, f"a {kind}, b {kind}").distinct(), "close")
+        return beside(close, "grams").mapInArrow(verify, f"a {kind}, b {kind}").distinct()
 
     # each document with the leader that it shares most chunks with, then with its other leaders unless they are in one class by then
     best = pairs.groupBy("id").agg(F.max_by("lead", F.struct("times", F.xxhash64("lead"))).alias("lead"))
