@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Private-use glyphs of symbol fonts, and what they stand for.
 SYMBOLS = ("", "µ°")
@@ -21,6 +22,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(x: Column | str) -> Column:
+    """The same value under a condition that always holds but does not count as deterministic: the optimizer then computes it in one place instead of repeating it wherever it is used or filtered on."""
+    return F.when(F.spark_partition_id() >= 0, col(x))
+
+
 def strip(x: Column | str) -> Column:
     """Without white space, in Unicode's sense, at both ends."""
     return F.regexp_replace(col(x), EDGES, "")
@@ -88,7 +94,7 @@ def loose_text(x: Column | str) -> Column:
     return strip(F.array_join(lines, "\n"))
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def compact_grid(grids: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Every cell in NFKC, lower case, with only digits, a-z, CJK and Hangul left. Spark has no normalization function; each distinct cell of a batch is done once."""
     import re

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.text import normalize_cell
+from ..functions.text import normalize_cell, once
 
 #: What counts as a letter or digit, superscripts and circled digits among them.
 TEXTUAL = r"[\p{L}\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐]"
@@ -19,10 +19,10 @@ LONG, EMPTY = 25, -1e9
 def grids(cells: DataFrame) -> DataFrame:
     """(doc_id, engine, page, table_index, grid) from one row a cell; holes are null. One exchange on the table's key."""
     row = F.array_sort(F.collect_list(F.struct("row_index", "col_index", "value")))
-    tables = cells.groupBy("doc_id", "engine", "page", "table_index").agg(row.alias("cells"), F.max("row_index").alias("last"), F.max("col_index").alias("wide"))
-    placed = F.map_from_entries(F.transform("cells", lambda c: F.struct(F.struct(c["row_index"], c["col_index"]), c["value"])))
-    tables = tables.withColumn("placed", placed)
-    grid = F.transform(F.sequence(F.lit(0), F.col("last")), lambda r: F.transform(F.sequence(F.lit(0), F.col("wide")), lambda c: F.try_element_at("placed", F.struct(r, c))))
+    tables = cells.groupBy("doc_id", "engine", "page", "table_index").agg(row.alias("cells"), F.max("row_index").alias("last"), F.max("col_index").cast("long").alias("wide"))
+    place = F.transform("cells", lambda c: F.struct((c["row_index"].cast("long") * (F.col("wide") + 1) + c["col_index"]).alias("at"), c["value"].alias("value")))
+    tables = tables.withColumn("placed", F.map_from_entries(place))
+    grid = F.transform(F.sequence(F.lit(0), F.col("last")), lambda r: F.transform(F.sequence(F.lit(0), F.col("wide")), lambda c: F.try_element_at("placed", r.cast("long") * (F.col("wide") + 1) + c)))
     return tables.select("doc_id", "engine", "page", "table_index", grid.alias("grid"))
 
 
@@ -31,10 +31,10 @@ def clean(df: DataFrame, config: Config = Config(), grid: str = "grid") -> DataF
     wide = F.array_max(F.transform(grid, F.size))
     cells = F.transform(grid, lambda row: F.transform(F.sequence(F.lit(1), F.col("__wide")), lambda c: normalize_cell(F.get(row, c - 1), config.flatten_newlines, config.fix_superscript)))
     out = df.withColumn("__wide", F.coalesce(wide, F.lit(0)))
-    out = out.withColumn(grid, F.when(F.col("__wide") > 0, F.filter(cells, lambda row: F.exists(row, lambda c: c != ""))).otherwise(F.array().cast("array<array<string>>")))
+    out = out.withColumn(grid, once(F.when(F.col("__wide") > 0, F.filter(cells, lambda row: F.exists(row, lambda c: c != ""))).otherwise(F.array().cast("array<array<string>>"))))
     kept = F.filter(F.sequence(F.lit(0), F.greatest(F.col("__wide") - 1, F.lit(0))), lambda c: F.exists(grid, lambda row: F.get(row, c) != ""))
-    out = out.withColumn("__kept", kept)
-    out = out.withColumn(grid, F.transform(grid, lambda row: F.transform("__kept", lambda c: F.get(row, c))))
+    out = out.withColumn("__kept", once(kept))
+    out = out.withColumn(grid, once(F.transform(grid, lambda row: F.transform("__kept", lambda c: F.get(row, c)))))
     return out.withColumns({"n_rows": F.size(grid), "n_cols": F.when(F.size(grid) > 0, F.size("__kept")).otherwise(0)}).drop("__wide", "__kept")
 
 
@@ -58,7 +58,7 @@ def score(df: DataFrame, grid: str = "grid") -> DataFrame:
     total = sum((F.col(f"__{k}") * WEIGHTS[k] for k in ("fill", "text", "long", "lines", "stable")), F.lit(0.0)) + F.log1p("__all") * WEIGHTS["size"] + tiny * WEIGHTS["tiny"]
     empty = F.col("__all") == 0
     details = F.format_string("r=%d,c=%d,fill=%.2f,text=%.2f,multi=%.2f,stable=%.2f,score=%.2f", "n_rows", "n_cols", "__fill", "__text", "__lines", "__stable", "score")
-    out = out.withColumn("score", F.when(empty, F.lit(EMPTY)).otherwise(total)).withColumn("details", F.when(empty, F.lit("empty")).otherwise(details))
+    out = out.withColumn("score", once(F.when(empty, F.lit(EMPTY)).otherwise(total))).withColumn("details", F.when(empty, F.lit("empty")).otherwise(details))
     return out.drop("__flat", "__rows", "__all", "__mean", "__stable", *(f"__{k}" for k in share))
 
 
@@ -84,11 +84,14 @@ def deduplicate(candidates: DataFrame) -> DataFrame:
 
 
 def select(tables: DataFrame, config: Config = Config()) -> DataFrame:
-    """Tables (with arrival_seq) cleaned, scored, deduplicated, held to the least score, and numbered by seq within their document."""
+    """Tables (with arrival_seq) cleaned, scored, deduplicated, numbered by seq in the order of their document, and held to the least score.
+
+    The numbering comes before the filter: a filter right on the score would be pushed below its computation and repeat it.
+    """
     found = score(clean(tables, config))
     found = deduplicate(found) if config.dedup else found
-    found = found.where((F.col("score") >= config.min_score) & (F.col("n_rows") > 0) & (F.col("n_cols") > 0))
-    return found.withColumn("seq", F.row_number().over(W.partitionBy("doc_id").orderBy(*in_order())))
+    found = found.withColumn("seq", F.row_number().over(W.partitionBy("doc_id").orderBy(*in_order())))
+    return found.where((F.col("score") >= config.min_score) & (F.col("n_rows") > 0) & (F.col("n_cols") > 0))
 
 
 def best_tables(candidates: DataFrame, n: int = 5) -> DataFrame:

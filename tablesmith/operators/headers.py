@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MARKS, STANDARDS, compact_grid, match_key
+from ..functions.text import MARKS, STANDARDS, compact_grid, match_key, once
 
 # Header hints by field, in order.
 LOOSE = (
@@ -171,7 +171,7 @@ def six_window(row: Column) -> Column:
 def describe(candidates: DataFrame, templates: bool = True) -> DataFrame:
     """Adds kind, has_marker, loose, ordered and best (ordered, else strict) headers to candidates, and with ``templates`` their compact cells: each is computed once and read by all phases."""
     text = F.array_join(F.flatten("grid"), " ")
-    out = candidates.withColumns({"norms": F.transform(F.slice("grid", 1, ORDERED_ROWS), lambda r: F.transform(r, match_key)), "__text": text})
-    out = out.withColumns({"kind": kind_of(match_key("__text")), "has_marker": F.col("__text").rlike(r"(?iU)\btable\s*:"), "loose": loose_header(F.col("norms")), "ordered": ordered_header(F.col("norms")), "strict": strict_header(F.col("norms"))})
-    out = out.withColumn("best", F.coalesce("ordered", "strict")).drop("__text", "norms", "strict")
+    out = candidates.withColumns({"norms": once(F.transform(F.slice("grid", 1, ORDERED_ROWS), lambda r: F.transform(r, match_key))), "__text": once(text)})
+    out = out.withColumns({"__key": once(match_key("__text")), "has_marker": F.col("__text").rlike(r"(?iU)\btable\s*:"), "loose": once(loose_header(F.col("norms"))), "ordered": once(ordered_header(F.col("norms"))), "strict": once(strict_header(F.col("norms")))})
+    out = out.withColumns({"kind": kind_of(F.col("__key")), "best": F.coalesce("ordered", "strict")}).drop("__text", "__key", "norms", "strict")
     return out.withColumn("compacts", compact_grid("grid")) if templates else out

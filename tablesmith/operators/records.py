@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import MARKS, STANDARDS, match_key, normalize_cell, strip, technical_units
+from ..functions.text import MARKS, STANDARDS, match_key, normalize_cell, once, strip, technical_units
 from ..schemas import TARGET_FIELDS
 from .headers import six_window
 
@@ -122,7 +122,7 @@ def window_records(grid: Column) -> Column:
 
 def exploded(tables: DataFrame, records: str = "records") -> DataFrame:
     """One row a record with the target columns, doc_id and phase, seq and ord kept for ordering."""
-    out = tables.select("doc_id", "phase", "seq", "page", "table_index", "engine", F.posexplode(records).alias("at", "r"))
+    out = tables.withColumn("__r", once(records)).select("doc_id", "phase", "seq", "page", "table_index", "engine", F.posexplode("__r").alias("at", "r"))
     fields = [F.get("r.f", F.lit(k)).alias(name) for k, name in enumerate(TARGET_FIELDS)]
     return out.select(
         "doc_id", "phase", F.struct("seq", "at").alias("ord"), "page", F.col("table_index").alias("table_index_on_page"), F.col("r.row").alias("row_index_on_table"), "engine", "r.row_type", "r.section_title", "r.product_model", *fields

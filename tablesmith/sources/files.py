@@ -16,7 +16,7 @@ from ..schemas import CELLS, PAGE_TEXT, SHEET_ROWS
 
 PDF_GLOB = "*.[pP][dD][fF]"
 # Tolerances of the line-based table search.
-LINE_SETTINGS = {"vertical_strategy": "lines", "horizontal_strategy": "lines", "snap_tolerance": 3, "join_tolerance": 3, "edge_min_length": 3, "min_words_vertical": 1, "min_words_horizontal": 1, "intersection_tolerance": 5, "text_tolerance": 2}
+LINE_SETTINGS = {"vertical_strategy": "lines", "horizontal_strategy": "lines", "snap_tolerance": 3, "join_tolerance": 3, "edge_min_length": 20, "min_words_vertical": 1, "min_words_horizontal": 1, "intersection_tolerance": 3, "text_tolerance": 3}
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
