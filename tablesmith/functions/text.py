@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,6 +27,11 @@ def once(x: Column | str) -> Column:
     return F.when(F.spark_partition_id() >= 0, col(x))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def strip(x: Column | str) -> Column:
     """Without white space, in Unicode's sense, at both ends."""
     return F.regexp_replace(col(x), EDGES, "")

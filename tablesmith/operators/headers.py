@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MARKS, STANDARDS, compact_grid, match_key, once
+from ..functions.text import MARKS, STANDARDS, compact_grid, let, match_key, once
 
 # Header hints by field, in order.
 LOOSE = (
@@ -57,7 +57,7 @@ def greedy(norms: Column, hints: Sequence[Sequence[str]]) -> Column:
         field = F.lit(None).cast("int")
         for k in reversed(range(len(hints))):
             field = F.when((taken[k] == -1) & any_of(cell["norm"], hints[k]), k).otherwise(field)
-        return F.transform(taken, lambda c, k: F.when(k == field, cell["at"]).otherwise(c))
+        return let(field, lambda at: F.when(at.isNull(), taken).otherwise(F.transform(taken, lambda c, k: F.when(k == at, cell["at"]).otherwise(c))))
 
     cells = F.transform(norms, lambda n, i: F.struct(n.alias("norm"), i.alias("at")))
     return F.aggregate(cells, F.array_repeat(F.lit(-1), len(hints)), step)
@@ -82,14 +82,14 @@ def loose_header(norms: Column) -> Column:
     """The row, of the first six, with most fields; at least four. The first of equals."""
     rows = F.transform(F.slice(norms, 1, LOOSE_ROWS), lambda r, i: F.struct(greedy(r, LOOSE).alias("mapping"), i.alias("at")))
     best = F.array_max(F.transform(rows, lambda r: F.struct(taken(r["mapping"]).alias("n"), (-r["at"]).alias("back"), r["mapping"].alias("mapping"))))
-    return F.when(best["n"] >= LEAST_LOOSE, F.struct((1 - best["back"]).cast("int").alias("start_row"), best["mapping"].alias("mapping")))
+    return let(best, lambda b: F.when(b["n"] >= LEAST_LOOSE, F.struct((1 - b["back"]).cast("int").alias("start_row"), b["mapping"].alias("mapping"))))
 
 
 def strict_header(norms: Column) -> Column:
     """As the loose one with stricter hints, over rows alone and joined with the next; five fields at least, the object among them."""
     rows = F.transform(tries(norms, STRICT_ROWS), lambda t: F.struct(greedy(t["norms"], STRICT).alias("mapping"), t["order"].alias("order"), t["start_row"].alias("start_row")))
     best = F.array_max(F.transform(rows, lambda r: F.struct(taken(r["mapping"]).alias("n"), (-r["order"]).alias("back"), r["start_row"].alias("start_row"), r["mapping"].alias("mapping"))))
-    return F.when((best["n"] >= LEAST_STRICT) & (best["mapping"][0] >= 0), F.struct(best["start_row"].cast("int").alias("start_row"), best["mapping"].alias("mapping")))
+    return let(best, lambda b: F.when((b["n"] >= LEAST_STRICT) & (b["mapping"][0] >= 0), F.struct(b["start_row"].cast("int").alias("start_row"), b["mapping"].alias("mapping"))))
 
 
 def field_tests(norm: Column) -> Column:
@@ -165,7 +165,7 @@ def six_window(row: Column) -> Column:
 
     places = F.sequence(F.lit(0), F.greatest(F.size(row) - 6, F.lit(0)))
     best = F.array_max(F.transform(places, lambda s: F.struct(points(s).alias("points"), (-s).alias("back"))))
-    return F.when((F.size(row) >= 6) & (best["points"] >= 6), (-best["back"]).cast("int"))
+    return let(best, lambda b: F.when((F.size(row) >= 6) & (b["points"] >= 6), (-b["back"]).cast("int")))
 
 
 def describe(candidates: DataFrame, templates: bool = True) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import MARKS, STANDARDS, match_key, normalize_cell, once, strip, technical_units
+from ..functions.text import MARKS, STANDARDS, let, match_key, normalize_cell, once, strip, technical_units
 from ..schemas import TARGET_FIELDS
 from .headers import six_window
 
@@ -32,11 +32,15 @@ def as_record(row: Column, row_type: Column, title: Column, f: Column, model: Co
 def section_title(row: Column) -> Column:
     """The only non-empty cell of a row when it reads like a title, else null."""
     some = F.filter(F.transform(row, strip), lambda c: c != "")
-    title = F.get(some, F.lit(0))
-    key = match_key(title)
-    header = key.contains("object") & key.contains("part") & (key.contains("no") | key.contains("number"))
-    fits = (F.size(some) == 1) & (key != "") & ~key.isin(ALTERNATIVE, "componentsinformation") & ~header & (title.rlike(SECTION) | title.rlike(SECTION_MODEL))
-    return F.when(fits, title)
+
+    def titled(title: Column) -> Column:
+        def fits(key: Column) -> Column:
+            header = key.contains("object") & key.contains("part") & (key.contains("no") | key.contains("number"))
+            return (key != "") & ~key.isin(ALTERNATIVE, "componentsinformation") & ~header & (title.rlike(SECTION) | title.rlike(SECTION_MODEL))
+
+        return F.when(let(match_key(title), fits), title)
+
+    return let(some, lambda cells: F.when(F.size(cells) == 1, let(F.get(cells, F.lit(0)), titled)))
 
 
 def valid(f: Column) -> Column:
@@ -46,15 +50,18 @@ def valid(f: Column) -> Column:
 
 def noise(f: Column) -> Column:
     """Remarks, the table's own title, repeated headers and their stray second lines."""
-    at = lambda k: strip(F.get(f, F.lit(k)))
-    name = F.lower(at(0))
-    rest = (at(1) == "") & (at(2) == "") & (at(3) == "") & (at(4) == "")
-    return (
-        F.startswith(name, F.lit("remark"))
-        | name.contains("table:") & name.contains("components information")
-        | name.contains("object") & name.contains("part") & (name.contains("no") | name.contains("number"))
-        | match_key(name).isin("no", "number") & (match_key(at(5)).contains("conformity") | rest)
-    )
+    def test(v: Column) -> Column:
+        at = lambda k: F.get(v, F.lit(k))
+        name = at(0)
+        rest = (at(1) == "") & (at(2) == "") & (at(3) == "") & (at(4) == "")
+        return (
+            F.startswith(name, F.lit("remark"))
+            | name.contains("table:") & name.contains("components information")
+            | name.contains("object") & name.contains("part") & (name.contains("no") | name.contains("number"))
+            | match_key(name).isin("no", "number") & (match_key(at(5)).contains("conformity") | rest)
+        )
+
+    return let(F.transform(f, lambda v: F.lower(strip(v))), test)
 
 
 def projected(grid: Column, mapping: Column, start_row: Column, strict: bool) -> Column:
