@@ -6,10 +6,10 @@ cut into d + 1 + e chunks: at least e + 1 of them are then equal for a linked pa
 linear over its bits (the exclusive or of a random number for each bit set), and documents that share a chunk of the
 same band are candidates, which are verified on the whole sets.
 
-Two things keep chunks from being shared by chance, neither of which can lose a link. Chunks with fewer than two n-grams
-are skipped by documents that have at most e of them: of a pair's e + 1 equal chunks one is then left. And n-grams that
+Two things keep chunks from being shared by chance, neither of which can lose a link. Empty chunks are skipped by
+documents that have at most e of them: of a pair's e + 1 equal chunks one is then left. And n-grams that
 are frequent in a sample do not enter the sketch at all, which only makes the symmetric difference smaller; documents
-made up of little else use the full sketch as well.
+made up of little else use the full sketch as well, by the same rule.
 
 Pairs are not enumerated within a group of alike documents: a bucket's documents are compared with its first one, then
 only documents that are not yet in one class are.
@@ -80,7 +80,7 @@ class Bands:
     def cut(self, band: int) -> tuple[int, int]:
         """(chunks, spare chunks) of a band."""
         difference = 2 * self.tops[band] * (100 - self.percent) // (100 + self.percent)
-        spare = -(-(difference * 15) // 100) if difference else 0
+        spare = difference // 4 + 2 if difference else 0
         return difference + 1 + spare, spare
 
 
@@ -105,9 +105,10 @@ def sketch_keys(grams: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.nda
     for band in bands.probed(len(grams)):
         chunks, spare = bands.cut(band)
         key, count = chunk_keys(rare, band, chunks, 0)
-        out.append(key[count > 1])
-        if (count < 2).sum() > spare:  # a partner like this one meets it under the full sketch
-            out.append(chunk_keys(grams, band, chunks, 1)[0])
+        out.append(key[count > 0])
+        if (count == 0).sum() > spare:  # a partner like this one meets it under the full sketch
+            key, count = chunk_keys(grams, band, chunks, 1)
+            out.append(key if (count == 0).sum() > spare else key[count > 0])
     return np.concatenate(out)
 
 
@@ -228,12 +229,13 @@ def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
     roots = classes(links, "roots")
     # buckets of three and more that still hold several classes: further leaders while that pays, then every pair across classes
     tried = pairs.select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    gained = True
     for turn in range(1, 9):
         open_ = mixed_buckets(members, roots)
         cost = open_.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("x"), F.sum("c").alias("c")).agg(F.sum("x").alias("x"), F.sum("c").alias("c")).first()
         if not cost["x"]:
             break
-        full = cost["x"] <= 4 * cost["c"] or turn == 8
+        full = cost["x"] <= 4 * cost["c"] or turn == 8 or not gained
         if full:
             a, b = open_.alias("a"), open_.alias("b")
             more = a.join(b, F.expr("a.key = b.key and a.id < b.id and a.root <> b.root")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
@@ -243,8 +245,11 @@ def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = durable(apart(more.join(tried, ["a", "b"], "left_anti"), roots), "more")
         tried = tried.union(more)
-        links = links.union(durable(linked(more), "links"))
-        roots = classes(links, "roots")
+        new = durable(linked(more), "links")
+        gained = not new.isEmpty()
+        if gained:
+            links = links.union(new)
+            roots = classes(links, "roots")
         if full:
             break
     roots = roots.withColumnRenamed("node", "rep")
