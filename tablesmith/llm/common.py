@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at a time; numpy's temporaries are a small multiple of it.
 CHUNK_BYTES = 2_000_000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -37,12 +38,16 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors, and is computed once however often it is used."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(DROP_SHUFFLES, "false")
-    spark.conf.set(DROP_SHUFFLES, "true")  # nothing reads this query's shuffle files after its table is written
+    # nothing reads this query's shuffle files after its table is written; small batches keep texts and sets in bounds
+    wanted = {DROP_SHUFFLES: "true", BATCH_ROWS: "1000"}
+    before = {k: spark.conf.get(k) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(DROP_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
