@@ -49,10 +49,10 @@ def score(df: DataFrame, grid: str = "grid") -> DataFrame:
         "long": F.size(F.filter("__flat", lambda c: F.length(c) >= LONG)),
         "lines": F.size(F.filter("__flat", lambda c: c.contains("\n"))),
     }
-    out = out.withColumns({f"__{k}": n / F.col("__all") for k, n in share.items()})
-    mean = F.aggregate("__rows", F.lit(0.0), lambda s, n: s + n) / F.col("n_rows")
+    out = out.withColumns({f"__{k}": n / F.greatest("__all", F.lit(1.0)) for k, n in share.items()})
+    mean = F.aggregate("__rows", F.lit(0.0), lambda s, n: s + n) / F.greatest("n_rows", F.lit(1))
     out = out.withColumn("__mean", mean)
-    spread = F.sqrt(F.aggregate("__rows", F.lit(0.0), lambda s, n: s + (n - F.col("__mean")) * (n - F.col("__mean"))) / F.col("n_rows"))
+    spread = F.sqrt(F.aggregate("__rows", F.lit(0.0), lambda s, n: s + (n - F.col("__mean")) * (n - F.col("__mean"))) / F.greatest("n_rows", F.lit(1)))
     out = out.withColumn("__stable", 1 / (1 + spread))
     tiny = F.when((F.col("n_rows") < 2) | (F.col("n_cols") < 2), 1.0).otherwise(0.0)
     total = sum((F.col(f"__{k}") * WEIGHTS[k] for k in ("fill", "text", "long", "lines", "stable")), F.lit(0.0)) + F.log1p("__all") * WEIGHTS["size"] + tiny * WEIGHTS["tiny"]
