@@ -55,8 +55,9 @@ def sampled(df: DataFrame, id_col: str, limit: int, total: int | None = None) ->
     """At most ``limit`` rows, those of least hashed id (all ties of an id alike). ``total``, at least the number of rows, lets all but about twice the limit go before anything is sorted."""
     total = df.count() if total is None else total
     order = F.xxhash64(id_col)
-    if total > 2 * limit:
-        df = df.where(order < int(-(2**63) + 2**64 * min(1.0, (2 * limit + 200) / total)))
+    share = (2 * limit + 200) / max(total, 1)
+    if share < 1:
+        df = df.where(order < int(-(2**63) + 2**64 * share))
     return df.orderBy(order, id_col).limit(limit)
 
 

@@ -36,7 +36,8 @@ def subwords(flat: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray,
     begin = starts[:-1] + 2 * np.arange(len(starts) - 1)
     text = np.zeros(len(v), bool)
     text[begin[1:]] = True
-    ahead = [np.concatenate([v[k:], np.full(k, 0x20, np.uint32)]) for k in range(4)]
+    longer = np.concatenate([v, np.full(3, 0x20, np.uint32)])
+    ahead = [longer[k : k + len(v)] for k in range(4)]
     blank = (ahead[0] == 0x20) & (ahead[1] == 0x20) | (ahead[1] == 0x20) & (ahead[2] == 0x20)
     out = np.zeros(len(v) + 4, bool)
     out[:-4] = text
@@ -47,7 +48,7 @@ def subwords(flat: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray,
         none = blank.copy()
         for k in range(1, n):  # it would reach into the next text
             none |= out[k : k + len(v)]
-        none[len(v) - n + 1 :] = True
+        none[max(0, len(v) - n + 1) :] = True
         bucket = (((key ^ (key >> np.uint32(15))) * np.uint32(odd)) >> np.uint32(32 - BITS)).astype(np.int32)
         bucket[none] = 1 << BITS
         yield bucket, begin
