@@ -30,6 +30,10 @@ from .pretokens import ODD, mixed, range_hashes, word_ranges
 #: Documents sampled to find frequent n-grams, and the share of them from which on an n-gram is frequent. They change the work, never the result.
 SAMPLE_DOCS, FREQUENT = 3000, 0.004
 BITS = 24  # of a chunk
+#: Rounds of comparing a bucket with one more of its documents, before all pairs across its classes are compared.
+TURNS = 3
+#: A sketch of 256 bits in four numbers.
+SHORT = ("w0", "w1", "w2", "w3")
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[0x41:0x5B] += 0x20
 BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -119,6 +123,12 @@ def bit_sketch(grams: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def short_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """The parity of the n-grams by the last eight bits of their hashes, as four numbers a set."""
+    bits = np.array([np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1 for s in sets], np.uint8).reshape(len(sets), 256)
+    return np.ascontiguousarray(np.packbits(bits, axis=1).view(np.int64).T)
+
+
 def distance(x: bytes, y: bytes) -> int:
     """The Hamming distance of two sketches, the wider one folded to the width of the other."""
     a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
@@ -185,9 +195,10 @@ def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
             flat, starts = utf8(batch.column(1))
             for i, j in spans_of(starts):
                 sets = shingle_sets(flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i], n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(list(map(len, sets)), pa.int64()), pa.array([bit_sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "size", "bits", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(list(map(len, sets)), pa.int64()), pa.array([bit_sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), *map(pa.array, short_sketches(sets))], ["id", "size", "bits", "grams", *SHORT])
 
-    sets = durable(docs.join(wanted, "id", "left_semi").mapInArrow(whole, f"id {kind}, size bigint, bits binary, grams binary").where("size > 0"), "sets")
+    short = ", ".join(f"{w} bigint" for w in SHORT)
+    sets = durable(docs.join(wanted, "id", "left_semi").mapInArrow(whole, f"id {kind}, size bigint, bits binary, grams binary, {short}").where("size > 0"), "sets")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,15 +241,19 @@ def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
     # buckets of three and more that still hold several classes: further leaders while that pays, then every pair across classes
     tried = pairs.select(F.col("lead").alias("a"), F.col("id").alias("b"))
     gained = True
-    for turn in range(1, 9):
+    for turn in range(1, TURNS + 1):
         open_ = mixed_buckets(members, roots)
         cost = open_.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("x"), F.sum("c").alias("c")).agg(F.sum("x").alias("x"), F.sum("c").alias("c")).first()
         if not cost["x"]:
             break
-        full = cost["x"] <= 4 * cost["c"] or turn == 8 or not gained
+        full = cost["x"] <= 4 * cost["c"] or turn == TURNS or not gained
         if full:
-            a, b = open_.alias("a"), open_.alias("b")
-            more = a.join(b, F.expr("a.key = b.key and a.id < b.id and a.root <> b.root")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+            # sizes and short sketches are compared within the join, so that it puts out few pairs beyond the linked ones
+            held = durable(open_.join(sets.select("id", "size", *SHORT), "id"), "held")
+            apart_by = " + ".join(f"bit_count(a.{w} ^ b.{w})" for w in SHORT)
+            near_by = f"({apart_by}) * {100 + percent} <= {100 - percent} * (a.size + b.size) and 100 * least(a.size, b.size) >= {percent} * greatest(a.size, b.size)"
+            a, b = held.alias("a"), held.alias("b")
+            more = a.join(b, F.expr(f"a.key = b.key and a.id < b.id and a.root <> b.root and {near_by}")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
         else:
             lead = open_.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("a"))
             more = open_.join(lead, "key").select("a", F.col("id").alias("b")).where("a <> b")
