@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from .common import durable, sampled
 #: Bound of the sample that trees are fitted on: labelled URLs, those of least hashed text.
 SAMPLE_URLS = 20_000
 BINS, DEPTH, ROUNDS, RATE, RIDGE = 16, 3, 12, 0.4, 1.0
-#: URLs that a suffix needs in the sample to have a rate of its own: at most SAMPLE_URLS / LEAST suffixes have one.
+#: The chance that labels without any pattern give a model one split; a gain is about chi-squared then.
+BY_CHANCE = 0.05
+#: URLs of each action that a suffix needs in the sample to have a rate of its own: fewer than SAMPLE_URLS / LEAST suffixes have one.
 LEAST = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -73,7 +76,7 @@ def suffix_of(host: Column) -> Column:
 
 @dataclass
 class UrlModel:
-    """trees: nested (feature, cut, low, high) or leaves; rates: the share of blocked URLs by suffix, at most SAMPLE_URLS / LEAST of them; without labels ``base`` is None and all is allowed."""
+    """trees: nested (feature, cut, low, high) or leaves, added to the log odds of the suffix's rate; rates: the share of blocked URLs of the suffixes that have LEAST labels of each action, ``prior`` for all others; without labels ``base`` is None and all is allowed."""
 
     base: float | None = None
     trees: list = field(default_factory=list)
@@ -86,8 +89,13 @@ class UrlModel:
         table = F.create_map(*(F.lit(x) for pair in sorted(self.rates.items()) for x in pair))
         return F.coalesce(F.try_element_at(table, suffix_of(host)), F.lit(self.prior))
 
+    def start(self, host: Column) -> Column:
+        """Log odds of blocking by the suffix alone."""
+        rate = self.suffix_rate(host)
+        return F.log(rate / (1 - rate))
+
     def margin(self, value: dict[str, Column]) -> Column:
-        """Log odds of blocking."""
+        """Log odds of blocking; value: the features, and :meth:`start` as ``start``."""
 
         def branch(tree: object) -> Column:
             if isinstance(tree, float):
@@ -95,7 +103,7 @@ class UrlModel:
             name, cut, low, high = tree
             return F.when(value[name] <= cut, branch(low)).otherwise(branch(high))
 
-        total = F.lit(self.base or 0.0)
+        total = value["start"]
         for tree in self.trees:
             total = total + branch(tree)
         return total
@@ -104,6 +112,11 @@ class UrlModel:
 def fit(urls: DataFrame, url_col: str = "url", action_col: str = "action", sample: int = SAMPLE_URLS) -> UrlModel:
     """Boosted trees for blocking, from rows whose action is block or allow.
 
+    Labels that are all of one action within their suffix tell which rule there is, not what its other URLs are like: a
+    suffix with fewer than LEAST labels of either action gets the prior, and its labels count for the prior only. The
+    trees start from the suffix's rate and learn what differs within a suffix, so a rule does not leak through features that
+    tell suffixes apart. Splits that labels without a pattern would give too are not made. Suffixes with fewer than LEAST labels in all are taken together as one.
+
     Only the sample is gone through again and again: it is written once, and each level of a tree is one aggregation of
     gradient histograms over it. What reaches the driver are the histograms and the cut points.
     """
@@ -116,19 +129,28 @@ def fit(urls: DataFrame, url_col: str = "url", action_col: str = "action", sampl
         return UrlModel()
     prior = (total["s"] + 1) / (total["n"] + 2)
     model = UrlModel(base=math.log(prior / (1 - prior)), prior=prior)
-    by_suffix = few.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count("*").alias("n"), F.sum("y").alias("s")).collect()
-    model.rates = {r["suffix"]: (r["s"] + 10 * prior) / (r["n"] + 10) for r in by_suffix if r["n"] >= LEAST}
+    suffix = suffix_of(F.col("host"))
+    by_suffix = few.groupBy(suffix.alias("suffix")).agg(F.count("*").alias("n"), F.sum("y").alias("s")).collect()
+    both = lambda n, s: min(s, n - s) >= LEAST
+    model.rates = {r["suffix"]: (r["s"] + 10 * prior) / (r["n"] + 10) for r in by_suffix if both(r["n"], r["s"])}
+    rare = [r for r in by_suffix if r["n"] < LEAST]
+    teaches = suffix.isin(list(model.rates))
+    if both(sum(r["n"] for r in rare), sum(r["s"] for r in rare)):
+        teaches |= ~suffix.isin([r["suffix"] for r in by_suffix if r["n"] >= LEAST])
+    elif not model.rates:
+        return model
     names = [c for c in few.columns if c not in ("y", "host")]
-    names.append("suffix_rate")
-    few = few.withColumn("suffix_rate", model.suffix_rate(F.col("host")))
+    few = few.where(teaches).withColumn("start", model.start(F.col("host")))
     marks = [k / BINS for k in range(1, BINS)]
     found = few.agg(*(F.percentile_approx(n, marks, 10_000).alias(n) for n in names)).first()
     cuts = {n: sorted(set(found[n])) for n in names}
-    binned = few.select("y", *(sum((F.when(F.col(n) > c, 1).otherwise(0) for c in cuts[n]), F.lit(0)).alias(n) for n in names))
-    binned = durable(binned.groupBy(*names).agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("s")), "bins").coalesce(1)
-    places = {n: F.col(n) for n in names}
+    binned = few.select("y", "start", *(sum((F.when(F.col(n) > c, 1).otherwise(0) for c in cuts[n]), F.lit(0)).alias(n) for n in names))
+    binned = durable(binned.groupBy("start", *names).agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("s")), "bins").coalesce(1)
+    places = {n: F.col(n) for n in ["start", *names]}
+    tried = max(1, sum(map(len, cuts.values()))) * (2**DEPTH - 1) * ROUNDS
+    least = NormalDist().inv_cdf(1 - BY_CHANCE / tried / 2) ** 2
     for _ in range(ROUNDS):
-        shown = UrlModel(model.base, [_binned(t, cuts) for t in model.trees])
+        shown = UrlModel(trees=[_binned(t, cuts) for t in model.trees])
         chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-shown.margin(places)))
         graded = binned.withColumns({"g": F.col("n") * chance - F.col("s"), "h": F.col("n") * chance * (1 - chance)})
         tree: object = 0.0
@@ -136,7 +158,7 @@ def fit(urls: DataFrame, url_col: str = "url", action_col: str = "action", sampl
             leaf = _leaf_id(_binned(tree, cuts), places)
             sums = graded.select(leaf.alias("leaf"), "g", "h", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).alias("bin")) for n in names))).alias("x"))
             rows = sums.groupBy("leaf", "x.feature", "x.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-            splits = {k: _best(k, rows, cuts, names, last=level == DEPTH) for k in {r["leaf"] for r in rows}}
+            splits = {k: _best(k, rows, cuts, names, least, last=level == DEPTH) for k in {r["leaf"] for r in rows}}
             tree = _grown(tree, splits)
             if all(isinstance(s, float) for s in splits.values()):
                 break
@@ -167,15 +189,15 @@ def _grown(tree: object, splits: dict[int, object], at: int = 1) -> object:
     return (name, cut, _grown(low, splits, 2 * at), _grown(high, splits, 2 * at + 1))
 
 
-def _best(leaf: int, rows: list, cuts: dict[str, list[float]], names: list[str], last: bool) -> object:
-    """The split of most gain as (feature, cut, value, value), or the leaf's value when none gains."""
+def _best(leaf: int, rows: list, cuts: dict[str, list[float]], names: list[str], least: float, last: bool) -> object:
+    """The split of most gain as (feature, cut, value, value), or the leaf's value when none gains more than ``least``."""
     bins = {n: [(0.0, 0.0)] * (len(cuts[n]) + 1) for n in names}
     for r in rows:
         if r["leaf"] == leaf:
             bins[r["feature"]][r["bin"]] = (r["g"], r["h"])
     g, h = (sum(x[k] for x in bins[names[0]]) for k in (0, 1))
     value = lambda a, b: -RATE * a / (b + RIDGE)
-    best: tuple[float, object] = (1e-6, value(g, h))
+    best: tuple[float, object] = (least, value(g, h))
     for n in names if not last else []:
         left_g = left_h = 0.0
         for cut, (a, b) in zip(cuts[n], bins[n], strict=False):
@@ -198,7 +220,7 @@ def judge(df: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", sam
     model = fit(df.select(url.alias("url"), action.alias("action")), sample=sample)
     out = df.withColumns({"host": host_of(url), "path": path_of(url)})
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
-    value = lexical(url, F.col("host"), F.col("path")) | {"suffix_rate": model.suffix_rate(F.col("host"))}
+    value = lexical(url, F.col("host"), F.col("path")) | {"start": model.start(F.col("host"))}
     used = {f"__{k}": c for k, c in value.items()}
     out = out.withColumns({**used, "rule": rule, "__action": action})
     margin = model.margin({k: F.col(f"__{k}") for k in value})

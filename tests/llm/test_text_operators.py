@@ -187,6 +187,21 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([(1, "http://a/b")], "page_id long, url string"), []).first()["verdict"] == "allow"
 
 
+def test_a_rule_does_not_leak_through_its_suffix(spark):
+    rules = [("one.com/de/", "block"), ("some.org/fr/", "allow"), ("net/", "block"), ("good.net/", "allow")]
+    clean, odd = (lambda host, i: f"https://{host}/en/page/{i}"), (lambda host, i: f"http://win-big-{i}.{host}/?a={i}&b=2&c=3")
+    labels = [f"https://a{i}.one.com/de/page/{i}" for i in range(60)] + [f"https://a{i}.some.org/fr/page/{i}" for i in range(60)]
+    labels += [clean(f"a{i}.good.net", i) for i in range(60)] + [odd("bad.net", i) for i in range(40)]
+    open_ = [(make(host, i), want) for host in ("one.com", "some.org") for make, want in ((clean, "allow"), (odd, "block")) for i in range(20)]
+    given = spark.createDataFrame([(u,) for u in labels + [u for u, _ in open_]], "url string")
+    found = {r["url"]: r for r in urls.judge(given, rules).collect()}
+    assert [found[u]["rule"] for u, _ in open_] == [None] * len(open_)
+    assert [found[u]["verdict"] for u, _ in open_] == [want for _, want in open_]
+    alone = [u for u in labels if "good.net" not in u and "bad.net" not in u][20:] + ["https://b.one.com/en/1"]
+    last = {r["url"]: r for r in urls.judge(spark.createDataFrame([(u,) for u in alone], "url string"), rules).collect()}
+    assert last["https://b.one.com/en/1"]["verdict"] == "allow"
+
+
 def exact_classes(texts, n, percent):
     sets = []
     for t in texts:
