@@ -25,8 +25,9 @@ BUCKETS = (4, 8, 16, 32, 64, 128, 256)
 class Ranks:
     """A vocabulary by ranks: all pairs of tokens that make up a token, in an open-addressing hash table of numpy arrays."""
 
-    def __init__(self, rank: dict[bytes, int]):
-        self.rank = rank
+    def __init__(self, rank: dict[bytes, int], added: dict[str, int] | None = None):
+        """added: literals that are one id wherever they stand; no merge makes or breaks them."""
+        self.rank, self.added = rank, added or {}
         self.single = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         key, value = [], []
         for token, rank in self.rank.items():
@@ -46,12 +47,12 @@ class Ranks:
             self.value[slot[todo[placed]]] = value[todo[placed]]
             todo = todo[~placed]
             slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
-        order = sorted(self.rank.items(), key=lambda x: x[1])
-        size = np.zeros(max(self.rank.values()) + 1, np.int64)
-        for token, rank in order:
-            size[rank] = len(token)
+        order = sorted(({i: token for token, i in self.rank.items()} | {i: text.encode() for text, i in self.added.items()}).items())
+        size = np.zeros(order[-1][0] + 1, np.int64)
+        for i, token in order:
+            size[i] = len(token)
         self.size, self.place = size, np.cumsum(size) - size
-        self.bytes = np.frombuffer(b"".join(token for token, _ in order), np.uint8)
+        self.bytes = np.frombuffer(b"".join(token for _, token in order), np.uint8)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -161,21 +162,31 @@ def from_tokenizers(path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in token): id for token, id in plain.items() if id in known}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The literals that a file in the tokenizers library's format maps to one id each, special or not."""
+    held = json.loads(Path(path).read_text(encoding="utf-8")).get("added_tokens") or []
+    for token in held:
+        if any(token.get(k) for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: added token {token['content']!r} depends on what stands around it")
+    return {token["content"]: token["id"] for token in held if token["content"]}
+
+
 @cache
 def ranks(path: str) -> Ranks:
-    return Ranks(from_tokenizers(path) if path.endswith(".json") else from_tiktoken(path))
+    return Ranks(from_tokenizers(path), added_tokens(path)) if path.endswith(".json") else Ranks(from_tiktoken(path))
 
 
 @cache
 def encoder(path: str) -> Encoder:
-    return Encoder(ranks(path).encode_pieces)
+    return Encoder(ranks(path).encode_pieces, added=ranks(path).added)
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """(id, ids, n_tokens), with ``decode`` also decoded: the ids of each whole text and the bytes they decode to.
 
     ids holds little-endian unsigned 32-bit numbers. path: ranks in tiktoken's format, or a .json of the tokenizers library; every executor reads it.
-    Each match of the public pattern is encoded separately, without special tokens. Null and empty texts have no ids
+    Each match of the public pattern is encoded separately; no special tokens are put in. The added tokens of a .json are
+    cut out first, one id each, as that library does; ranks in tiktoken's format have none. Null and empty texts have no ids
     (ids is empty, never null); repeated rows come out as often as they come in; other columns are not looked at.
     """
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids binary, n_tokens bigint" + ", decoded binary" * decode

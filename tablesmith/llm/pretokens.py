@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Callable, Sequence
@@ -91,11 +92,13 @@ class Encoder:
     """Encodes texts through ``encode``, which gets the distinct pieces not met before and returns their ids.
 
     What has been met is kept in flat arrays: sorted hashes, and for each the place and number of its ids. Beyond
-    ``most`` pieces it starts afresh, so a task's memory stays bounded.
+    ``most`` pieces it starts afresh, so a task's memory stays bounded. ``added``: literals with an id of their own, the
+    longest first where several begin; texts are cut at them before the pattern.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 600_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 600_000, added: dict[str, int] | None = None):
+        self.encode, self.most, self.added = encode, most, added or {}
+        self.literal = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.forget()
 
     def forget(self) -> None:
@@ -117,6 +120,19 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the len + 1 places where they begin."""
+        if self.literal is None or not any(map(self.literal.search, texts)):
+            return self._between(texts)
+        parts = [self.literal.split(t) for t in texts]
+        ids, at = self._between([s for p in parts for s in p[::2]])
+        literals = np.fromiter((len(p) // 2 for p in parts), np.int64, len(parts))
+        ends = np.cumsum(literals + 1)
+        followed = np.ones(len(at) - 1, bool)
+        followed[ends - 1] = False
+        ids = np.insert(ids, at[1:][followed], [self.added[s] for p in parts for s in p[1::2]])
+        return ids, at[np.append(0, ends)] + np.append(0, np.cumsum(literals))
+
+    def _between(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts in which no added literal counts."""
         bounds = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)), out=bounds[1:])
         joined = "".join(texts)

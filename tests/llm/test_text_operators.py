@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,24 @@ def test_json_ranks_agree_with_tokenizers():
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [theirs.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_agree_with_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    path, end = P.path("byte_bpe_50k.json"), "<|endoftext|>"
+    theirs, rnd = Tokenizer.from_file(path), random.Random(5)
+    texts = ["no literal", f"a {end} b", end, "", f"{end}{end}  x \n {end}", f"it{end}'s <|endoftext |> <|endoftext", None, f"  {end}é", *("".join(rnd.choice([end, "a", " ", "\n", "'s", "é"]) for _ in range(20)) for _ in range(200)), "<|endof", "text|>"]
+    want = [theirs.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[1] == [64, 220, 50256, 275]
+    ids, at = bpe.encoder(path)([t or "" for t in texts])
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+    for r in bpe.encode(documents(spark, texts), path, decode=True).collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == want[r["doc_id"]]
+        assert bytes(r["decoded"]) == (texts[r["doc_id"]] or "").encode()
+    for r in packing.pieces(documents(spark, texts), path).collect():
+        whole = np.array([*want[r["doc_id"]], 0], "<u4")
+        assert (r["start"], r["length"], r["doc_tokens"], r["ids_crc32"]) == (0, len(whole), len(whole), zlib.crc32(whole.tobytes()))
+
+
 def test_packing_covers_every_id_once(spark):
     texts = [None, "", "word " * 5000, *("some text here " * (n % 90) for n in range(400))]
     rows = packing.pack(packing.pieces(documents(spark, texts), P.path("byte_bpe_50k.json"))).collect()
