@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,7 +28,7 @@ def scratch_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -48,7 +49,16 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`durable` that nothing will read any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def sampled(df: DataFrame, id_col: str, limit: int, total: int | None = None) -> DataFrame:
@@ -85,6 +95,21 @@ def spans_of(starts: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         first = end
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """The same rows, sorted by ``column`` (bigint), in tables that no run of equal values reaches beyond."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        value = batch.column(column).to_numpy()
+        last = int(np.searchsorted(value, value[-1])) if len(value) else 0
+        if last or held and len(value) and held[-1].column(column)[-1].as_py() != value[0]:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        if len(value):
+            held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def row_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over [starts[i], starts[i + 1]), empty ranges included."""
     total = np.concatenate([np.zeros((1, *values.shape[1:]), np.float64), np.cumsum(values, axis=0, dtype=np.float64)])
