@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at a time; numpy's temporaries are a small multiple of it.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -71,6 +71,14 @@ def sampled(df: DataFrame, id_col: str, limit: int, total: int | None = None) ->
     return df.orderBy(order, id_col).limit(limit)
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with: names made with it clash with none."""
+    out = "__"
+    while any(c.lower().startswith(out) for c in df.columns):
+        out += "_"
+    return out
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the third of the documents that nothing is learned from: crc32 of the id as text, mod 3, is 1."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 3 == 1, F.lit(False))

@@ -143,7 +143,7 @@ def distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(narrowed(x, width) ^ narrowed(y, width)).sum())
 
 
-def near_across(tile: np.ndarray, side: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray, percent: int, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_across(tile: np.ndarray, side: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray, percent: int, most: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (i, j) that lie in one tile, on different sides and in different classes, and whose sizes and sketches let them link; about ``most`` pairs are looked at together. side 0: first block, 1: second, 2: both."""
     begin = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
     end = np.append(begin[1:], len(tile))
