@@ -4,22 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import classes, durable, sampled
+from .common import classes, durable, release, sampled, whole_runs
 
-#: Bound of the sample whose projections set the trees' thresholds; every row is indexed.
-SAMPLE_ROWS = 20_000
-TREES, LEAF, SPILL = 10, 256, 0.1
+#: Bound of the sample whose projections set the trees' thresholds; every row is indexed. A node of a tree has a threshold of its own while LEAST_ROWS of the sample reach it.
+SAMPLE_ROWS, LEAST_ROWS = 20_000, 16
+LEAF, SPILL = 256, 0.1
+#: Random directions that the nodes of a tree choose from.
+BANK = 64
+#: Share of pairs at the threshold that one split parts, measured on random vectors, and the share that no tree may find together.
+PARTED, MISSED = 0.04, 1e-4
 #: Rows of a leaf that are compared with as many at a time.
 TILE = 512
-BLOCK, QUERY_BLOCK = 4096, 256
+#: Coded rows and queries that meet in a task, and queries looked at together.
+BLOCK, QUERY_BLOCK, QUERIES = 16_384, 4096, 64
 CODE_BITS = 128
 
 
@@ -31,137 +36,182 @@ def usable(vector: Column) -> Column:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """The rows of a list column of one length."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    """The rows of a list column of one length, as doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, whatever their magnitude: squares of scaled components neither overflow nor vanish."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def main_length(rows: DataFrame) -> int:
+    """The length that most vectors ``v`` have, the smaller of equals; 0 without any."""
+    found = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return found["n"] if found else 0
 
 
 @dataclass
 class Tree:
-    """A binary tree of random directions in heap order. ``sides``: threshold and half width of the spill zone of each node."""
+    """A binary tree of random splits in heap order.
+
+    A node's direction is one of a bank, chosen by a hash of its number. ``own``: (threshold, half width of the spill
+    zone) of the nodes of the first levels; deeper nodes use ``rest``, the same for each direction over the whole
+    sample. Its size is bounded by the sample's, at any depth.
+    """
+
+    bank: np.ndarray
+    own: np.ndarray
+    rest: np.ndarray
+    depth: int
 
-    directions: np.ndarray
-    sides: np.ndarray
+    def chosen(self, node: np.ndarray) -> np.ndarray:
+        return ((node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % len(self.bank)
+
+    def sides(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inner = node < len(self.own)
+        both = np.where(inner[:, None], self.own[np.where(inner, node, 0)], self.rest[self.chosen(node)])
+        return both[:, 0], both[:, 1]
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf): a row near a threshold goes down both sides."""
         row, node = np.arange(len(x)), np.ones(len(x), np.int64)
-        for level in range(len(self.directions)):
-            value = x[row] @ self.directions[level] if len(row) > len(x) * 4 else (x @ self.directions[level])[row]
-            middle, half = self.sides[node, 0], self.sides[node, 1]
-            low, high = value <= middle + half, value > middle - half
+        value = x @ self.bank.T
+        for _ in range(self.depth):
+            at = value[row, self.chosen(node)]
+            middle, half = self.sides(node)
+            low, high = at <= middle + half, at > middle - half
             row = np.concatenate([row[low], row[high]])
             node = np.concatenate([2 * node[low], 2 * node[high] + 1])
         return row, node
 
 
 def grow(sample: np.ndarray, depth: int, seed: int, spill: float = SPILL) -> Tree:
-    """Median splits of the sample along one random direction a level. A node that the sample no longer reaches takes over its parent's threshold, so depth may exceed what the sample could tell apart."""
+    """A tree whose nodes split at the median of the sample that reaches them, as long as that is LEAST_ROWS; nodes further down split at the median of the whole sample along their direction."""
     rng = np.random.default_rng(seed)
-    directions = rng.normal(size=(depth, sample.shape[1]))
-    directions /= np.linalg.norm(directions, axis=1, keepdims=True)
-    sides = np.zeros((1 << depth, 2))
+    bank = rng.normal(size=(BANK, sample.shape[1]))
+    bank /= np.linalg.norm(bank, axis=1, keepdims=True)
+    value = sample @ bank.T
+    rest = np.stack([np.median(value, axis=0), spill * value.std(axis=0)], axis=1)
+    levels = min(depth, max(0, int(np.log2(max(len(sample), 1) / LEAST_ROWS))))
+    tree = Tree(bank, np.zeros((1 << levels, 2)), rest, depth)
     node = np.ones(len(sample), np.int64)
-    for level in range(depth):
-        value = sample @ directions[level]
-        whole = (float(np.median(value)), float(value.std()))
+    for level in range(levels):
         order = np.argsort(node, kind="stable")
-        at = np.searchsorted(node[order], np.arange(1 << level, (2 << level) + 1))
-        for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            if (1 << level) + k >= 2 << level:
-                break
-            own = value[order[a:b]]
-            middle, spread = (float(np.median(own)), float(own.std())) if len(own) >= 16 else whole
-            sides[(1 << level) + k] = middle, spill * spread
-        node = 2 * node + (value > sides[node, 0])
-    return Tree(directions, sides)
-
-
-def tile_links(batch: pd.DataFrame, least: float) -> pd.DataFrame:
+        places = np.arange(1 << level, 2 << level)
+        ends = np.searchsorted(node[order], np.append(places, 2 << level))
+        for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            way = int(tree.chosen(places[k : k + 1])[0])
+            mine = value[order[a:b], way]
+            tree.own[places[k]] = (np.median(mine), spill * mine.std()) if len(mine) >= LEAST_ROWS else rest[way]
+        node = 2 * node + (value[np.arange(len(node)), tree.chosen(node)] > tree.own[node, 0])
+    return tree
+
+
+def trees_for(depth: int) -> int:
+    """How many trees leave MISSED of the pairs at the threshold without a common leaf."""
+    return max(1, int(np.ceil(np.log(MISSED) / np.log(max(1 - (1 - PARTED) ** depth, 1e-9)))))
+
+
+def tile_links(tile: pa.Table, least: float) -> pa.RecordBatch | None:
     """For one tile of a leaf: each row's number of links that no smaller leaf has, and the smallest row that it is joined to within the tile.
 
-    Rows come with all their leaves. A pair that shares a smaller leaf is counted there; here it only helps to join.
+    Rows come with their leaves so far. A pair that shares a smaller leaf is counted there; here it only helps to join.
     """
-    x = np.stack(batch["unit"].to_numpy())
-    first = (batch["side"] != 1).to_numpy()  # side 0: rows of the first block, 1: of the second, 2: a tile of one block
-    second = (batch["side"] != 0).to_numpy()
-    leaf = int(batch["leaf"].iloc[0])
+    tile = tile.combine_chunks()
+    x = units(matrix(tile["v"].chunk(0)))
+    side, leaf = tile["side"].to_numpy(), tile["leaf"][0].as_py()  # side 0: rows of the first block, 1: of the second, 2: a tile of one block
     linked = x @ x.T >= least
     np.fill_diagonal(linked, False)
-    linked &= (first[:, None] & second[None, :]) | (second[:, None] & first[None, :])
-    count = np.zeros(len(x), np.int64)
-    if linked.any():
-        some = np.flatnonzero(linked.any(axis=1))
-        leaves = [np.asarray(v, np.int64) for v in batch["leaves"].to_numpy()[some]]
-        owner = np.repeat(np.arange(len(some)), [len(v) for v in leaves])
-        every = np.concatenate(leaves)
-        smaller = every < leaf
-        _, code = np.unique(every[smaller], return_inverse=True)
-        member = np.zeros((len(some), int(code.max(initial=-1)) + 1), np.float32)
-        member[owner[smaller], code] = 1
-        new = linked[np.ix_(some, some)] & ~(member @ member.T > 0)
-        weight = batch["weight"].to_numpy()
-        count[some] = new @ weight[some]
-    node = batch["rep"].to_numpy()
+    linked &= (side != 1)[:, None] & (side != 0)[None, :] | (side != 0)[:, None] & (side != 1)[None, :]
+    some = np.flatnonzero(linked.any(axis=1))
+    if not len(some):
+        return None
+    held = tile["leaves"].chunk(0).take(pa.array(some))
+    owner, every = np.repeat(np.arange(len(some)), held.value_lengths().to_numpy()), held.flatten().to_numpy()
+    smaller = every < leaf
+    _, code = np.unique(every[smaller], return_inverse=True)
+    member = np.zeros((len(some), int(code.max(initial=-1)) + 1), np.float32)
+    member[owner[smaller], code] = 1
+    linked = linked[np.ix_(some, some)]
+    count = (linked & ~(member @ member.T > 0)) @ tile["weight"].to_numpy()[some]
+    node = tile["rep"].to_numpy()[some]
     order = np.argsort(node, kind="stable")
     root = np.empty(len(node), np.int64)
     root[order] = np.arange(len(node))
     at = [np.flatnonzero(r) for r in linked]
     moved = True
     while moved:
-        near = np.array([min(root[i], root[a].min()) if len(a) else root[i] for i, a in enumerate(at)], np.int64)
+        near = np.array([min(root[i], root[a].min()) for i, a in enumerate(at)], np.int64)
         near = np.minimum(near, near[order[near]])
         moved = bool((near != root).any())
         root = near
-    out = pd.DataFrame({"rep": node, "n_links": count, "root": node[order[root]]})
-    return out[(out["n_links"] > 0) | (out["root"] != out["rep"])]
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(count.astype(np.int64)), pa.array(node[order[root]])], ["rep", "n_links", "root"])
 
 
-def near_duplicates(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE_ROWS) -> DataFrame:
+def near_duplicates(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", trees: int | None = None, leaf: int = LEAF, sample: int = SAMPLE_ROWS) -> DataFrame:
     """(id, n_links, component_id, kept) for every row: vectors link when their cosine, in double precision, is ``least`` or more.
 
     n_links counts the other vectors linked directly, component_id is the smallest id reachable, kept says that it is the
-    row's own. Null, zero and non-finite vectors, and rows without an id, link with nothing. Equal vectors are collapsed and counted by
-    weight. A leaf of any size is compared whole, in tiles of at most TILE by TILE rows, and a pair that shares several
-    leaves counts in the smallest of them, so nothing has to be deduplicated by pair. Vectors must have one length.
+    row's own. Null, zero and non-finite vectors, rows without an id, and vectors of another length than most have link
+    with nothing. Equal vectors are collapsed and counted by weight. A leaf of any size is compared whole, in tiles of at
+    most TILE by TILE rows, and a pair that shares several leaves counts in the smallest of them, so nothing has to be
+    deduplicated by pair. One tree at a time is shuffled. An empty table gives an empty result; other columns are not
+    looked at. ``trees``: by default as many as the depth asks for.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
-    good = rows.where(usable(F.col("v")) & F.col("id").isNotNull())
-    reps = durable(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "reps")
+    kind = "float" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").cast(f"array<{kind}>").alias("v"))
+    fine = usable(F.col("v")) & F.col("id").isNotNull()
+    length = main_length(rows.where(fine))
+    fine = fine & (F.size("v") == length)
+    reps = durable(rows.where(fine).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "reps")
     total = reps.count()
     if not total:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    few = np.array([r[0] for r in sampled(reps, "rep", sample, total).select("v").collect()])
-    few = few / np.linalg.norm(few, axis=1, keepdims=True)
+    few = units(np.array([r[0] for r in sampled(reps, "rep", sample, total).select("v").collect()], float))
     depth = max(0, int(np.ceil(np.log2(total / leaf))))
-    forest = [grow(few, depth, t) for t in range(trees)]
+    forest = [grow(few, depth, t) for t in range(trees or trees_for(depth))]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1))
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            x = units(matrix(batch.column(1)))
             found = [tree.leaves(x) for tree in forest]
             row = np.concatenate([r for r, _ in found])
             code = np.concatenate([n + (t << 40) for t, (_, n) in enumerate(found)])
             order = np.lexsort((code, row))
             at = np.searchsorted(row[order], np.arange(len(x) + 1)).astype(np.int32)
-            unit = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), unit, pa.ListArray.from_arrays(pa.array(at), pa.array(code[order]))], ["rep", "weight", "unit", "leaves"])
-
-    indexed = durable(reps.select("rep", "v", "weight").mapInArrow(index, "rep bigint, weight bigint, unit array<double>, leaves array<bigint>"), "indexed")
-    placed = indexed.select("*", F.explode("leaves").alias("leaf"))
-    blocks = indexed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
-    dealt = placed.join(blocks, "leaf").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "rep", "weight", "unit", "leaves")
-    found = dealt.groupBy("leaf", "i", "j").applyInPandas(lambda b: tile_links(b, least), "rep bigint, n_links bigint, root bigint")
-    found = durable(found, "found")
-    roots = classes(found.where("root <> rep").select(F.col("root").alias("a"), F.col("rep").alias("b")), "roots")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(at), pa.array(code[order]))], ["rep", "v", "weight", "leaves"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in whole_runs(batches, "tile"):
+            ends = np.flatnonzero(np.diff(some["tile"].to_numpy(), append=np.int64(0), prepend=np.int64(0)))
+            cut = np.unique(np.concatenate([[0], ends, [len(some)]])).tolist()
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                found = tile_links(some.slice(a, b - a), least) if b - a > 1 else None
+                if found is not None:
+                    yield found
+
+    indexed = durable(reps.select("rep", "v", "weight").mapInArrow(index, f"rep bigint, v array<{kind}>, weight bigint, leaves array<bigint>"), "indexed")
+    parts = []
+    for t in range(len(forest)):
+        own = indexed.withColumn("leaves", F.filter("leaves", lambda c: c < (t + 1) << 40))
+        placed = own.withColumn("leaf", F.explode(F.filter("leaves", lambda c: c >= t << 40)))
+        blocks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
+        dealt = placed.join(blocks, "leaf").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+        dealt = dealt.select("rep", "v", "weight", "leaves", "leaf", side.alias("side"), F.xxhash64("leaf", F.least("own", "other"), F.greatest("own", "other")).alias("tile"))
+        found = dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "rep bigint, n_links bigint, root bigint")
+        parts.append(durable(found, "found"))
+    found = reduce(DataFrame.union, parts)
+    roots = durable(classes(found.where("root <> rep").select(F.col("root").alias("a"), F.col("rep").alias("b")), "roots"), "classes")
     counts = found.groupBy("rep").agg(F.sum("n_links").alias("more"))
     named = reps.join(counts, "rep", "left").join(roots, reps.rep == roots.node, "left").select("v", (F.coalesce("more", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    named = durable(named, "named")
+    release(indexed, reps, *parts)
     # the vector itself is the key of its copies; a left join keeps what links with nothing
-    out = rows.withColumn("key", F.when(usable(F.col("v")) & F.col("id").isNotNull(), F.col("v"))).join(named.withColumnRenamed("v", "key"), "key", "left")
+    out = rows.withColumn("key", F.when(fine, F.col("v"))).join(named.withColumnRenamed("v", "key"), "key", "left")
     root = F.coalesce("root", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), root.alias("component_id"), F.coalesce(root == F.col("id"), F.lit(True)).alias("kept"))
 
@@ -193,12 +243,11 @@ def estimated(codes: np.ndarray, ones: np.ndarray, query: np.ndarray, levels: in
     return 2 * (step * hit + low * ones[None, :]) - rounded.sum(axis=1, keepdims=True)
 
 
-def block_search(queries: tuple[np.ndarray, np.ndarray], rows: dict[str, np.ndarray], turn: np.ndarray, center: np.ndarray, k: int, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, distance) of the k nearest rows in the block for each query.
+def block_search(queries: tuple[np.ndarray, np.ndarray], rows: dict[str, np.ndarray], turn: np.ndarray, center: np.ndarray, k: int, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, low, high): bounds on the squared distance of the rows that may be among a query's k nearest of this block.
 
     The squared distance is estimated from the codes; its error is bounded by ``width`` standard deviations of the
-    part of the unit vector that the code misses. Rows whose lower bound lies below the k-th smallest upper bound are
-    measured on the original vectors.
+    part of the unit vector that the code misses. Rows whose lower bound lies above the k-th smallest upper bound go.
     """
     ids, x = queries
     y = (x - center) @ turn
@@ -211,16 +260,11 @@ def block_search(queries: tuple[np.ndarray, np.ndarray], rows: dict[str, np.ndar
     scale = 2 * size[:, None] * rows["size"][None, :]
     guess, error = base - scale * inner, scale * slack[None, :]
     own = ids[:, None] == rows["id"][None, :]
-    high = np.where(own, np.inf, guess + error)
+    low, high = guess - error, np.where(own, np.inf, guess + error)
     near = min(k, len(rows["id"])) - 1
     limit = np.partition(high, near, axis=1)[:, near]
-    q, r = np.nonzero((guess - error <= limit[:, None]) & ~own)
-    far = np.sqrt(((x[q] - rows["v"][r]) ** 2).sum(axis=1))
-    order = np.lexsort((rows["id"][r], far, q))
-    q, r, far = q[order], r[order], far[order]
-    rank = np.arange(len(q)) - np.searchsorted(q, q)
-    top = rank < k
-    return ids[q[top]], rows["id"][r[top]], far[top]
+    q, r = np.nonzero((low <= limit[:, None]) & ~own)
+    return ids[q], rows["id"][r], low[q, r], high[q, r]
 
 
 def encoded(v: np.ndarray, turn: np.ndarray, center: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,19 +281,22 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
     """(query_id, rank, vec_id, score): for every row that ``is_query`` marks, the k nearest other rows by Euclidean distance in double precision, ties to the smaller id.
 
     Rows are coded once (bits packed in numbers, a norm and a correction scalar each) and dealt into blocks of about
-    BLOCK; queries into blocks of QUERY_BLOCK, each of which meets every block of rows in a task of its own. A tile
-    returns k rows a query at most. Vectors that are null, zero or hold null or non-finite components, and rows without
-    an id, take no part. Repeated rows are candidates each. The sample sets the centre alone.
+    BLOCK; queries into blocks of QUERY_BLOCK, each of which meets every block of rows in a task of its own. Only codes
+    travel to the tiles, which return the rows that their bounds leave; rows within a query's bound over all tiles are
+    then measured on the original vectors. Vectors that are null, zero or hold null or non-finite components, rows
+    without an id, and vectors of another length than most have take no part. Repeated rows are candidates each. An
+    empty table gives an empty result; other columns are not looked at. The sample sets the centre alone.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(usable(F.col("v")) & F.col("id").isNotNull())
+    length = main_length(rows)
+    rows = rows.where(F.size("v") == length)
     total, asks = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     if not asks:
         return spark.createDataFrame([], empty)
-    some = np.array([r[0] for r in sampled(rows, "id", sample, total).select("v").collect()])
-    center, length = some.mean(axis=0), some.shape[1]
+    center = np.array([r[0] for r in sampled(rows, "id", sample, total).select("v").collect()], float).mean(axis=0)
     bits = max(bits, -(-length // 64) * 64)
     turn = rotation(length, bits)
     blocks, query_blocks = -(-total // BLOCK), -(-asks // QUERY_BLOCK)
@@ -257,24 +304,32 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed_, size, fit = encoded(matrix(batch.column(1)), turn, center)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in packed_], pa.binary()), pa.array(size), pa.array(fit)], ["id", "v", "block", "code", "size", "fit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c.tobytes() for c in packed_], pa.binary()), pa.array(size), pa.array(fit)], ["id", "block", "code", "size", "fit"])
 
     coded = rows.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-    coded = durable(coded.mapInArrow(code, "id bigint, v array<double>, block int, code binary, size double, fit double"), "codes")
+    coded = durable(coded.mapInArrow(code, "id bigint, block int, code binary, size double, fit double"), "codes")
     left = coded.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     ask = rows.where("asks").select("id", "v", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(query_blocks)).cast("int").alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = ([], [], [])
+        out = ([], [], [], [])
         if a.num_rows and b.num_rows:
             a, b = a.combine_chunks(), b.combine_chunks()
             codes = np.frombuffer(b"".join(a["code"].to_pylist()), np.uint64).reshape(a.num_rows, -1)
-            held = {"id": a["id"].to_numpy(), "v": matrix(a["v"].combine_chunks()), "code": codes, "ones": np.bitwise_count(codes).sum(axis=1).astype(float), "size": a["size"].to_numpy(), "fit": a["fit"].to_numpy()}
+            held = {"id": a["id"].to_numpy(), "code": codes, "ones": np.bitwise_count(codes).sum(axis=1).astype(float), "size": a["size"].to_numpy(), "fit": a["fit"].to_numpy()}
             x, ids = matrix(b["v"].combine_chunks()), b["id"].to_numpy()
-            parts = [block_search((ids[i : i + 64], x[i : i + 64]), held, turn, center, k, width) for i in range(0, len(ids), 64)]
+            parts = [block_search((ids[i : i + QUERIES], x[i : i + QUERIES]), held, turn, center, k, width) for i in range(0, len(ids), QUERIES)]
             out = tuple(np.concatenate(p) for p in zip(*parts, strict=True))
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    found = left.groupBy("block", "query_block").cogroup(ask.groupBy("block", "query_block")).applyInArrow(tile, "query_id bigint, vec_id bigint, score double")
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "low": pa.array(out[2], pa.float64()), "high": pa.array(out[3], pa.float64())})
+
+    found = left.groupBy("block", "query_block").cogroup(ask.groupBy("block", "query_block")).applyInArrow(tile, "query_id bigint, vec_id bigint, low double, high double")
+    found = durable(found, "bounds")
+    # the k-th smallest upper bound over all tiles
+    by_high = F.row_number().over(W.partitionBy("query_id").orderBy("high", "vec_id"))
+    limits = found.withColumn("place", by_high).where(F.col("place") <= k).groupBy("query_id").agg(F.max("high").alias("most"), F.count("*").alias("n"))
+    chosen = found.join(limits, "query_id").where((F.col("low") <= F.col("most")) | (F.col("n") < k)).select("query_id", "vec_id").distinct()
+    measured = chosen.join(rows.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(rows.where("asks").select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    square = lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))
+    measured = measured.select("query_id", "vec_id", F.sqrt(F.aggregate(F.zip_with("v", "q", square), F.lit(0.0), lambda s, d: s + d)).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return measured.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
