@@ -9,7 +9,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, sampled
+from .common import durable, free_prefix, sampled
 
 #: Bound of the sample that trees are fitted on: labelled URLs, those of least hashed text.
 SAMPLE_URLS = 20_000
@@ -122,7 +122,8 @@ def fit(urls: DataFrame, url_col: str = "url", action_col: str = "action", sampl
     """
     url = F.col(url_col)
     host, path = host_of(url), path_of(url)
-    known = urls.where(F.col(action_col).isin("block", "allow")).select(url, (F.col(action_col) == "block").cast("double").alias("y"))
+    # copies of a URL are one example, so a hot one does not fill the sample; conflicting labels of a URL are one each
+    known = urls.where(F.col(action_col).isin("block", "allow")).select(url, (F.col(action_col) == "block").cast("double").alias("y")).distinct()
     few = durable(sampled(known, url_col, sample).select("y", host.alias("host"), *(c.alias(k) for k, c in lexical(url, host, path).items())), "urls").coalesce(1)
     total = few.agg(F.count("*").alias("n"), F.sum("y").alias("s")).first()
     if not total["n"]:
@@ -218,11 +219,16 @@ def judge(df: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", sam
     url = F.col(f"`{url_col}`")
     rule, action = rule_for(host_of(url), path_of(url), rules)
     model = fit(df.select(url.alias("url"), action.alias("action")), sample=sample)
-    out = df.withColumns({"host": host_of(url), "path": path_of(url)})
-    rule, action = rule_for(F.col("host"), F.col("path"), rules)
-    value = lexical(url, F.col("host"), F.col("path")) | {"start": model.start(F.col("host"))}
-    used = {f"__{k}": c for k, c in value.items()}
-    out = out.withColumns({**used, "rule": rule, "__action": action})
-    margin = model.margin({k: F.col(f"__{k}") for k in value})
-    out = out.withColumn("score", (1 / (1 + F.exp(-margin))) if model.base is not None else F.lit(0.0))
-    return out.withColumn("verdict", F.coalesce("__action", F.when(F.col("score") > 0.5, "block").otherwise("allow"))).drop(*used, "__action")
+    mine = free_prefix(df)
+    out = df.withColumns({f"{mine}host": host_of(url), f"{mine}path": path_of(url)})
+    host, path = F.col(f"{mine}host"), F.col(f"{mine}path")
+    rule, action = rule_for(host, path, rules)
+    value = lexical(url, host, path) | {"start": model.start(host)}
+    used = {f"{mine}_{k}": c for k, c in value.items()}
+    out = out.withColumns({**used, f"{mine}rule": rule, f"{mine}action": action})
+    margin = model.margin({k: F.col(f"{mine}_{k}") for k in value})
+    score = (1 / (1 + F.exp(-margin))) if model.base is not None else F.lit(0.0)
+    out = out.withColumn(f"{mine}score", score)
+    verdict = F.coalesce(f"{mine}action", F.when(F.col(f"{mine}score") > 0.5, "block").otherwise("allow"))
+    out = out.withColumns({"host": host, "path": path, "rule": F.col(f"{mine}rule"), "score": F.col(f"{mine}score"), "verdict": verdict})
+    return out.drop(*used, *(f"{mine}{k}" for k in ("host", "path", "rule", "action", "score")))
