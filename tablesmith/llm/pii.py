@@ -1,8 +1,9 @@
 """Personal data in text: four fixed forms, and what a character-level bidirectional LSTM with CRF transitions adds.
 
-Every span of the four kinds holds a digit or an at sign. The network therefore reads the text around those characters,
-in windows that overlap by half; each window is decoded, every character takes the tag from the window in which it stands
-most centrally, and spans are then read off the whole text's tags.
+Every span of the four kinds holds a digit or an at sign: its rule asks for digits, or for the sign. What lies further
+than REACH from any such character can be part of no span, so the network reads the stretches of text around them, in
+windows that overlap by half. The windows' emissions are summed with more weight near a window's middle, and one pass of
+the CRF's decoder over each whole stretch reconciles them: no window decides alone, and no span ends where a window does.
 """
 
 from __future__ import annotations
@@ -175,19 +176,21 @@ class Tagger:
         np.add.at(grad["embed"], code.ravel(), d_x.reshape(-1, EMBED))
         return float((norm - gold).mean()), grad
 
-    def decode(self, code: np.ndarray) -> np.ndarray:
-        """The best tag path of each window."""
-        e, steps = self.emissions(code), self.p["steps"]
-        score, came = e[:, 0], np.zeros(e.shape, np.int64)
+    def best_paths(self, e: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The best tag path of each row of emissions, up to the row's length; what follows is 0."""
+        steps = self.p["steps"]
+        score, came = e[:, 0], np.zeros(e.shape, np.int8)
         for t in range(1, e.shape[1]):
             both = score[:, :, None] + steps
             came[:, t] = both.argmax(axis=1)
-            score = both.max(axis=1) + e[:, t]
-        path = np.empty(code.shape, np.int64)
-        path[:, -1] = score.argmax(axis=1)
-        rows = np.arange(len(code))
-        for t in range(e.shape[1] - 1, 0, -1):
-            path[:, t - 1] = came[rows, t, path[:, t]]
+            # past its end a row keeps its score, so that its last tag is the one chosen at its end
+            score = np.where((t < length)[:, None], both.max(axis=1) + e[:, t], score)
+        path, rows = np.zeros(e.shape[:2], np.int64), np.arange(len(e))
+        tag = score.argmax(axis=1)
+        for t in range(e.shape[1] - 1, -1, -1):
+            live = t < length
+            path[live, t] = tag[live]
+            tag = np.where(live, came[rows, t, tag], tag)
         return path
 
 
@@ -196,21 +199,23 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
 
 
-def windows(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, first, past) of the windows that cover what lies within REACH of a digit or an at sign: a window reads WINDOW characters from start and decides on [first, past)."""
+def stretches(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of what lies within REACH of a digit or an at sign."""
     anchor = np.flatnonzero((points >= 0x30) & (points <= 0x39) | (points == 0x40))
     if not len(anchor):
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 2
     cut = np.flatnonzero(np.diff(anchor) > 2 * REACH)
     begin = np.maximum(anchor[np.concatenate([[0], cut + 1])] - REACH, 0)
-    end = np.minimum(anchor[np.concatenate([cut, [len(anchor) - 1]])] + REACH + 1, len(points))
+    return begin, np.minimum(anchor[np.concatenate([cut, [len(anchor) - 1]])] + REACH + 1, len(points))
+
+
+def windows(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, stretch) of the windows of WINDOW characters, half a window apart, that cover each stretch."""
+    begin, end = stretches(points)
     half = WINDOW // 2
     count = np.maximum(1, -(-(end - begin - WINDOW) // half) + 1)
     k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    start = np.repeat(begin, count) + k * half
-    first = np.where(k == 0, start, start + half // 2)
-    past = np.where(k == np.repeat(count, count) - 1, np.repeat(end, count), start + half // 2 + half)
-    return start, first, past
+    return np.repeat(begin, count) + k * half, np.repeat(np.arange(len(begin)), count)
 
 
 def read_windows(points: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -256,7 +261,7 @@ def harmless(rng: random.Random) -> str:
     ])()
 
 
-def examples(texts: list[str], many: int = 1500, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def examples(texts: list[str], many: int = 3000, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(codes, tags) of training windows: those of the sampled texts with the base spans as labels, and passages of these texts with invented spans or harmless ones set in."""
     rng = random.Random(seed)
     code, tag = [], []
@@ -322,38 +327,72 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     return train(*examples([r[1] for r in sampled(some, id_col, sample).collect()]))
 
 
-def network_spans(net: Tagger, texts: list[str], most: int = 2048) -> list[list[tuple[str, int, int]]]:
-    """The network's spans in each text."""
-    points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
-    cuts = [windows(p) for p in points]
-    code = [read_windows(p, c[0]) for p, c in zip(points, cuts, strict=True) if len(c[0])]
-    if not code:
-        return [[] for _ in texts]
-    code = np.concatenate(code)
-    path = np.concatenate([net.decode(code[i : i + most]) for i in range(0, len(code), most)])
-    out, at = [], 0
-    for p, (start, first, past) in zip(points, cuts, strict=True):
-        tags = np.zeros(len(p) + 1, np.int64)
-        for k, (s, a, b) in enumerate(zip(start.tolist(), first.tolist(), past.tolist(), strict=True)):
-            b = min(b, len(p))
-            tags[a:b] = path[at + k, a - s : b - s]
-        at += len(start)
-        out.append(tagged(tags[: len(p)]) if len(p) else [])
-    return out
+#: A window's say in the middle and at its edges.
+SAY = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1.0).astype(np.float32)
+
+
+def summed(e: np.ndarray, start: np.ndarray, stretch: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The emissions of every character of all stretches, one after the other: the weighted mean over its windows."""
+    first = np.concatenate([[0], np.cumsum(end - begin)])
+    at = (start - begin[stretch])[:, None] + np.arange(WINDOW)
+    inside = at < (end - begin)[stretch][:, None]
+    place = (first[stretch][:, None] + at)[inside]
+    weight = np.broadcast_to(SAY, at.shape)[inside]
+    total = np.bincount(place, weight, first[-1])
+    return np.stack([np.bincount(place, e[:, :, k][inside] * weight, first[-1]) for k in range(TAGS)], axis=1) / total[:, None]
+
+
+def network_spans(net: Tagger, texts: list[str], most: int = 2048, long: int = 1 << 18) -> list[list[tuple[str, int, int]]]:
+    """The network's spans in each text: emissions of ``most`` windows at a time, decoded by stretch."""
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    codes_, starts, of, begins, ends, owner = [], [], [], [], [], []
+    for i, text in enumerate(texts):
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        begin, end = stretches(points)
+        if len(begin):
+            start, stretch = windows(points)
+            codes_.append(read_windows(points, start))
+            starts.append(start)
+            of.append(stretch + len(owner))
+            begins.append(begin)
+            ends.append(end)
+            owner += [i] * len(begin)
+    if not owner:
+        return out
+    code = np.concatenate(codes_)
+    e = np.concatenate([net.emissions(code[k : k + most]) for k in range(0, len(code), most)])
+    begin, end = np.concatenate(begins), np.concatenate(ends)
+    rows = summed(e, np.concatenate(starts), np.concatenate(of), begin, end).astype(np.float32)
+    length = end - begin
+    first = np.concatenate([[0], np.cumsum(length)])
+    order = np.argsort(length, kind="stable")
+    a = 0
+    while a < len(order):  # stretches of like length are decoded together
+        b = a + 1
+        while b < len(order) and (b - a + 1) * length[order[b]] <= long and b - a < most:
+            b += 1
+        some = order[a:b]
+        wide = int(length[some].max())
+        at = first[some][:, None] + np.minimum(np.arange(wide), (length[some] - 1)[:, None])
+        for k, tags in zip(some.tolist(), net.best_paths(rows[at], length[some]), strict=True):
+            out[owner[k]] += [(kind, int(begin[k]) + x, int(begin[k]) + y) for kind, x, y in tagged(tags[: length[k]])]
+        a = b
+    return [sorted(x, key=lambda s: s[1]) for x in out]
 
 
 def all_spans(net: Tagger, texts: list[str]) -> list[tuple[list, list]]:
-    """(base spans, all spans), each by kind, then start: the network adds plausible spans that touch no base span."""
+    """(base spans, all spans), each by kind, then start: the network adds plausible spans that touch no base span and cut no run of digits."""
     out = []
     for text, more in zip(texts, network_spans(net, texts), strict=True):
         base = base_spans(text)
         new = []
         for kind, a, b in more:
-            while b > a and text[b - 1] in " .,-(":
+            while b > a and text[b - 1] in " .,-(\n":
                 b -= 1
-            while a < b and text[a] in " .,-)":
+            while a < b and text[a] in " .,-)\n":
                 a += 1
-            if plausible(kind, text[a:b]) and all(b <= x or y <= a for _, x, y in base):
+            whole = not (text[a - 1 : a].isdigit() and text[a].isdigit() or text[b - 1].isdigit() and text[b : b + 1].isdigit()) if a < b else False
+            if whole and plausible(kind, text[a:b]) and all(b <= x or y <= a for _, x, y in base):
                 new.append((kind, a, b))
         out.append((base, sorted(base + new, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
     return out
@@ -376,7 +415,8 @@ def find(df: DataFrame, net: Tagger, text_col: str = "text", keep: list[str] | N
     """Adds base and spans, arrays of (kind, start, end) by kind, then start, for every row's whole text; with ``redact`` also redacted, the text with its spans masked.
 
     Places count code points, ends are exclusive. Null texts are empty (redacted stays null). Columns of these names are
-    replaced, all others stay.
+    replaced, all others stay; repeated rows are read each, an empty table gives an empty one. A text is held whole by
+    its task, with some 2000 bytes for each character that the network reads.
     """
 
     def work(column: pa.Array) -> list[pa.Array]:
