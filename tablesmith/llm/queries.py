@@ -76,9 +76,106 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, keep=["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 says of host, path and rule, and the verdict where a rule decides."""
+    found = op2_urls(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("decided"))
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op3."""
+    return op3_pii(spark, sf_dir).drop("spans")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op9."""
+    return op9_secrets(spark, sf_dir).drop("spans", "n_entropy")
+
+
+QUERIES = (op1_quality, op2_urls, op3_pii, op4_parity_join, op5_byte_bpe, op6_vector_dedup, op7_packing, op8_nearest, op9_secrets, op10_language, url_rules, pii_base, secrets_base)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_urls, op3_pii, op4_parity_join, op5_byte_bpe, op6_vector_dedup, op7_packing, op8_nearest, op9_secrets, op10_language)}
+    return {f.__name__: f for f in QUERIES}
+
+
+def _classes_sql(nodes: str, links: str) -> str:
+    """(id, component_id): the smallest node reachable over links (a, b), both ways."""
+    return f"""SELECT n.id, least(n.id, coalesce(min(r.b), n.id)) AS component_id FROM ({nodes}) n LEFT JOIN reached r ON r.a = n.id GROUP BY n.id"""
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+REACHED = "reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)"
+OP4 = f"""
+WITH RECURSIVE words AS (SELECT doc_id AS id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS grams FROM words),
+flat AS (SELECT id, len(grams) AS n, unnest(grams) AS gram FROM sets),
+links AS (SELECT x.id AS a, y.id AS b FROM flat x JOIN flat y ON x.gram = y.gram AND x.id <> y.id GROUP BY x.id, y.id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+{REACHED}
+SELECT s.id AS doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, c.component_id FROM sets s JOIN ({_classes_sql('SELECT id FROM sets', 'links')}) c ON c.id = s.id
+"""
+#: Sums run from the first component to the last, as Spark's do, so that doubles agree to the last bit.
+_SUM = "list_reduce(list_transform(range(1, len(x.v) + 1), lambda i: {}), lambda p, q: p + q)"
+_VECTORS = """vectors AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0)"""
+OP6 = f"""
+WITH RECURSIVE {_VECTORS},
+scaled AS (SELECT id, list_transform(v, lambda c: c / sqrt(list_sum(list_transform(v, lambda d: d * d)))) AS v FROM vectors),
+links AS (SELECT x.id AS a, y.id AS b FROM scaled x JOIN scaled y ON x.id <> y.id AND list_dot_product(x.v, y.v) >= 0.95),
+{REACHED}
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, c.component_id, c.component_id = e.vec_id AS kept FROM embeddings e JOIN ({_classes_sql('SELECT vec_id AS id FROM embeddings', 'links')}) c ON c.id = e.vec_id
+"""
+OP8 = f"""
+WITH {_VECTORS}
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS place FROM (SELECT x.id AS query_id, y.id AS vec_id, sqrt({_SUM.format('(y.v[i] - x.v[i]) * (y.v[i] - x.v[i])')}) AS score FROM vectors x JOIN vectors y ON x.id <> y.id AND x.id % 100 = 0)) WHERE place <= 10
+"""
+
+
+def _rules_sql() -> str:
+    """The longest rule wins: rules are tried from the longest on."""
+    cases = []
+    for text, action in sorted(URL_RULES, key=lambda r: (-len(r[0]), r[0])):
+        host, slash, rest = text.partition("/")
+        cases.append((f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash + rest}')", text, action))
+    case = lambda k: "CASE " + " ".join(f"WHEN {c[0]} THEN '{c[k]}'" for c in cases) + " END"
+    rest = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+    fold = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = f"coalesce(regexp_extract({rest}, '^[^/?#]*'), '')"
+    parts = f"SELECT page_id, {fold.format(host)} AS host, coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '') AS path FROM pages"
+    return f"SELECT page_id, host, path, {case(1)} AS rule, {case(2)} AS decided FROM ({parts})"
+
+
+def _placed_sql(kind: str, pattern: str, rank: int, keep: str) -> str:
+    """(doc_id, rank, kind, a, b, hit): the kept leftmost matches with their places, from the lengths of what stands between them."""
+    hits = f"regexp_extract_all(t, '{pattern}')"
+    cut = f"string_split_regex(t, '{pattern}')"
+    lengths = f"SELECT doc_id, {hits} AS h, list_transform({cut}, lambda g: length(g)) AS g FROM texts WHERE regexp_matches(t, '{pattern}')"
+    rows = f"SELECT doc_id, h[i] AS hit, CAST(list_sum(g[1:i]) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM ({lengths}))"
+    return f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, a, a + length(hit) AS b, hit FROM ({rows}) WHERE {keep}"
+
+
+def _base_sql(parts: list[tuple[str, str, str]], order: str) -> str:
+    found = " UNION ALL ".join(_placed_sql(kind, pattern, k, keep) for k, (kind, pattern, keep) in enumerate(parts))
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind, _, _ in parts)
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({found})
+SELECT t.doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY {order}), '')) AS base_sha256 FROM texts t LEFT JOIN found f ON f.doc_id = t.doc_id GROUP BY t.doc_id"""
+
+
+_DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda k: CAST(substr(reverse({_DIGITS}), k, 1) AS INTEGER) * (2 - k % 2) - CASE WHEN k % 2 = 0 AND CAST(substr(reverse({_DIGITS}), k, 1) AS INTEGER) > 4 THEN 9 ELSE 0 END)) % 10 = 0"
+PII_BASE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(hit, '.'), lambda p: CAST(p AS DOUBLE) > 255)) = 0"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+]
+ASSIGN = r'''(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?'''
+SECRETS_BASE = [
+    ("assign", ASSIGN + "[A-Za-z0-9+/_.=-]+", f"length(regexp_extract(hit, '{ASSIGN}([A-Za-z0-9+/_.=-]+)', 1)) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", "length(hit) >= 20"),
+    ("hex", "[0-9a-f]+", "length(hit) >= 24"),
+]
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Whole results of op4, op6 and op8, and the parts of op2, op3 and op9 that no model decides."""
+    return {"op4_parity_join": OP4, "op6_vector_dedup": OP6, "op8_nearest": OP8, "url_rules": _rules_sql(), "pii_base": _base_sql(PII_BASE, "rank, a"), "secrets_base": _base_sql(SECRETS_BASE, "a, rank")}
