@@ -40,7 +40,7 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     # nothing reads this query's shuffle files after its table is written; small batches keep texts and sets in bounds
-    wanted = {DROP_SHUFFLES: "true", BATCH_ROWS: "1000"}
+    wanted = {DROP_SHUFFLES: "true", BATCH_ROWS: "500"}
     before = {k: spark.conf.get(k) for k in wanted}
     try:
         for k, v in wanted.items():
