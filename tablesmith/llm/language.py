@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from .common import utf8, with_text
 
 #: Bound of the sample that the model is fitted on: documents of each language, those of least hashed id.
-SAMPLE_PER_LANG = 500
+SAMPLE_PER_LANG = 300
+#: The most frequent languages, those that a model tells apart; rows in any other teach nothing.
+MOST_LANGS = 200
 BITS, DIM = 13, 16
 LETTER = regex.compile(r"\p{L}")
 
@@ -86,7 +88,7 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 12, rate
     """Stochastic gradient descent over embeddings and softmax; a fifth of the sample sets the temperature and the rejection threshold."""
     rng = np.random.default_rng(seed)
     many = x.sum(axis=1, keepdims=True)
-    x = x / np.maximum(many, 1)
+    x /= np.maximum(many, 1)
     test = np.arange(len(x)) % 5 == 4 if len(x) >= 50 else np.zeros(len(x), bool)
     embed, out, bias = rng.normal(0, 0.1, (x.shape[1], DIM)).astype(np.float32), rng.normal(0, 0.1, (DIM, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
     rows = np.flatnonzero(~test)
@@ -123,11 +125,11 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 12, rate
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> LanguageModel | None:
-    """Learns from at most ``per_lang`` documents of each language. Rows without a language or a letter teach nothing; without any row there is no model (None)."""
+    """Learns from at most ``per_lang`` documents of each of the MOST_LANGS most frequent languages. Rows without a language or a letter teach nothing; without any row there is no model (None)."""
     known = docs.where(F.col(lang_col).isNotNull())
     # before anything is ranked, hashes alone let go of all but about twice the bound of each language
     order, cut = F.xxhash64(id_col), F.lit(False)
-    for row in known.groupBy(lang_col).count().collect():
+    for row in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGS).collect():
         share = (2 * per_lang + 200) / row["count"]
         cut = cut | (F.col(lang_col) == row[0]) & (F.lit(True) if share >= 1 else order < int(-(2**63) + 2**64 * share))
     known = known.where(cut).where(F.col(text_col).rlike(r"\p{L}"))
@@ -141,8 +143,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return None
     rows = sorted(rows, key=lambda r: (r[1], r[0]))
     langs = sorted({r[0] for r in rows})
+    y = np.array([langs.index(r[0]) for r in rows])
     x = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(len(rows), -1).astype(np.float32)
-    return train(x, np.array([langs.index(r[0]) for r in rows]), langs)
+    del rows
+    return train(x, y, langs)
 
 
 def identify(df: DataFrame, model: LanguageModel | None, text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:

@@ -13,7 +13,7 @@ from .common import sampled, utf8, with_text
 from .pretokens import range_hashes, word_ranges
 
 #: Bounds of the sample that the model is fitted on: labelled documents, and lines of one of them (longer ones are left out of the sample, never out of scoring).
-SAMPLE_DOCS, SAMPLE_LINES = 3000, 500
+SAMPLE_DOCS, SAMPLE_LINES = 2000, 100
 BLANKS = b" \t\n\r\x0b\x0c"
 GROUPS = (range(0x41, 0x5B), range(0x61, 0x7B), range(0x80, 0x100), range(0x30, 0x3A), BLANKS, b".,;:'-()\"?", b"!", b"|", b"#$%&*@^~<>{}[]\\/_=+`")
 
@@ -147,8 +147,8 @@ def train(x: np.ndarray, size: np.ndarray, text: np.ndarray, good: np.ndarray, r
     np.add.at(seen, (y[:-1][joined].astype(int), y[1:][joined].astype(int)), 1)
     first = second = np.zeros(len(weights) + 4)
     for t in range(1, rounds + 1):
-        p, pairs, _ = marginals(np.stack([np.zeros(len(x)), x @ weights], axis=1), steps, text)
-        slope = np.concatenate([x.T @ (p[:, 1] - y), (pairs - seen).ravel()]) / len(x) + ridge * np.concatenate([weights, steps.ravel()])
+        p, pairs, _ = marginals(np.stack([np.zeros(len(x)), x @ weights.astype(x.dtype)], axis=1), steps, text)
+        slope = np.concatenate([x.T @ (p[:, 1] - y).astype(x.dtype), (pairs - seen).ravel()]) / len(x) + ridge * np.concatenate([weights, steps.ravel()])
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         move = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
         weights, steps = weights - move[:-4], steps - move[-4:].reshape(2, 2)
@@ -186,7 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     size = [np.frombuffer(r[2], np.float32) for r in rows]
     text = np.repeat(np.arange(len(rows)), [len(s) for s in size])
     x = np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(len(text), -1)
-    return train(x.astype(float), np.concatenate(size), text, good)
+    size = np.concatenate(size)
+    del rows
+    return train(x, size, text, good)
 
 
 def score(df: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
