@@ -100,7 +100,7 @@ def loose_text(x: Column | str) -> Column:
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def compact_grid(grids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _normalized_grid(grids: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Every cell in NFKC, lower case, with only digits, a-z, CJK and Hangul left. Spark has no normalization function; each distinct cell of a batch is done once."""
     import re
     import unicodedata
@@ -115,3 +115,10 @@ def compact_grid(grids: Iterator[pd.Series]) -> Iterator[pd.Series]:
             return seen[cell]
 
         yield grid.map(lambda rows: None if rows is None else [[compact(c) for c in row] for row in rows])
+
+
+def compact_grid(grid: Column | str) -> Column:
+    """Every cell in NFKC, lower case, with only digits, a-z, CJK and Hangul left. ASCII is its own normal form: only tables with other characters leave the JVM."""
+    plain = F.forall(col(grid), lambda row: F.forall(row, lambda c: ~c.rlike("[^\\x00-\\x7F]")))
+    native = F.transform(col(grid), lambda row: F.transform(row, lambda c: F.regexp_replace(F.lower(c), "[^0-9a-z]+", "")))
+    return F.when(plain, native).otherwise(_normalized_grid(F.when(~plain, col(grid))))

@@ -12,6 +12,7 @@ from ..config import Config
 from ..functions import numbers, text
 from ..operators import blocks, cards, follow, grid, headers, models, payload, phases, records, split, templates
 from ..schemas import TARGET_FIELDS
+from ..scratch import written
 from ..sinks import sheets
 from ..sources import files
 
@@ -311,7 +312,7 @@ def _paged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT CAST(o_custkey AS VARCHAR) AS doc_id, CAST(page AS INTEGER) AS page, count(*) AS records FROM lineitem JOIN {PAGED} USING (l_orderkey) WHERE page <= 3 GROUP BY ALL")
 def page_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = headers.describe(grid.select(_paged_orders(spark, sf_dir), Config(min_score=-100.0)), templates=False).persist()
+    found = written(headers.describe(grid.select(_paged_orders(spark, sf_dir), Config(min_score=-100.0)), templates=False), "candidates")
     rows = follow.chain_records(found, False, phases.TRACKED)
     return rows.groupBy("doc_id", "page").agg(F.sum(F.size("records")).alias("records"))
 
@@ -339,6 +340,11 @@ def alternative_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", *(F.col("r.f")[k].alias(f) for k, f in enumerate(TARGET_FIELDS)))
 
 
+def _by_template(tables: DataFrame) -> DataFrame:
+    found = written(headers.describe(grid.select(tables, Config(min_score=-100.0))), "candidates")
+    return records.exploded(templates.template_records(found))
+
+
 FOUR_HEADER = ["TABLE: Components only used in the samples; Object / part No.", "Manufacturer / trademark", "Type / model", "Technical data"]
 
 
@@ -346,8 +352,196 @@ FOUR_HEADER = ["TABLE: Components only used in the samples; Object / part No.",
 def template_four(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = order_tables(spark, sf_dir, [*FOUR_HEADER, "", ""])
     four = raw.withColumn("grid", F.transform("grid", lambda r: F.slice(r, 1, 4)))
-    found = headers.describe(grid.select(four, Config(min_score=-100.0))).persist()
-    return records.exploded(templates.template_records(found)).select("doc_id", *TARGET_FIELDS[:4])
+    return _by_template(four).select("doc_id", *TARGET_FIELDS[:4])
+
+
+#: Line items by their place in an order, and what their cells say.
+PLACED = f"(SELECT *, {SORTED} AS place FROM lineitem)"
+NAME, MAKER, TYPE, SIZE = "'Part ' || l_partkey", "'Supplier ' || l_suppkey", "l_returnflag || '-' || l_linenumber", "CAST(l_quantity AS INTEGER)"
+FILLED = "last_value(CASE WHEN place % 2 = 1 THEN 'Part ' || l_partkey END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY place ROWS UNBOUNDED PRECEDING)"
+
+
+def placed_tables(spark: SparkSession, sf_dir: str, head: list[list[str]], row: Callable[[Column, Column], list[Column]]) -> DataFrame:
+    """A table for each order: ``head``, then ``row(line item, place from 1)`` for each of its items."""
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_quantity", "l_linestatus")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    rows = F.transform("items", lambda x, i: F.array(*row(x, i + 1)))
+    top = [F.array(*map(F.lit, r)) for r in head]
+    return lines.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit("pdfplumber_lines").alias("engine"), F.lit(1).alias("page"), F.lit(1).alias("table_index"), F.col("l_orderkey").alias("arrival_seq"), (F.concat(F.array(*top), rows) if top else rows).alias("grid"))
+
+
+def _said(x: Column) -> tuple[Column, Column, Column, Column]:
+    """Name, maker, type and size of a line item."""
+    return F.concat(F.lit("Part "), x["l_partkey"].cast("string")), F.concat(F.lit("Supplier "), x["l_suppkey"].cast("string")), F.concat(x["l_returnflag"], F.lit("-"), x["l_linenumber"].cast("string")), F.concat(x["l_quantity"].cast("int").cast("string"), F.lit(" mm2"))
+
+
+@query(f"SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, {FILLED} AS object_part_no, {MAKER} AS manufacturer_trademark, {TYPE} AS type_model, {SIZE} || ' mm²' AS technical_data, 'EN 1' AS standard, 'CE' AS marks_of_conformity FROM {PLACED}")
+def template_six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def row(x: Column, i: Column) -> list[Column]:
+        name, maker, kind, size = _said(x)
+        return [F.when(i % 2 == 1, name).otherwise(""), maker, kind, size, F.lit("EN 1"), F.lit("CE")]
+
+    return _by_template(placed_tables(spark, sf_dir, [["項次", "零組件", "取得標誌", "", "", ""], HEADER], row)).select("doc_id", *TARGET_FIELDS)
+
+
+@query(
+    f"SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, {FILLED} AS object_part_no, {MAKER} || CASE WHEN l_suppkey % 2 = 1 THEN '；Brand' ELSE '' END AS manufacturer_trademark, {TYPE} AS type_model, {SIZE} || ' mm²' AS technical_data, 'EN 1' AS standard, "
+    f"'CE' || CASE WHEN place % 3 > 0 THEN '；N' || place ELSE '' END AS marks_of_conformity FROM {PLACED}"
+)
+def template_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def row(x: Column, i: Column) -> list[Column]:
+        name, maker, kind, size = _said(x)
+        return [F.when(i % 2 == 1, name).otherwise(""), maker, F.when(x["l_suppkey"] % 2 == 1, "Brand").otherwise(maker), kind, size, F.lit("EN 1"), F.lit("CE"), F.when(i % 3 > 0, F.concat(F.lit("N"), i.cast("string"))).otherwise("")]
+
+    top = [["適用型號", "新申請", *[""] * 6], ["零組件/材料名稱", "製造商", "商標", "型號(零組件)", "技術規格/電氣規格", "驗證標準", "驗證標誌及號碼", "ＣＩ證書號碼"]]
+    return _by_template(placed_tables(spark, sf_dir, top, row)).select("doc_id", *TARGET_FIELDS)
+
+
+@query(
+    f"SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, {NAME} AS object_part_no, {MAKER} AS manufacturer_trademark, {TYPE} AS type_model, {SIZE} || ' mm²' || CASE WHEN more IS NULL OR contains({SIZE} || 'mm2', more || 'mm2') THEN '' ELSE ' ' || more || ' mm²' END AS technical_data, 'KC' AS marks_of_conformity "
+    f"FROM (SELECT *, lead(CASE WHEN place % 3 = 0 THEN {SIZE} END) OVER (PARTITION BY l_orderkey ORDER BY place) AS more FROM {PLACED}) WHERE place % 3 > 0"
+)
+def template_five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third row goes on with the one above it: its size is added unless what is there holds it already."""
+
+    def row(x: Column, i: Column) -> list[Column]:
+        name, maker, kind, size = _said(x)
+        whole = lambda c: F.when(i % 3 > 0, c).otherwise("")
+        return [whole(name), whole(maker), whole(kind), size, whole(F.lit("KC"))]
+
+    top = [["Component / part No.", "Manufacturer / brand", "Model / type", "Rating or characteristics", "Tested by"]]
+    return _by_template(placed_tables(spark, sf_dir, top, row)).select("doc_id", *TARGET_FIELDS[:4], TARGET_FIELDS[5])
+
+
+@query(f"SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, 'PM-' || min(l_partkey) OVER (PARTITION BY l_orderkey) AS product_model, {NAME} AS object_part_no, {MAKER} AS manufacturer_trademark, {TYPE} AS type_model, {SIZE} || ' mm²' AS technical_data, 'EN 1' AS standard, 'CE' AS marks_of_conformity FROM {PLACED} QUALIFY place % 4 > 0")
+def template_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth row is a remark; the model stands in the table's own third row."""
+
+    def row(x: Column, i: Column) -> list[Column]:
+        name, maker, kind, size = _said(x)
+        return [F.when(i % 4 > 0, name).otherwise(F.concat(F.lit("Remark "), name)), maker, kind, size, F.lit("EN 1"), F.lit("CE")]
+
+    tables = placed_tables(spark, sf_dir, [["Product information for model", "x", "", "", "", ""], ["Model", "Name", "", "", "", ""], HEADER], row)
+    least = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("doc_id")).agg(F.concat(F.lit("PM-"), F.min("l_partkey").cast("string")).alias("named"))
+    named = F.array(F.array("named", F.lit("n"), *(F.lit("") for _ in range(4))))
+    tables = tables.join(least, "doc_id").withColumn("grid", F.concat(F.slice("grid", 1, 2), named, F.slice("grid", 3, F.size("grid")))).drop("named")
+    return _by_template(tables).select("doc_id", "product_model", *TARGET_FIELDS)
+
+
+@query(f"SELECT CAST(o_custkey AS VARCHAR) AS doc_id, CAST(page AS INTEGER) AS page, count(*) AS records FROM lineitem JOIN {PAGED} USING (l_orderkey) WHERE page <= 2 GROUP BY ALL")
+def marked_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A marked table over a customer's pages; on the third another marked table begins, which ends the chain."""
+    tables = _paged_orders(spark, sf_dir)
+    title = lambda t: F.array(F.array(F.lit(t), *(F.lit("") for _ in range(5))))
+    rows = F.when(F.col("page") == 1, F.concat(title("TABLE: Components information"), "grid")).when(F.col("page") == 3, F.concat(title("TABLE: Heating test"), "grid")).otherwise(F.col("grid"))
+    found = written(headers.describe(grid.select(tables.withColumn("grid", rows), Config(min_score=-100.0)), templates=False), "candidates")
+    return follow.chain_records(found, True, phases.MARKED).groupBy("doc_id", "page").agg(F.sum(F.size("records")).alias("records"))
+
+
+@query(f"SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(CASE WHEN place % 2 = 1 THEN 1 ELSE 2 END AS INTEGER) AS page, count(*) AS records FROM {PLACED} WHERE place % 2 = 1 OR l_orderkey % 4 <= 2 GROUP BY ALL")
+def column_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even rows stand on a second page without a header, in a table that is none to three columns wider: two are tolerated."""
+
+    def row(x: Column, i: Column) -> list[Column]:
+        name, maker, kind, size = _said(x)
+        return [name, maker, kind, size, F.lit("EN 1"), F.lit("CE")]
+
+    both = placed_tables(spark, sf_dir, [], row)
+    pick = lambda k: F.filter("grid", lambda r, i: i % 2 == k)
+    first = both.withColumn("grid", F.concat(F.array(F.array(*map(F.lit, HEADER))), pick(0)))
+    wider = F.transform(pick(1), lambda r: F.concat(r, F.array_repeat(F.lit("x"), (F.col("arrival_seq") % 4).cast("int"))))
+    second = both.withColumns({"grid": wider, "page": F.lit(2), "arrival_seq": F.col("arrival_seq") + (1 << 40)}).where(F.size("grid") > 0)
+    found = written(headers.describe(grid.select(first.union(second), Config(min_score=-100.0)), templates=False), "candidates")
+    return follow.chain_records(found, False, phases.TRACKED).groupBy("doc_id", "page").agg(F.sum(F.size("records")).alias("records"))
+
+
+@query(f"SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, {NAME} AS object_part_no FROM {PLACED} WHERE place % 3 = 1")
+def noise_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three rows one is a part, one a remark, one the header once more."""
+
+    def row(x: Column, i: Column) -> list[Column]:
+        cells = [*_said(x), F.lit("EN 1"), F.lit("CE")]
+        cells[0] = F.when(i % 3 == 2, F.concat(F.lit(" REMARKS: "), cells[0])).otherwise(cells[0])
+        return [F.when(i % 3 == 0, F.lit(h)).otherwise(c) for h, c in zip(HEADER, cells, strict=True)]
+
+    tables = placed_tables(spark, sf_dir, [], row)
+    found = records.projected(F.col("grid"), F.array(*map(F.lit, range(6))), F.lit(0), True)
+    return tables.select("doc_id", F.explode(found).alias("r")).select("doc_id", F.col("r.f")[0].alias("object_part_no"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 15 <= 5 THEN p_size % 15 + 1 ELSE -1 END AS loose, CASE WHEN p_size % 15 <= 9 THEN p_size % 15 + 1 ELSE -1 END AS strict, CASE WHEN p_size % 15 <= 11 THEN p_size % 15 + 1 ELSE -1 END AS ordered FROM part")
+def header_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header below none to fourteen other rows: each search reads its own number of rows."""
+    above = F.array_repeat(F.array(*(F.lit("x") for _ in range(6))), (F.col("p_size") % 15).cast("int"))
+    norms = F.transform(F.concat(above, F.array(F.array(*map(F.lit, HEADER)))), lambda r: F.transform(r, text.match_key))
+    out = table(spark, sf_dir, "part").withColumn("norms", norms)
+    found = {"loose": headers.loose_header, "strict": headers.strict_header, "ordered": headers.ordered_header}
+    return out.select("p_partkey", *(F.coalesce(f(F.col("norms"))["start_row"], F.lit(-1)).alias(k) for k, f in found.items()))
+
+
+@query("SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') || '零組件' || p_size || 'fi' AS cell FROM part")
+def compact_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-width letters and digits and a ligature are read as what they stand for."""
+    wide = F.translate(F.concat(F.upper("p_name"), F.lit(" / 零組件："), F.col("p_size").cast("string")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ０１２３４５６７８９")
+    out = table(spark, sf_dir, "part").withColumn("grid", F.array(F.array(F.concat(wide, F.lit("ﬁ")))))
+    return out.select("p_partkey", text.compact_grid("grid")[0][0].alias("cell"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_brand WHEN p_size % 3 = 1 THEN p_brand || '；' || p_name ELSE p_name END AS joined FROM part")
+def join_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size") % 3
+    first, second = F.when(size < 2, F.col("p_brand")).otherwise(" "), F.when(size == 0, F.concat("p_brand", F.lit("\n"))).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.join_distinct(first, second).alias("joined"))
+
+
+@query(
+    f"WITH found AS (SELECT l_orderkey, {NAME.replace('Part ', 'AB-')} AS model, place FROM {PLACED} WHERE place < 3 AND l_orderkey % 7 > 0 AND l_orderkey % 5 > 0), known AS (SELECT DISTINCT l_orderkey FROM lineitem) "
+    "SELECT CAST(k.l_orderkey AS VARCHAR) AS file_name, f.model, CASE WHEN k.l_orderkey % 7 = 0 THEN '失败' WHEN f.model IS NULL THEN '未识别' ELSE '成功' END AS status FROM known k LEFT JOIN (SELECT DISTINCT l_orderkey, model FROM found) f USING (l_orderkey)"
+)
+def model_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models listed under a header down to the third row, which is blank; every fifth file has no list, every seventh could not be read."""
+
+    def row(x: Column, i: Column) -> list[Column]:
+        cell = lambda c: F.when(i != 3, c).otherwise("")
+        return [cell(F.concat(F.lit("AB-"), x["l_partkey"].cast("string"))), cell(F.lit("Z")), cell(F.lit("5 A"))]
+
+    tables = placed_tables(spark, sf_dir, [["Model", "Brand name", "Rating"]], row)
+    number = F.col("arrival_seq")
+    files_ = tables.select("doc_id", F.col("doc_id").alias("file_name"), F.lit("").alias("path"), F.when(number % 7 == 0, "broken").alias("error"))
+    pages = tables.where(number % 7 > 0).select("doc_id", F.col("doc_id").alias("file_name"), F.lit("").alias("path"), "page", F.lit("nothing here").alias("text"))
+    return models.models(pages, tables.where((number % 7 > 0) & (number % 5 > 0)), files_).select("file_name", "model", "status")
+
+
+@query("SELECT p_partkey AS row, 'QX' || p_size || '-A' AS model, CAST(3 AS INTEGER) AS cnt FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, p_name, -1 FROM part WHERE p_size % 2 = 1")
+def sheet_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet is found by its column among sheets without one, a result sheet, and a later one that has it too."""
+    detail = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("QX"), F.col("p_size").cast("string"), F.lit("-A 三台"))).otherwise(F.col("p_name"))
+    body = table(spark, sf_dir, "part").select(F.lit("data").alias("sheet"), F.lit(3).alias("sheet_index"), (F.col("p_partkey") + 10).cast("int").alias("row_index"), F.array(F.col("p_partkey").cast("string"), detail).alias("values"))
+    head = lambda sheet, k, row: table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit(sheet).alias("sheet"), F.lit(k).alias("sheet_index"), F.lit(row).alias("row_index"), F.array(F.lit("no"), F.lit(f" {split.DETAIL} ")).alias("values"))
+    rows = body.union(head("data", 3, 4)).union(head(split.RESULT_SHEET, 1, 1)).union(head("later", 4, 1)).union(head("deep", 2, 31))
+    out = split.split_sheet(rows)
+    return out.select(F.col("values")[0].cast("bigint").alias("row"), "model", F.coalesce("cnt", F.lit(-1)).alias("cnt"))
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 1 AS INTEGER) AS row_index, n_name AS name, CAST(n_nationkey AS VARCHAR) AS number FROM nation UNION ALL SELECT CAST(r_regionkey AS VARCHAR), 1, 'n_name', 'n_nationkey' FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
+def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for each region, read back cell by cell."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("doc_id"), F.col("n_nationkey").alias("at"), "n_name", "n_nationkey")
+    made = sheets.workbooks(rows, order=("at",))
+    read = files.opened(made.select(F.col("doc_id").alias("path"), "content"))
+    return read.select(F.col("path").alias("doc_id"), "row_index", F.col("values")[0].alias("name"), F.col("values")[1].alias("number"))
+
+
+@query(f"SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CASE WHEN l_orderkey % 2 = 0 THEN 'pdfplumber_lines' ELSE 'other' END AS engine, count(DISTINCT ({NAME}, {MAKER}, {TYPE}, {SIZE})) AS records FROM lineitem GROUP BY ALL")
+def engine_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents have tables from the first engine; the others' come from a second one."""
+
+    def row(x: Column, i: Column) -> list[Column]:
+        return [*_said(x), F.lit("EN 1"), F.lit("CE")]
+
+    tables = placed_tables(spark, sf_dir, [HEADER], row)
+    mixed = tables.withColumn("engine", F.when(F.col("arrival_seq") % 2 == 0, "pdfplumber_lines").otherwise("other"))
+    return phases.extract_with_retry(mixed).groupBy("doc_id", "engine").agg(F.count("*").alias("records"))
 
 
 # ---- models, splitting, cards

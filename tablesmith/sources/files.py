@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import CELLS, PAGE_TEXT, SHEET_ROWS
 
@@ -18,6 +19,7 @@ PDF_GLOB = "*.[pP][dD][fF]"
 # Tolerances of the line-based table search.
 LINE_SETTINGS = {"vertical_strategy": "lines", "horizontal_strategy": "lines", "snap_tolerance": 3, "join_tolerance": 3, "edge_min_length": 20, "min_words_vertical": 1, "min_words_horizontal": 1, "intersection_tolerance": 3, "text_tolerance": 3}
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = PDF_GLOB, recursive: bool = True, limit: int = 0) -> DataFrame:
@@ -93,9 +95,11 @@ def sheet_rows(content: bytes) -> Iterator[tuple[str, int, int, list[str | None]
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{NS}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{NS}si")]
-        names = [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{NS}sheet")]
-        for k, name in enumerate(names, 1):
-            with book.open(f"xl/worksheets/sheet{k}.xml") as part:
+        # sheets may stand in parts of any name and order; the workbook's relations say where
+        parts = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        sheets = [(s.get("name"), parts[s.get(f"{RELATION}id")]) for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{NS}sheet")]
+        for k, (name, target) in enumerate(sheets, 1):
+            with book.open(target.lstrip("/") if target.startswith("/") else f"xl/{target}") as part:
                 for _, node in ElementTree.iterparse(part):
                     if node.tag != f"{NS}row":
                         continue
@@ -116,25 +120,33 @@ def sheet_rows(content: bytes) -> Iterator[tuple[str, int, int, list[str | None]
                     node.clear()
 
 
-def read_workbooks(spark: SparkSession, path: str, pattern: str = "*.xls[xm]") -> DataFrame:
-    """(path, sheet, sheet_index, row_index, values) of xlsx and xlsm files, file by file on the executors."""
+def opened(workbooks: DataFrame) -> DataFrame:
+    """(path, sheet_index, sheet, row_index, values) of workbooks given as path and content; one that cannot be read gives one row with sheet ``error``, index 0 and the message as its value."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [(name, s, k, r, v) for s, k, r, v in sheet_rows(content)]
-                yield pd.DataFrame(rows, columns=["path", "sheet", "sheet_index", "row_index", "values"])
+                try:
+                    rows = [(name, k, s, r, v) for s, k, r, v in sheet_rows(content)]
+                except Exception as broken:  # one bad file does not end the run
+                    rows = [(name, 0, "error", 0, [f"{type(broken).__name__}: {broken}"])]
+                yield pd.DataFrame(rows, columns=["path", "sheet_index", "sheet", "row_index", "values"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "content").mapInPandas(work, f"path string, sheet_index int, {SHEET_ROWS}")
+    return workbooks.select("path", "content").mapInPandas(work, f"path string, sheet_index int, {SHEET_ROWS}")
+
+
+def read_workbooks(spark: SparkSession, path: str, pattern: str = "*.xls[xm]") -> DataFrame:
+    """:func:`opened` for the xlsx and xlsm files of a folder, file by file on the executors."""
+    return opened(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path))
 
 
-def settings(lines: DataFrame, value_col: str = "value") -> DataFrame:
-    """(key, value) of ``KEY=VALUE`` lines: comments and other lines are skipped, quotes around values go, the first of a key counts as read order gives it."""
+def settings(lines: DataFrame, value_col: str = "value", order: str | None = None) -> DataFrame:
+    """(key, value) of ``KEY=VALUE`` lines: comments and other lines are skipped, quotes around values go. Of a repeated key the first counts, by the column ``order`` (a line number), else by the least value."""
     line = F.btrim(F.col(value_col))
     parts = F.split(line, "=", 2)
     value = F.regexp_replace(F.btrim(parts[1]), "^[\"']+|[\"']+$", "")
-    return lines.where(~F.startswith(line, F.lit("#")) & line.contains("=")).select(F.btrim(parts[0]).alias("key"), value.alias("value"))
+    found = lines.where(~F.startswith(line, F.lit("#")) & line.contains("=")).select(F.btrim(parts[0]).alias("key"), value.alias("value"), (F.col(order) if order else value).alias("__at"))
+    return found.groupBy("key").agg(F.min_by("value", F.struct("__at", "value")).alias("value"))
 
 
 def prompt(text: Column | str | None, file_text: Column | None = None) -> Column:
@@ -146,8 +158,8 @@ def prompt(text: Column | str | None, file_text: Column | None = None) -> Column
 
 
 def images(requests: DataFrame, url: str, key: str, timeout: int = 600) -> DataFrame:
-    """(…, body, error) for requests with a ``payload`` column, posted row by row on the executors; decode body with operators.payload."""
-    columns = requests.columns
+    """(…, body, error) for requests with a ``payload`` column, posted row by row on the executors; decode body with operators.payload. A task that Spark repeats posts its rows again: write the answers, then read those."""
+    columns = [c for c in requests.columns if c not in ("body", "error")]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from urllib import error, request
@@ -168,4 +180,5 @@ def images(requests: DataFrame, url: str, key: str, timeout: int = 600) -> DataF
                     errors.append(f"request failed: {failed.reason}")
             yield batch.assign(body=bodies, error=errors)[[*columns, "body", "error"]]
 
-    return requests.mapInPandas(work, requests.schema.add("body", "string").add("error", "string"))
+    kept = [f for f in requests.schema.fields if f.name not in ("body", "error")]
+    return requests.mapInPandas(work, T.StructType(kept).add("body", "string").add("error", "string"))

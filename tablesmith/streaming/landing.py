@@ -19,7 +19,7 @@ def extract_stream(cells: DataFrame, target: str, checkpoint: str, config: Confi
     """A writer whose batches append target records to ``target``; a document's cells must arrive in one file. Each batch has a folder of its own, so a repeated batch replaces its rows."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        found = phases.extract(grid.engine_union(grid.grids(rows)), config, cache=False)
+        found = phases.extract(grid.engine_union(grid.grids(rows)), config)
         found.select("doc_id", *TARGET_COLUMNS).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return cells.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

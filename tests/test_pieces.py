@@ -80,3 +80,60 @@ def test_prompt(spark):
     assert one(spark, "﻿from file ", lambda c: files.prompt("literal" and F.lit("literal"), c)) == "from file"
     with pytest.raises(Exception, match="prompt must not be empty"):
         one(spark, " ", lambda c: files.prompt(c))
+
+
+def test_sheets_stand_where_the_relations_say_and_a_broken_file_gives_an_error_row(spark, tmp_path):
+    import zipfile
+
+    book = sheets.workbook({"first": [["a"]], "second": [["b"]]})
+    (tmp_path / "plain.xlsx").write_bytes(book)
+    with zipfile.ZipFile(tmp_path / "plain.xlsx") as old, zipfile.ZipFile(tmp_path / "moved.xlsx", "w") as new:
+        for name in old.namelist():
+            content = old.read(name)
+            if name.endswith("workbook.xml.rels"):
+                content = content.replace(b"sheet1.xml", b"x.xml").replace(b"sheet2.xml", b"sheet1.xml").replace(b"x.xml", b"sheet2.xml")
+            new.writestr(name, content)
+    (tmp_path / "broken.xlsx").write_bytes(b"no workbook")
+    rows = {(r["path"].rsplit("/", 1)[1], r["sheet"]): r["values"] for r in files.read_workbooks(spark, str(tmp_path)).collect()}
+    assert rows["plain.xlsx", "first"] == ["a"] and rows["moved.xlsx", "first"] == ["b"] and rows["moved.xlsx", "second"] == ["a"]
+    assert "BadZipFile" in rows["broken.xlsx", "error"][0]
+
+
+def test_the_first_of_a_repeated_setting_counts(spark):
+    lines = spark.createDataFrame([(1, "A = '1'"), (2, "# A=0"), (3, "A=2"), (4, "no setting"), (5, "B=x=y")], "n int, value string")
+    assert {r["key"]: r["value"] for r in files.settings(lines.repartition(3), order="n").collect()} == {"A": "1", "B": "x=y"}
+
+
+def test_image_requests_against_a_stub(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Stub(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            seen.append((self.path, self.headers["Authorization"], json.loads(body)))
+            good = json.loads(body)["prompt"] != "bad"
+            self.send_response(200 if good else 400)
+            self.end_headers()
+            self.wfile.write(b'{"data":[{"b64_json":"ZmFrZQ=="}]}' if good else b"refused")
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Stub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    rows = spark.createDataFrame([(1, '{"prompt":"ok"}'), (2, '{"prompt":"bad"}')], "id int, payload string").coalesce(1)
+    found = files.images(rows, f"http://127.0.0.1:{server.server_port}/v1/", "key", 5).withColumn("image", payload.image_bytes("body")).orderBy("id").collect()
+    server.shutdown()
+    assert bytes(found[0]["image"]) == b"fake" and found[0]["error"] is None
+    assert found[1]["image"] is None and found[1]["error"] == "HTTP 400: refused"
+    assert seen[0][0] == "/v1/images/generations" and seen[0][1] == "Bearer key"
+
+
+def test_cards_read_entities_quotes_and_nesting(spark):
+    page = "<article class='x Box-row y'><h2 class=h><a class='l' href='/o/r-1'><b>o</b> / r</a></h2><p class='a color-fg-muted'>A &amp; B <i>it</i>&#39;s</p></article><article class='Box-rows'><h2><a href='/no/no'>x</a></h2></article><article class=\"Box-row\"><h2>no link</h2></article><article class=\"Box-row\"><h2><a href=\"/not/closed\">x</a></h2>"
+    rows = cards.cards(spark.createDataFrame([(page,)], "html string")).collect()
+    assert [(r["name"], r["url"], r["description"], r["language"], r["stars"]) for r in rows] == [("o/r-1", "https://github.com/o/r-1", "A & B it's", cards.UNKNOWN, 0)]
