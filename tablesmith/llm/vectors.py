@@ -24,7 +24,7 @@ PARTED, MISSED = 0.04, 1e-4
 #: Rows of a leaf that are compared with as many at a time.
 TILE = 512
 #: Coded rows and queries that meet in a task, and queries looked at together.
-BLOCK, QUERY_BLOCK, QUERIES = 16_384, 4096, 64
+BLOCK, QUERY_BLOCK, QUERIES = 8192, 4096, 16
 CODE_BITS = 128
 
 
@@ -243,11 +243,12 @@ def estimated(codes: np.ndarray, ones: np.ndarray, query: np.ndarray, levels: in
     return 2 * (step * hit + low * ones[None, :]) - rounded.sum(axis=1, keepdims=True)
 
 
-def block_search(queries: tuple[np.ndarray, np.ndarray], rows: dict[str, np.ndarray], turn: np.ndarray, center: np.ndarray, k: int, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, low, high): bounds on the squared distance of the rows that may be among a query's k nearest of this block.
+def block_search(queries: tuple[np.ndarray, np.ndarray], rows: dict[str, np.ndarray], turn: np.ndarray, center: np.ndarray, k: int, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the k nearest rows in the block for each query.
 
     The squared distance is estimated from the codes; its error is bounded by ``width`` standard deviations of the
-    part of the unit vector that the code misses. Rows whose lower bound lies above the k-th smallest upper bound go.
+    part of the unit vector that the code misses. Rows whose lower bound lies below the k-th smallest upper bound are
+    measured on the original vectors, squares being added from the first component to the last.
     """
     ids, x = queries
     y = (x - center) @ turn
@@ -260,11 +261,19 @@ def block_search(queries: tuple[np.ndarray, np.ndarray], rows: dict[str, np.ndar
     scale = 2 * size[:, None] * rows["size"][None, :]
     guess, error = base - scale * inner, scale * slack[None, :]
     own = ids[:, None] == rows["id"][None, :]
-    low, high = guess - error, np.where(own, np.inf, guess + error)
+    high = np.where(own, np.inf, guess + error)
     near = min(k, len(rows["id"])) - 1
     limit = np.partition(high, near, axis=1)[:, near]
-    q, r = np.nonzero((low <= limit[:, None]) & ~own)
-    return ids[q], rows["id"][r], low[q, r], high[q, r]
+    q, r = np.nonzero((guess - error <= limit[:, None]) & ~own)
+    far = np.zeros(len(q))
+    for c in range(x.shape[1]):
+        far += (x[q, c] - rows["v"][r, c]) ** 2
+    far = np.sqrt(far)
+    order = np.lexsort((rows["id"][r], far, q))
+    q, r, far = q[order], r[order], far[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    top = rank < k
+    return ids[q[top]], rows["id"][r[top]], far[top]
 
 
 def encoded(v: np.ndarray, turn: np.ndarray, center: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,9 +290,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
     """(query_id, rank, vec_id, score): for every row that ``is_query`` marks, the k nearest other rows by Euclidean distance in double precision, ties to the smaller id.
 
     Rows are coded once (bits packed in numbers, a norm and a correction scalar each) and dealt into blocks of about
-    BLOCK; queries into blocks of QUERY_BLOCK, each of which meets every block of rows in a task of its own. Only codes
-    travel to the tiles, which return the rows that their bounds leave; rows within a query's bound over all tiles are
-    then measured on the original vectors. Vectors that are null, zero or hold null or non-finite components, rows
+    BLOCK; queries into blocks of QUERY_BLOCK, each of which meets every block of rows in a task of its own: a row travels
+    once for each QUERY_BLOCK queries. A tile returns k rows a query at most. Vectors that are null, zero or hold null or non-finite components, rows
     without an id, and vectors of another length than most have take no part. Repeated rows are candidates each. An
     empty table gives an empty result; other columns are not looked at. The sample sets the centre alone.
     """
@@ -304,32 +312,25 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed_, size, fit = encoded(matrix(batch.column(1)), turn, center)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c.tobytes() for c in packed_], pa.binary()), pa.array(size), pa.array(fit)], ["id", "block", "code", "size", "fit"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in packed_], pa.binary()), pa.array(size), pa.array(fit)], ["id", "v", "block", "code", "size", "fit"])
 
+    kind = df.schema[vector_col].dataType.simpleString()
     coded = rows.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-    coded = durable(coded.mapInArrow(code, "id bigint, block int, code binary, size double, fit double"), "codes")
+    coded = durable(coded.mapInArrow(code, f"id bigint, v {kind}, block int, code binary, size double, fit double"), "codes")
     left = coded.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     ask = rows.where("asks").select("id", "v", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(query_blocks)).cast("int").alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = ([], [], [], [])
+        out = ([], [], [])
         if a.num_rows and b.num_rows:
             a, b = a.combine_chunks(), b.combine_chunks()
             codes = np.frombuffer(b"".join(a["code"].to_pylist()), np.uint64).reshape(a.num_rows, -1)
-            held = {"id": a["id"].to_numpy(), "code": codes, "ones": np.bitwise_count(codes).sum(axis=1).astype(float), "size": a["size"].to_numpy(), "fit": a["fit"].to_numpy()}
+            held = {"id": a["id"].to_numpy(), "v": matrix(a["v"].combine_chunks()), "code": codes, "ones": np.bitwise_count(codes).sum(axis=1).astype(float), "size": a["size"].to_numpy(), "fit": a["fit"].to_numpy()}
             x, ids = matrix(b["v"].combine_chunks()), b["id"].to_numpy()
             parts = [block_search((ids[i : i + QUERIES], x[i : i + QUERIES]), held, turn, center, k, width) for i in range(0, len(ids), QUERIES)]
             out = tuple(np.concatenate(p) for p in zip(*parts, strict=True))
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "low": pa.array(out[2], pa.float64()), "high": pa.array(out[3], pa.float64())})
-
-    found = left.groupBy("block", "query_block").cogroup(ask.groupBy("block", "query_block")).applyInArrow(tile, "query_id bigint, vec_id bigint, low double, high double")
-    found = durable(found, "bounds")
-    # the k-th smallest upper bound over all tiles
-    by_high = F.row_number().over(W.partitionBy("query_id").orderBy("high", "vec_id"))
-    limits = found.withColumn("place", by_high).where(F.col("place") <= k).groupBy("query_id").agg(F.max("high").alias("most"), F.count("*").alias("n"))
-    chosen = found.join(limits, "query_id").where((F.col("low") <= F.col("most")) | (F.col("n") < k)).select("query_id", "vec_id").distinct()
-    measured = chosen.join(rows.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(rows.where("asks").select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    square = lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))
-    measured = measured.select("query_id", "vec_id", F.sqrt(F.aggregate(F.zip_with("v", "q", square), F.lit(0.0), lambda s, d: s + d)).alias("score"))
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+    found = left.groupBy("block", "query_block").cogroup(ask.groupBy("block", "query_block")).applyInArrow(tile, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return measured.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
