@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -282,7 +283,7 @@ def encoded(v: np.ndarray, turn: np.ndarray, center: np.ndarray) -> tuple[np.nda
     size = np.linalg.norm(y, axis=1)
     unit = y / np.maximum(size, 1e-300)[:, None]
     signs = y > 0
-    fit = np.where(size > 0, np.abs(unit).sum(axis=1) / np.sqrt(y.shape[1]), 1.0)
+    fit = np.where(np.abs(unit).sum(axis=1) > 0, np.abs(unit).sum(axis=1) / np.sqrt(y.shape[1]), 1.0)
     return packed(signs), size, fit
 
 
@@ -300,18 +301,21 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
     rows = rows.where(usable(F.col("v")) & F.col("id").isNotNull())
     length = main_length(rows)
     rows = rows.where(F.size("v") == length)
-    total, asks = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
+    largest = F.aggregate(F.transform("v", lambda c: F.abs(c.cast("double"))), F.lit(0.0), lambda a, b: F.greatest(a, b))
+    total, asks, most = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0)), F.max(largest)).first()
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     if not asks:
         return spark.createDataFrame([], empty)
-    center = np.array([r[0] for r in sampled(rows, "id", sample, total).select("v").collect()], float).mean(axis=0)
+    # all work is done in this unit, a power of two, so squares stay finite and results are the same to the last bit
+    unit = 2.0 ** min(1023, math.ceil(math.log2(most)))
+    center = (np.array([r[0] for r in sampled(rows, "id", sample, total).select("v").collect()], float) / unit).mean(axis=0)
     bits = max(bits, -(-length // 64) * 64)
     turn = rotation(length, bits)
     blocks, query_blocks = -(-total // BLOCK), -(-asks // QUERY_BLOCK)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed_, size, fit = encoded(matrix(batch.column(1)), turn, center)
+            packed_, size, fit = encoded(matrix(batch.column(1)) / unit, turn, center)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in packed_], pa.binary()), pa.array(size), pa.array(fit)], ["id", "v", "block", "code", "size", "fit"])
 
     kind = df.schema[vector_col].dataType.simpleString()
@@ -325,11 +329,11 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
         if a.num_rows and b.num_rows:
             a, b = a.combine_chunks(), b.combine_chunks()
             codes = np.frombuffer(b"".join(a["code"].to_pylist()), np.uint64).reshape(a.num_rows, -1)
-            held = {"id": a["id"].to_numpy(), "v": matrix(a["v"].combine_chunks()), "code": codes, "ones": np.bitwise_count(codes).sum(axis=1).astype(float), "size": a["size"].to_numpy(), "fit": a["fit"].to_numpy()}
-            x, ids = matrix(b["v"].combine_chunks()), b["id"].to_numpy()
+            held = {"id": a["id"].to_numpy(), "v": matrix(a["v"].combine_chunks()) / unit, "code": codes, "ones": np.bitwise_count(codes).sum(axis=1).astype(float), "size": a["size"].to_numpy(), "fit": a["fit"].to_numpy()}
+            x, ids = matrix(b["v"].combine_chunks()) / unit, b["id"].to_numpy()
             parts = [block_search((ids[i : i + QUERIES], x[i : i + QUERIES]), held, turn, center, k, width) for i in range(0, len(ids), QUERIES)]
             out = tuple(np.concatenate(p) for p in zip(*parts, strict=True))
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(np.asarray(out[2], float) * unit, pa.float64())})
 
     found = left.groupBy("block", "query_block").cogroup(ask.groupBy("block", "query_block")).applyInArrow(tile, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
