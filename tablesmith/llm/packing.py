@@ -1,6 +1,7 @@
 """Packing tokenized documents into sequences by cutting-stock column generation.
 
-A document's ids are cut at every multiple of the sequence length, so that all pieces but its last fill a sequence.
+A document's ids are cut at every multiple of the sequence length, so that all pieces before the rest fill a sequence,
+and a rest longer than half a sequence is cut at the half: no piece is then too long to share a sequence with another.
 The histogram of piece lengths, in units of a few tokens, is all that the driver sees: it has at most ``capacity``
 bars at any corpus size. A linear program over patterns (which lengths share a sequence) is solved by column
 generation, a knapsack dynamic program pricing the columns; the patterns' counts are rounded down, what remains is
@@ -27,7 +28,9 @@ UNIT = 4
 
 
 def pieces(df: DataFrame, path: str, length: int = LENGTH, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens): every document's ids with ``end_id`` behind them, cut at the multiples of ``length``. Null texts are empty and have the end id alone."""
+    """(id, start, length, ids_crc32, doc_tokens): every document's ids with ``end_id`` behind them, cut at the multiples of ``length`` and, where more than its half is left, half a ``length`` further. Null texts are empty and have the end id alone."""
+
+    half = max(1, length // 2)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = encoder(path)
@@ -39,10 +42,12 @@ def pieces(df: DataFrame, path: str, length: int = LENGTH, end_id: int = 0, id_c
                 ids, at = run([t or "" for t in text.slice(i, j - i).to_pylist()])
                 raw = memoryview(ids.astype("<u4").tobytes())
                 total = np.diff(at) + 1
-                count = -(-total // length)
+                full, rest = total // length, total % length
+                count = full + (rest > 0) + (rest > half)
                 owner = np.repeat(np.arange(j - i), count)
-                start = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * length
-                size = np.minimum(length, total[owner] - start)
+                number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                start = np.where(number <= full[owner], number * length, full[owner] * length + half)
+                size = np.where(number < full[owner], length, np.where(number > full[owner], rest[owner] - half, np.minimum(rest[owner], half)))
                 last = start + size == total[owner]
                 a = at[owner] + start
                 crc = [zlib.crc32(tail, c) if z else c for b, e, z in zip(a.tolist(), (a + size - last).tolist(), last.tolist(), strict=True) for c in [zlib.crc32(raw[4 * b : 4 * e])]]

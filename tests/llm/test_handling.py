@@ -188,7 +188,19 @@ def test_packing_leaves_little_padding(spark):
     rows = packing.pack(packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), P.path("byte_bpe_50k.json"))).collect()
     used = sum(r["length"] for r in rows)
     print("filled", used / 1024 / len({r["sequence_id"] for r in rows}))
-    assert used / 1024 / len({r["sequence_id"] for r in rows}) > 0.85
+    assert used / 1024 / len({r["sequence_id"] for r in rows}) > 0.985
+    assert {r["start"] % 1024 for r in rows} == {0, 512}
+
+
+@pytest.mark.parametrize("length", [1, 2, 7, 64])
+def test_pieces_of_any_sequence_length_are_gapless(spark, length):
+    texts = ["word " * n for n in range(0, 200, 3)]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), P.path("byte_bpe_50k.json"), length).collect()
+    at = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        assert r["start"] == at.get(r["doc_id"], 0) and 0 < r["length"] <= length
+        at[r["doc_id"]] = r["start"] + r["length"]
+    assert at == {r["doc_id"]: r["doc_tokens"] for r in rows} and len(at) == len(texts)
 
 
 def test_labels_that_copy_one_url_teach_once(spark):
