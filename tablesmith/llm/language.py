@@ -20,6 +20,8 @@ SAMPLE_PER_LANG = 300
 #: The most frequent languages, those that a model tells apart; rows in any other teach nothing.
 MOST_LANGS = 200
 BITS, DIM = 13, 16
+#: Calibrated chance of being right that a text must reach, unless right answers held back from training had less.
+SURE = 0.6
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -118,8 +120,8 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 12, rate
     p = np.exp(heat * (z - z.max(axis=1, keepdims=True)))
     p /= p.sum(axis=1, keepdims=True)
     right = p.argmax(axis=1) == y[check]
-    # half of the weakest right answer, so that what is rejected lies well outside what was seen
-    least = min(0.5, 0.5 * float(p[right].max(axis=1).min())) if right.any() else 0.0
+    # no right answer of those held back falls below it, whatever SURE asks for
+    least = min(SURE, float(p[right].max(axis=1).min())) if right.any() else 0.0
     table = np.concatenate([embed @ out * heat, np.ones((len(embed), 1))], axis=1)
     return LanguageModel(langs, np.concatenate([table, np.zeros((1, table.shape[1]))]).astype(np.float32), bias * heat, least)
 

@@ -147,6 +147,20 @@ def test_language_by_subwords(spark):
     assert language.fit(docs.limit(0)) is None
 
 
+def test_a_language_not_learned_is_mostly_rejected():
+    rnd = random.Random(4)
+    letters = {lang: rnd.sample("abcdefghijklmnopqrstuvwxyz", 14) for lang in "abcx"}
+    words = {lang: ["".join(rnd.choices(some, k=rnd.randint(2, 8))) for _ in range(150)] for lang, some in letters.items()}
+    make = lambda lang, many: [" ".join(rnd.choices(words[lang], k=rnd.randint(8, 40))) for _ in range(many)]
+    bytes_of = lambda texts: utf8(pa.array(texts))
+    texts = [(t, k) for k, lang in enumerate("abc") for t in make(lang, 120)]
+    rnd.shuffle(texts)
+    model = language.train(language.counts(*bytes_of([t for t, _ in texts])), np.array([k for _, k in texts]), list("abc"))
+    known, other = (model.probabilities(*bytes_of([t for lang in some for t in make(lang, 200)])).max(axis=1) for some in ("abc", "x"))
+    assert (known < model.least).mean() < 0.01
+    assert (other < model.least).mean() > 0.7
+
+
 def plain_base(text):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
