@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -102,3 +104,35 @@ def workbooks(df: DataFrame, doc_col: str = "doc_id", sheet: str = TARGET_SHEET,
         return pd.DataFrame({"doc_id": [str(group[doc_col].iloc[0])], "content": [workbook({sheet: [names, *body]})]})
 
     return df.select(doc_col, *columns).groupBy(doc_col).applyInPandas(work, "doc_id string, content binary")
+
+
+def write_files(df: DataFrame, path_col: str = "output", content_col: str = "content") -> DataFrame:
+    """(path, bytes, error) of files written on the executors: workbooks, images, any bytes.
+
+    ``path`` is an absolute path or URI that all executors reach. A file is written beside its place and then moved there, so a
+    repeated task leaves one whole file; of rows that share a path the last moved stays. A null content writes nothing
+    and is an error row, as is a path that cannot be written.
+    """
+
+    def put(path: str, content: bytes | None) -> tuple[str, int | None, str | None]:
+        from pyarrow import ArrowException, fs
+
+        if content is None:
+            return path, None, "no content"
+        try:
+            system, at = fs.FileSystem.from_uri(path)
+            folder = at.rpartition("/")[0]
+            system.create_dir(folder, recursive=True)
+            beside = f"{folder}/.{uuid.uuid4().hex}"
+            with system.open_output_stream(beside) as out:
+                out.write(content)
+            system.move(beside, at)
+            return path, len(content), None
+        except (OSError, ArrowException) as failed:
+            return path, None, f"{type(failed).__name__}: {failed}"
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([put(p, c) for p, c in zip(batch["path"], batch["content"], strict=True)], columns=["path", "bytes", "error"]).astype({"bytes": "Int64"})
+
+    return df.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")).mapInPandas(work, "path string, bytes bigint, error string")

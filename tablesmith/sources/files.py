@@ -182,3 +182,28 @@ def images(requests: DataFrame, url: str, key: str, timeout: int = 600) -> DataF
 
     kept = [f for f in requests.schema.fields if f.name not in ("body", "error")]
     return requests.mapInPandas(work, T.StructType(kept).add("body", "string").add("error", "string"))
+
+
+def fetch(pages: DataFrame, url_col: str = "url", timeout: int = 20) -> DataFrame:
+    """(…, html, error): each row's page by HTTP GET on the executors, UTF-8 with bad bytes replaced. A page that cannot be had, a null url too, has null html and the reason."""
+    kept = [f for f in pages.schema.fields if f.name not in ("html", "error")]
+    columns = [f.name for f in kept]
+
+    def get(url: str | None) -> tuple[str | None, str | None]:
+        from http.client import HTTPException
+        from urllib import error, request
+
+        try:
+            with request.urlopen(request.Request(url or "", headers={"User-Agent": "tablesmith/1.0", "Accept": "text/html"}), timeout=timeout) as answer:
+                return answer.read().decode("utf-8", errors="replace"), None
+        except error.HTTPError as failed:
+            return None, f"HTTP {failed.code}"
+        except (OSError, HTTPException, ValueError) as failed:
+            return None, f"request failed: {failed}"
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = [get(u) for u in batch[url_col]]
+            yield batch.assign(html=[g[0] for g in got], error=[g[1] for g in got])[[*columns, "html", "error"]]
+
+    return pages.mapInPandas(work, T.StructType(kept).add("html", "string").add("error", "string"))

@@ -137,3 +137,38 @@ def test_cards_read_entities_quotes_and_nesting(spark):
     page = "<article class='x Box-row y'><h2 class=h><a class='l' href='/o/r-1'><b>o</b> / r</a></h2><p class='a color-fg-muted'>A &amp; B <i>it</i>&#39;s</p></article><article class='Box-rows'><h2><a href='/no/no'>x</a></h2></article><article class=\"Box-row\"><h2>no link</h2></article><article class=\"Box-row\"><h2><a href=\"/not/closed\">x</a></h2>"
     rows = cards.cards(spark.createDataFrame([(page,)], "html string")).collect()
     assert [(r["name"], r["url"], r["description"], r["language"], r["stars"]) for r in rows] == [("o/r-1", "https://github.com/o/r-1", "A & B it's", cards.UNKNOWN, 0)]
+
+
+def test_pages_are_fetched_and_failures_are_rows(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Stub(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if self.path == "/ok" else 404)
+            self.end_headers()
+            self.wfile.write(b"<p>caf\xc3\xa9 \xff</p>")
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Stub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    rows = files.fetch(spark.createDataFrame([(1, f"{base}/ok"), (2, f"{base}/no"), (3, None), (4, "no url")], "id int, url string"), timeout=5).orderBy("id").collect()
+    server.shutdown()
+    assert (rows[0]["html"], rows[0]["error"]) == ("<p>café \ufffd</p>", None)
+    assert rows[1]["html"] is None and rows[1]["error"] == "HTTP 404"
+    assert all(r["html"] is None and r["error"].startswith("request failed") for r in rows[2:])
+
+
+def test_files_are_written_whole_and_failures_are_rows(spark, tmp_path):
+    (tmp_path / "file").write_bytes(b"x")
+    rows = [(f"{tmp_path}/a/b/one.png", b"one"), (f"{tmp_path}/two.png", b""), (f"{tmp_path}/none.png", None), (f"{tmp_path}/file/below.png", b"x")]
+    df = spark.createDataFrame(rows, "output string, content binary")
+    for _ in range(2):
+        found = {r["path"].rsplit("/", 1)[1]: (r["bytes"], r["error"]) for r in sheets.write_files(df).collect()}
+    assert found["one.png"] == (3, None) and found["two.png"] == (0, None) and found["none.png"] == (None, "no content")
+    assert found["below.png"][0] is None and found["below.png"][1]
+    assert (tmp_path / "a/b/one.png").read_bytes() == b"one" and sorted(p.name for p in tmp_path.iterdir()) == ["a", "file", "two.png"]
+    assert sheets.write_files(df.limit(0)).count() == 0
