@@ -82,6 +82,22 @@ def _cell(cells: Column, at: Column) -> Column:
     return F.when(at >= 0, F.coalesce(F.get(cells, at), F.lit(""))).otherwise(F.lit(""))
 
 
+def wrapped(f: Column) -> Column:
+    """Fields of a row that is the rest of the record above: no object, or ``alternative`` with one other value at most."""
+    name = F.get(f, F.lit(0))
+    return (strip(name) == "") | (match_key(name) == ALTERNATIVE) & (filled(F.slice(f, 2, 5)) <= 1)
+
+
+def chained(rows: DataFrame, key: str, record: str = "r") -> DataFrame:
+    """Rows of one record each gathered into (key, chain, rows): a record with the rests that follow it, so that ``merged`` folds over them alone and a key with many records is never one value.
+
+    Records are in the order of their fields, row first. Rests before the first record of a key are a chain of their own.
+    """
+    order = W.partitionBy(key).orderBy(record).rowsBetween(W.unboundedPreceding, 0)
+    chain = F.sum(F.when(wrapped(F.col(f"{record}.f")), 0).otherwise(1)).over(order)
+    return rows.withColumn("chain", chain).groupBy(key, "chain").agg(F.array_sort(F.collect_list(record)).alias("rows"))
+
+
 def merged(records: Column, kind: Column) -> Column:
     """Wrapped rows joined to the record above, then records with an object and some technical data, standard or mark (for compressors: an object that says so). Section rows always stay.
 
@@ -98,9 +114,7 @@ def merged(records: Column, kind: Column) -> Column:
         return F.struct(last["row"].alias("row"), last["row_type"].alias("row_type"), last["section_title"].alias("section_title"), last["product_model"].alias("product_model"), f.alias("f"))
 
     def step(done: Column, r: Column) -> Column:
-        name = F.get(r["f"], F.lit(0))
-        rest = (strip(name) == "") | (match_key(name) == ALTERNATIVE) & (filled(F.slice(r["f"], 2, 5)) <= 1)
-        return F.when((F.size(done) > 0) & rest, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined(F.element_at(done, -1), r)))).otherwise(F.concat(done, F.array(r)))
+        return F.when((F.size(done) > 0) & wrapped(r["f"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined(F.element_at(done, -1), r)))).otherwise(F.concat(done, F.array(r)))
 
     whole = F.aggregate(records, F.slice(records, 1, 0), step)
     at = lambda r, k: F.get(r["f"], F.lit(k))

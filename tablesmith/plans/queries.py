@@ -262,7 +262,7 @@ def continuation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("turn").cast("string")
     f = F.array(F.when(F.col("role") == "user", F.concat(F.lit("turn "), turn)).otherwise(""), F.concat(F.lit("#"), turn, F.lit("#")), F.lit(""), F.lit(""), F.lit(""), F.lit("CE"))
     row = records.as_record(F.col("turn"), F.lit("detail"), F.lit(""), f)
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    turns = records.chained(table(spark, sf_dir, "conversations").select("conv_id", row.alias("r")), "conv_id")
     whole = records.merged(F.col("rows"), F.lit(records.COMPONENTS))
     return turns.select("conv_id", F.explode(whole).alias("r")).select("conv_id", F.col("r.f")[0].alias("name"), F.col("r.f")[1].alias("marks"))
 

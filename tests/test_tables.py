@@ -1,10 +1,12 @@
 """Hand-worked tables: cleaning, scores, headers, phases, page following, layouts."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tablesmith.config import Config
-from tablesmith.operators import grid, headers, phases
+from tablesmith.operators import grid, headers, phases, records
 
 HEADER = ["Object / part No.", "Manufacturer / trademark", "Type / model", "Technical data", "Standard", "Mark(s) of conformity"]
 FIVE = ["Component / part No.", "Manufacturer / brand", "Model / type", "Rating or characteristics", "Tested by"]
@@ -112,3 +114,16 @@ def test_results_do_not_depend_on_partitions(spark):
         seen.append([tuple(r) for r in phases.ordered(phases.extract(tables.repartition(n), Config(min_score=-100.0))).collect()])
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert seen[0] == seen[1]
+
+
+def test_chains_merge_like_whole_groups(spark):
+    """Rests at the beginning, marked rests, repeated rows, a null key, one key with a third of the rows."""
+    rnd = random.Random(0)
+    rows = [("hot" if i % 3 == 0 else rnd.choice(["a", "b", None]), rnd.randint(0, 90), rnd.choice(["x", "", " ", "Alternative", "y"]), rnd.choice(["", "", "v"]), rnd.choice(["", "IEC 1"])) for i in range(300)]
+    df = spark.createDataFrame([*rows, rows[0]], "k string, at int, name string, maker string, standard string")
+    record = records.as_record(F.col("at"), F.lit("detail"), F.lit(""), F.array("name", "maker", F.lit(""), F.lit(""), "standard", F.lit("CE")))
+    df = df.select("k", record.alias("r"))
+    whole = df.groupBy("k").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    merge = lambda x: sorted(map(str, x.select("k", F.explode(records.merged(F.col("rows"), F.lit(records.COMPONENTS))).alias("r")).collect()))
+    assert merge(records.chained(df, "k")) == merge(whole)
+    assert records.chained(df.limit(0), "k").count() == 0
