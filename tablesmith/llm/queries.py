@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, packing, pii, quality, secrets, simjoin, urls, vectors
-from .common import held_out, read
+from . import audit, bpe, language, packing, pii, products, quality, secrets, simjoin, trie, urls, vectors
+from .common import durable, held_out, read
 
 
 def vocabulary(name: str) -> str:
@@ -76,6 +76,33 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, keep=["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.largest_products(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(read(spark, sf_dir, "documents", "doc_id", "text", "lang"), read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+#: Conversations that share first turns come in blocks of this many ids; a conversation takes fewer than so many.
+SHARED_IDS, SHARED_TURNS = 100, 6
+
+
+def rebuilt(sequenced: DataFrame) -> DataFrame:
+    """Every conversation with first turns of the block's first one in place of its own."""
+    base = F.col("conv_id") - F.col("conv_id") % SHARED_IDS
+    heads = sequenced.where(F.col("conv_id") % SHARED_IDS == 0).select(F.col("conv_id").alias("base"), F.slice("items", 1, SHARED_TURNS - 1).alias("heads"))
+    both = sequenced.withColumn("base", base).join(heads, "base", "left")
+    taken = (F.crc32(F.col("conv_id").cast("string")) % SHARED_TURNS).cast("int")
+    own = F.slice("items", taken + 1, F.size("items"))
+    return both.select("conv_id", F.when(F.col("heads").isNull(), own).otherwise(F.concat(F.slice("heads", 1, taken), own)).alias("items"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return trie.prefix_trie(rebuilt(durable(trie.sequences(turns), "sequences")))
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op2 says of host, path and rule, and the verdict where a rule decides."""
     found = op2_urls(spark, sf_dir)
@@ -92,7 +119,7 @@ def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_secrets(spark, sf_dir).drop("spans", "n_entropy")
 
 
-QUERIES = (op1_quality, op2_urls, op3_pii, op4_parity_join, op5_byte_bpe, op6_vector_dedup, op7_packing, op8_nearest, op9_secrets, op10_language, url_rules, pii_base, secrets_base)
+QUERIES = (op1_quality, op2_urls, op3_pii, op4_parity_join, op5_byte_bpe, op6_vector_dedup, op7_packing, op8_nearest, op9_secrets, op10_language, op11_products, op12_filter_audit, op13_prefix_trie, url_rules, pii_base, secrets_base)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -129,6 +156,39 @@ WITH {_VECTORS}
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS place FROM (SELECT x.id AS query_id, y.id AS vec_id, sqrt({_SUM.format('(y.v[i] - x.v[i]) * (y.v[i] - x.v[i])')}) AS score FROM vectors x JOIN vectors y ON x.id <> y.id AND x.id % 100 = 0)) WHERE place <= 10
 """
 
+OP11 = """
+WITH fine AS (SELECT vec_id AS id, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+asks AS (SELECT id, min(v) AS v FROM fine WHERE id % 50 = 0 GROUP BY id)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM (SELECT x.id AS query_id, y.id AS vec_id, list_sum(list_transform(list_zip(x.v, y.v), lambda p: p[1] * p[2])) AS score FROM asks x JOIN fine y ON x.id <> y.id)) WHERE place <= 5
+"""
+OP12 = """
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+least AS (SELECT t, min(doc_id) AS low FROM texts GROUP BY t),
+words AS (SELECT x.*, l.low, regexp_extract_all(x.t, '[^\x20\x09-\x0D]+') AS w FROM texts x JOIN least l ON l.t = x.t),
+marks AS (SELECT doc_id, coalesce(max(CASE WHEN quality = 1 THEN 1 ELSE 0 END), 0) AS good, coalesce(max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END), 0) AS toxic FROM labels GROUP BY doc_id),
+fails AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), 'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(words.doc_id > low, false)} AS f FROM words LEFT JOIN marks ON marks.doc_id = words.doc_id),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter),
+orders AS (SELECT letter AS o FROM letters UNION ALL SELECT o || letter FROM orders JOIN letters ON NOT contains(o, letter)),
+steps AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM orders WHERE length(o) = 5),
+sets AS (SELECT part, (CASE WHEN f.A THEN 'A' ELSE '' END) || (CASE WHEN f.B THEN 'B' ELSE '' END) || (CASE WHEN f.C THEN 'C' ELSE '' END) || (CASE WHEN f.D THEN 'D' ELSE '' END) || (CASE WHEN f.E THEN 'E' ELSE '' END) AS s, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY ALL),
+judged AS (SELECT part, o, step, s, n, good, toxic, contains(s, substr(o, step, 1)) AS here, length(translate(s, substr(o, 1, step - 1), '')) < length(s) AS gone FROM sets, steps),
+counted AS (SELECT part, o, step, sum(CASE WHEN NOT here AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN here AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN here AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN here AND length(s) = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN here AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN here AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM judged GROUP BY part, o, step)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, substr(o, step, 1)) AS BIGINT) AS shapley FROM counted
+"""
+#: CRC-32 of the id's digits, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+OP13 = f"""
+WITH turns AS (SELECT conv_id AS c, turn, length(coalesce(text, '')) AS n, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, {_CRC} % 6 AS h, list(g ORDER BY turn NULLS FIRST, g) AS g, list(n ORDER BY turn NULLS FIRST, g) AS n FROM turns GROUP BY c),
+rebuilt AS (SELECT o.c, list_concat(coalesce(b.g, [])[1:o.h], o.g[o.h + 1:]) AS g, list_concat(coalesce(b.n, [])[1:o.h], o.n[o.h + 1:]) AS n FROM own o LEFT JOIN own b ON b.c = o.c - o.c % 100),
+paths AS (SELECT c, d, len(g) AS whole, array_to_string(g[1:d], '') AS k, CASE WHEN d > 0 THEN n[d] ELSE 0 END AS size FROM (SELECT *, unnest(range(0, len(g) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(size) AS saved, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE whole = d), '')) AS ends_sha256 FROM paths GROUP BY d, k),
+children AS (SELECT d - 1 AS d, substr(k, 1, 64 * (d - 1)) AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+marked AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.d = n.d AND c.k = n.k),
+under AS (SELECT up AS d, substr(k, 1, 64 * up) AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM marked) GROUP BY ALL)
+SELECT m.conv_id, m.d AS depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256 FROM marked m JOIN under u ON u.d = m.d AND u.k = m.k LEFT JOIN nodes p ON p.d = m.d - 1 AND p.k = substr(m.k, 1, 64 * (m.d - 1))
+"""
+
 
 def _rules_sql() -> str:
     """The longest rule wins: rules are tried from the longest on."""
@@ -177,5 +237,5 @@ SECRETS_BASE = [
 
 
 def oracle_sql() -> dict[str, str]:
-    """Whole results of op4, op6 and op8, and the parts of op2, op3 and op9 that no model decides."""
-    return {"op4_parity_join": OP4, "op6_vector_dedup": OP6, "op8_nearest": OP8, "url_rules": _rules_sql(), "pii_base": _base_sql(PII_BASE, "rank, a"), "secrets_base": _base_sql(SECRETS_BASE, "a, rank")}
+    """Whole results of op4, op6, op8, op11, op12 and op13, and the parts of op2, op3 and op9 that no model decides."""
+    return {"op4_parity_join": OP4, "op6_vector_dedup": OP6, "op8_nearest": OP8, "op11_products": OP11, "op12_filter_audit": OP12, "op13_prefix_trie": OP13, "url_rules": _rules_sql(), "pii_base": _base_sql(PII_BASE, "rank, a"), "secrets_base": _base_sql(SECRETS_BASE, "a, rank")}
