@@ -674,3 +674,6 @@ def page_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settings_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.when(F.col("p_size") % 2 == 0, "").otherwise("# "), F.lit(" KEY_"), F.col("p_partkey").cast("string"), F.lit(' = "'), F.col("p_name"), F.lit("="), F.col("p_size").cast("string"), F.lit('" '))
     return files.settings(table(spark, sf_dir, "part").select(line.alias("value")))
+
+
+from . import book_queries  # noqa: E402, F401  registers its queries

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
-from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -14,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_cell
+from ..sources.books import FORMAT, FORMAT_FIELDS
 
 # Sheet names and limits.
 TARGET_SHEET, SUMMARY_SHEET, MODELS_SHEET, NAME_LENGTH = "TARGET_6_ITEMS", "SUMMARY", "型号提取结果", 31
@@ -53,6 +52,106 @@ def row_height(columns: list[Column]) -> Column:
     return F.least(F.greatest(*(F.size(lines_of(c)) for c in columns), F.lit(1)) * LINE_HEIGHT, F.lit(MOST_HEIGHT))
 
 
+# Looks of header and body cells of a table, of a model list, and of a plain header; widths of the model list's columns.
+_FONT, _BOLD = '<font><sz val="11"/><name val="Calibri"/></font>', '<font><b/><sz val="11"/><name val="Calibri"/></font>'
+_LINES = "<border>" + "".join(f'<{side} style="thin"/>' for side in ("left", "right", "top", "bottom")) + "</border>"
+_NO_FILL = '<fill><patternFill patternType="none"/></fill>'
+_WRAP = '<alignment vertical="top" wrapText="1"/>'
+LOOKS = (
+    ("General", _FONT, _NO_FILL, "<border/>", "", ""),
+    ("General", _BOLD, '<fill><patternFill patternType="solid"><fgColor rgb="FFEDEDED"/></patternFill></fill>', _LINES, "", ""),
+    ("General", _FONT, _NO_FILL, _LINES, _WRAP, ""),
+    ("General", '<font><b/><sz val="11"/><color rgb="FFFFFFFF"/><name val="Calibri"/></font>', '<fill><patternFill patternType="solid"><fgColor rgb="FF1F4E78"/></patternFill></fill>', _LINES, "", ""),
+    ("General", _BOLD, _NO_FILL, _LINES, '<alignment horizontal="center" vertical="top"/>', ""),
+)
+PLAIN_LOOK, HEAD_LOOK, BODY_LOOK, LIST_LOOK, SUMMARY_LOOK = range(5)
+MODEL_WIDTHS = (38, 72, 8, 28, 28, 72, 14, 14)
+#: Rows that a sheet of the format can hold, header included.
+SHEET_LIMIT = 1_048_576
+
+
+def formats() -> Column:
+    """LOOKS as line 0 of a file's first sheet holds them."""
+    return F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(FORMAT_FIELDS, look, strict=True))) for look in LOOKS))
+
+
+def _lines(df: DataFrame, **columns: Column) -> DataFrame:
+    """Lines of sinks.books.save_books; what is not given is empty."""
+    empty = {"height": F.lit(None).cast("double"), "values": F.array().cast("array<string>"), "kinds": F.array().cast("array<string>"), "styles": F.array().cast("array<int>"), "widths": F.lit(None).cast("array<double>"), "formats": F.lit(None).cast(f"array<{FORMAT}>"), "frozen": F.lit(False), "filtered": F.lit(False)}
+    every = {"output": F.col("output"), "sheet_index": F.col("sheet_index"), "sheet": F.col("sheet"), "row_index": F.lit(0)} | empty | columns
+    return df.select(*(c.alias(n) for n, c in every.items()))
+
+
+def _alike(values: Column, what: object) -> Column:
+    return F.transform(values, lambda _: F.lit(what))
+
+
+def height_of(values: Column) -> Column:
+    """:func:`row_height` of an array of cells."""
+    most = F.array_max(F.transform(values, lambda v: F.size(lines_of(v))))
+    return F.least(F.greatest(F.coalesce(most, F.lit(1)), F.lit(1)) * LINE_HEIGHT, F.lit(MOST_HEIGHT)).cast("double")
+
+
+def table_books(candidates: DataFrame, output: Column) -> DataFrame:
+    """A workbook for each document: a sheet for each of its tables in order, and a summary at the end, as lines for sinks.books.save_books.
+
+    candidates: doc_id, seq, engine, page, table_index, grid, n_rows, n_cols, score, details; ``output`` depends on
+    doc_id alone. Body cells are normalized text, bordered and wrapped; columns are as wide as their longest line, rows
+    as high as their lines. A table is one row until its lines are laid out; no document is held. A table without a row has its header alone. A
+    document without a table has no workbook.
+    """
+    named = with_sheet_names(candidates).withColumn("output", output).withColumn("sheet_index", F.row_number().over(W.partitionBy("doc_id").orderBy("seq")).cast("int"))
+    body = F.transform("grid", lambda r: F.transform(r, lambda v: normalize_cell(v)))
+    named = named.withColumn("grid", body).withColumn("head", F.transform(F.sequence(F.lit(1), F.greatest("n_cols", F.lit(1))), lambda k: F.concat(F.lit("col_"), k.cast("string"))))
+    longest = lambda k: F.array_max(F.transform("grid", lambda r: F.array_max(F.transform(lines_of(F.get(r, k)), F.length))))
+    widths = F.transform("head", lambda h, k: F.least(F.lit(MOST_WIDTH), F.greatest(F.lit(LEAST_WIDTH), F.greatest(F.length(h), F.coalesce(longest(k), F.lit(0))) + 2)).cast("double"))
+    first = F.when(F.col("sheet_index") == 1, formats())
+    zero = _lines(named, widths=widths, formats=first)
+    head = _lines(named, row_index=F.lit(1), values=F.col("head"), kinds=_alike(F.col("head"), "s"), styles=_alike(F.col("head"), HEAD_LOOK))
+    rows = named.select("output", "sheet_index", "sheet", F.posexplode("grid").alias("at", "r"))
+    rows = _lines(rows, row_index=F.col("at") + 2, height=height_of(F.col("r")), values=F.col("r"), kinds=_alike(F.col("r"), "s"), styles=_alike(F.col("r"), BODY_LOOK))
+    # the summary's lines come after all sheets
+    last = F.lit(2**31 - 1)
+    cells = {"sheet": F.col("sheet"), "engine": F.col("engine"), "page": F.col("page"), "table_index_on_page": F.col("table_index"), "rows": F.col("n_rows"), "cols": F.col("n_cols"), "score": F.round("score", 2), "details": F.col("details")}
+    plain = named.select("output", last.alias("sheet_index"), F.lit(SUMMARY_SHEET).alias("sheet"), (F.col("sheet_index") + 1).alias("at"), *(c.alias(f"__{n}") for n, c in cells.items()))
+    names = list(cells)
+    kinds = F.array(*(F.lit("s" if n in ("sheet", "engine", "details") else "n") for n in names))
+    values = F.array(*(F.col(f"__{n}").cast("string") for n in names))
+    there = _lines(plain, row_index=F.col("at"), values=values, kinds=F.transform(kinds, lambda k, i: F.when(F.get(values, i).isNull(), "-").otherwise(k)), styles=F.array_repeat(F.lit(PLAIN_LOOK), len(names)))
+    one = plain.where("at = 2")
+    top = _lines(one, row_index=F.lit(1), values=F.array(*(F.lit(n) for n in names)), kinds=F.array_repeat(F.lit("s"), len(names)), styles=F.array_repeat(F.lit(SUMMARY_LOOK), len(names)))
+    return zero.union(head).union(rows).union(_lines(one)).union(top).union(there)
+
+
+def record_books(df: DataFrame, output: Column, order: list[Column], sheet: str = TARGET_SHEET, widths: tuple[int, ...] | None = None, listing: bool = False) -> DataFrame:
+    """A workbook for each ``output``, its rows in ``order`` under a header of the column names, as lines for sinks.books.save_books.
+
+    Cells are normalized text. Widths are those of the longest lines over all of the output's rows, counted by an
+    aggregate before anything is written, or as given. ``listing``: the look of the model list, header frozen and
+    filtered, heights left to the reader. Rows beyond what a sheet can hold go on in further sheets. A row whose output is
+    null is in no workbook.
+    """
+    names = df.columns
+    text = [normalize_cell(F.col(f"`{c}`").cast("string")) for c in names]
+    rows = df.withColumns({"__output": output, "__values": F.array(*text)}).where("__output is not null")
+    number = F.row_number().over(W.partitionBy("__output").orderBy(*order, "__values")) - 1
+    per = SHEET_LIMIT - 1
+    rows = rows.select(F.col("__output").alias("output"), F.col("__values").alias("values"), number.alias("n"))
+    rows = rows.withColumn("sheet_index", (F.floor(F.col("n") / per) + 1).cast("int"))
+    rows = rows.withColumn("sheet", F.when(F.col("sheet_index") == 1, sheet).otherwise(F.concat(F.lit(sheet), F.lit(" "), F.col("sheet_index").cast("string"))))
+    longest = [F.max(F.array_max(F.transform(lines_of(F.get("values", F.lit(k))), F.length))) for k in range(len(names))]
+    wide = F.array(*(F.least(F.greatest(w + 2, F.lit(max(len(c) + 2, LEAST_WIDTH))), F.lit(MOST_WIDTH)).cast("double") for c, w in zip(names, longest, strict=True)))
+    given = F.array(*(F.lit(float(w)) for w in widths)) if widths else None
+    sizes = rows.groupBy("output").agg((given if widths else wide).alias("w"))
+    parts = rows.groupBy("output", "sheet_index", "sheet").agg(F.count("*").alias("size")).join(sizes, "output")
+    look, body = (LIST_LOOK, BODY_LOOK) if listing else (HEAD_LOOK, BODY_LOOK)
+    zero = _lines(parts, widths=F.col("w"), formats=F.when(F.col("sheet_index") == 1, formats()), frozen=F.lit(listing), filtered=F.lit(listing))
+    head = _lines(parts, row_index=F.lit(1), values=F.array(*(F.lit(c) for c in names)), kinds=F.array_repeat(F.lit("s"), len(names)), styles=F.array_repeat(F.lit(look), len(names)))
+    height = F.lit(None).cast("double") if listing else height_of(F.col("values"))
+    lines = _lines(rows, row_index=(F.col("n") % per + 2).cast("int"), height=height, values=F.col("values"), kinds=_alike(F.col("values"), "s"), styles=_alike(F.col("values"), body))
+    return zero.union(head).union(lines)
+
+
 def output_path(path: Column, suffix: str) -> Column:
     """The sibling file with another ending."""
     return F.concat(F.regexp_replace(path, r"\.[^./]+$", ""), F.lit(suffix))
@@ -104,35 +203,3 @@ def workbooks(df: DataFrame, doc_col: str = "doc_id", sheet: str = TARGET_SHEET,
         return pd.DataFrame({"doc_id": [str(group[doc_col].iloc[0])], "content": [workbook({sheet: [names, *body]})]})
 
     return df.select(doc_col, *columns).groupBy(doc_col).applyInPandas(work, "doc_id string, content binary")
-
-
-def write_files(df: DataFrame, path_col: str = "output", content_col: str = "content") -> DataFrame:
-    """(path, bytes, error) of files written on the executors: workbooks, images, any bytes.
-
-    ``path`` is an absolute path or URI that all executors reach. A file is written beside its place and then moved there, so a
-    repeated task leaves one whole file; of rows that share a path the last moved stays. A null content writes nothing
-    and is an error row, as is a path that cannot be written.
-    """
-
-    def put(path: str, content: bytes | None) -> tuple[str, int | None, str | None]:
-        from pyarrow import ArrowException, fs
-
-        if content is None:
-            return path, None, "no content"
-        try:
-            system, at = fs.FileSystem.from_uri(path)
-            folder = at.rpartition("/")[0]
-            system.create_dir(folder, recursive=True)
-            beside = f"{folder}/.{uuid.uuid4().hex}"
-            with system.open_output_stream(beside) as out:
-                out.write(content)
-            system.move(beside, at)
-            return path, len(content), None
-        except (OSError, ArrowException) as failed:
-            return path, None, f"{type(failed).__name__}: {failed}"
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([put(p, c) for p, c in zip(batch["path"], batch["content"], strict=True)], columns=["path", "bytes", "error"]).astype({"bytes": "Int64"})
-
-    return df.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")).mapInPandas(work, "path string, bytes bigint, error string")

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import io
-import re
-import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,12 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import CELLS, PAGE_TEXT, SHEET_ROWS
+from .books import lines_of
 
 PDF_GLOB = "*.[pP][dD][fF]"
 # Tolerances of the line-based table search.
 LINE_SETTINGS = {"vertical_strategy": "lines", "horizontal_strategy": "lines", "snap_tolerance": 3, "join_tolerance": 3, "edge_min_length": 20, "min_words_vertical": 1, "min_words_horizontal": 1, "intersection_tolerance": 3, "text_tolerance": 3}
-NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = PDF_GLOB, recursive: bool = True, limit: int = 0) -> DataFrame:
@@ -90,34 +86,10 @@ def pdf_cells(spark: SparkSession, path: str, pages: str = "all", pattern: str =
 
 
 def sheet_rows(content: bytes) -> Iterator[tuple[str, int, int, list[str | None]]]:
-    """(sheet, sheet_index, row_index, values) of a workbook, row by row."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        shared = []
-        if "xl/sharedStrings.xml" in book.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{NS}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{NS}si")]
-        # sheets may stand in parts of any name and order; the workbook's relations say where
-        parts = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-        sheets = [(s.get("name"), parts[s.get(f"{RELATION}id")]) for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{NS}sheet")]
-        for k, (name, target) in enumerate(sheets, 1):
-            with book.open(target.lstrip("/") if target.startswith("/") else f"xl/{target}") as part:
-                for _, node in ElementTree.iterparse(part):
-                    if node.tag != f"{NS}row":
-                        continue
-                    values: list[str | None] = []
-                    for cell in node.iter(f"{NS}c"):
-                        letters = re.match("[A-Z]*", cell.get("r") or "").group()
-                        at = len(values)
-                        if letters:
-                            at = 0
-                            for c in letters:
-                                at = at * 26 + ord(c) - 64
-                            at -= 1
-                        values += [None] * (at - len(values))
-                        kind, value = cell.get("t"), cell.find(f"{NS}v")
-                        text = "".join(t.text or "" for t in cell.iter(f"{NS}t")) if kind == "inlineStr" else value.text if value is not None else None
-                        values.append(shared[int(text)] if kind == "s" and text is not None else text)
-                    yield name, k, int(node.get("r") or 0), values
-                    node.clear()
+    """(sheet, sheet_index, row_index, values) of a workbook, row by row. A formula's value is its text."""
+    for line in lines_of(io.BytesIO(content)):
+        if line.row_index > 0:
+            yield line.sheet, line.sheet_index, line.row_index, line.values
 
 
 def opened(workbooks: DataFrame) -> DataFrame:

@@ -160,15 +160,3 @@ def test_pages_are_fetched_and_failures_are_rows(spark):
     assert (rows[0]["html"], rows[0]["error"]) == ("<p>café \ufffd</p>", None)
     assert rows[1]["html"] is None and rows[1]["error"] == "HTTP 404"
     assert all(r["html"] is None and r["error"].startswith("request failed") for r in rows[2:])
-
-
-def test_files_are_written_whole_and_failures_are_rows(spark, tmp_path):
-    (tmp_path / "file").write_bytes(b"x")
-    rows = [(f"{tmp_path}/a/b/one.png", b"one"), (f"{tmp_path}/two.png", b""), (f"{tmp_path}/none.png", None), (f"{tmp_path}/file/below.png", b"x")]
-    df = spark.createDataFrame(rows, "output string, content binary")
-    for _ in range(2):
-        found = {r["path"].rsplit("/", 1)[1]: (r["bytes"], r["error"]) for r in sheets.write_files(df).collect()}
-    assert found["one.png"] == (3, None) and found["two.png"] == (0, None) and found["none.png"] == (None, "no content")
-    assert found["below.png"][0] is None and found["below.png"][1]
-    assert (tmp_path / "a/b/one.png").read_bytes() == b"one" and sorted(p.name for p in tmp_path.iterdir()) == ["a", "file", "two.png"]
-    assert sheets.write_files(df.limit(0)).count() == 0
