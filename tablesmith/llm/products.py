@@ -32,12 +32,10 @@ def whole_numbers(vector: Column, scale: int) -> Column:
 
 def directions(x: np.ndarray) -> tuple[np.ndarray, list[int]]:
     """Right singular vectors of the sample, strongest first, and how many of them hold each share of its energy."""
-    _, strength, turn = np.linalg.svd(x, full_matrices=True)
-    energy = np.zeros(x.shape[1])
-    energy[: len(strength)] = strength**2
-    total = np.cumsum(energy)
+    energy, turn = np.linalg.eigh(x.T @ x)  # of the Gram matrix, whose size the sample does not change
+    turn, total = turn[:, ::-1], np.cumsum(np.maximum(energy[::-1], 0))
     cuts = [min(int(np.searchsorted(total, s * total[-1])) + 1, x.shape[1]) for s in SHARES] if total[-1] > 0 else []
-    return turn.T, sorted(set(cuts) - {x.shape[1]})
+    return turn, sorted(set(cuts) - {x.shape[1]})
 
 
 class Searcher:
