@@ -129,33 +129,6 @@ def prompt(text: Column | str | None, file_text: Column | None = None) -> Column
     return F.when(bare != "", bare).otherwise(F.raise_error(F.lit("the prompt must not be empty")).cast("string"))
 
 
-def images(requests: DataFrame, url: str, key: str, timeout: int = 600) -> DataFrame:
-    """(…, body, error) for requests with a ``payload`` column, posted row by row on the executors; decode body with operators.payload. A task that Spark repeats posts its rows again: write the answers, then read those."""
-    columns = [c for c in requests.columns if c not in ("body", "error")]
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from urllib import error, request
-
-        for batch in batches:
-            bodies, errors = [], []
-            for payload in batch["payload"]:
-                call = request.Request(f"{url.rstrip('/')}/images/generations", payload.encode(), {"Authorization": f"Bearer {key}", "Content-Type": "application/json; charset=utf-8", "User-Agent": "tablesmith/1.0"}, method="POST")
-                try:
-                    with request.urlopen(call, timeout=timeout) as answer:
-                        bodies.append(answer.read().decode())
-                        errors.append(None)
-                except error.HTTPError as failed:
-                    bodies.append(None)
-                    errors.append(f"HTTP {failed.code}: {failed.read().decode(errors='replace')}")
-                except error.URLError as failed:
-                    bodies.append(None)
-                    errors.append(f"request failed: {failed.reason}")
-            yield batch.assign(body=bodies, error=errors)[[*columns, "body", "error"]]
-
-    kept = [f for f in requests.schema.fields if f.name not in ("body", "error")]
-    return requests.mapInPandas(work, T.StructType(kept).add("body", "string").add("error", "string"))
-
-
 def fetch(pages: DataFrame, url_col: str = "url", timeout: int = 20) -> DataFrame:
     """(…, html, error): each row's page by HTTP GET on the executors, UTF-8 with bad bytes replaced. A page that cannot be had, a null url too, has null html and the reason."""
     kept = [f for f in pages.schema.fields if f.name not in ("html", "error")]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tablesmith.functions import numbers, text
 from tablesmith.operators import cards, models, payload, split
 from tablesmith.sinks import sheets
-from tablesmith.sources import files
+from tablesmith.sources import files, requests
 
 
 def one(spark, value, f):
@@ -104,7 +104,9 @@ def test_the_first_of_a_repeated_setting_counts(spark):
     assert {r["key"]: r["value"] for r in files.settings(lines.repartition(3), order="n").collect()} == {"A": "1", "B": "x=y"}
 
 
-def test_image_requests_against_a_stub(spark):
+@pytest.fixture
+def stub():
+    """A server that counts the payloads it is sent and refuses those that say so."""
     import json
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -113,9 +115,9 @@ def test_image_requests_against_a_stub(spark):
 
     class Stub(BaseHTTPRequestHandler):
         def do_POST(self):
-            body = self.rfile.read(int(self.headers["Content-Length"]))
-            seen.append((self.path, self.headers["Authorization"], json.loads(body)))
-            good = json.loads(body)["prompt"] != "bad"
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.headers["Authorization"], body["prompt"]))
+            good = not body["prompt"].startswith("bad")
             self.send_response(200 if good else 400)
             self.end_headers()
             self.wfile.write(b'{"data":[{"b64_json":"ZmFrZQ=="}]}' if good else b"refused")
@@ -125,12 +127,45 @@ def test_image_requests_against_a_stub(spark):
 
     server = HTTPServer(("127.0.0.1", 0), Stub)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    rows = spark.createDataFrame([(1, '{"prompt":"ok"}'), (2, '{"prompt":"bad"}')], "id int, payload string").coalesce(1)
-    found = files.images(rows, f"http://127.0.0.1:{server.server_port}/v1/", "key", 5).withColumn("image", payload.image_bytes("body")).orderBy("id").collect()
+    yield f"http://127.0.0.1:{server.server_port}/v1/", seen
     server.shutdown()
-    assert bytes(found[0]["image"]) == b"fake" and found[0]["error"] is None
-    assert found[1]["image"] is None and found[1]["error"] == "HTTP 400: refused"
-    assert seen[0][0] == "/v1/images/generations" and seen[0][1] == "Bearer key"
+
+
+def test_requests_are_sent_once(spark, tmp_path, stub):
+    url, seen = stub
+    ask = lambda *prompts: spark.createDataFrame([(k, None if p is None else f'{{"prompt":"{p}"}}', "x") for k, p in enumerate(prompts)], "id int, payload string, body string")
+    folder = str(tmp_path / "ledger")
+    first = ask("one", "bad two", "one", None, "three")
+    found = requests.answered(first, folder, url, "key", 5).withColumn("image", payload.image_bytes("body")).orderBy("id").collect()
+    assert [bytes(r["image"]) if r["image"] else None for r in found] == [b"fake", None, b"fake", None, b"fake"]
+    assert [r["error"] for r in found] == [None, "HTTP 400: refused", None, "no payload", None]
+    assert sorted(s[2] for s in seen) == ["bad two", "one", "three"] and seen[0][:2] == ("/v1/images/generations", "Bearer key")
+    requests.answered(ask("one", "bad two", "four"), folder, url, "key", 5).collect()
+    assert sorted(s[2] for s in seen) == ["bad two", "bad two", "four", "one", "three"]  # what was refused is asked again
+    assert requests.answered(first.limit(0), folder, url, "key", 5).count() == 0
+
+
+def test_a_task_that_fails_halfway_repeats_nothing(spark, tmp_path, stub):
+    url, seen = stub
+    asked = spark.createDataFrame([(f'{{"prompt":"p{k}"}}',) for k in range(12)], "payload string")
+    names = sorted(r[0] for r in asked.select(requests.request_id(url, F.col("payload"))).collect())
+    folder = tmp_path / "ledger"
+    folder.mkdir()
+    (folder / names[7][:2]).write_text("in the way")  # the eighth cannot be claimed: its task fails there
+    with pytest.raises(Exception, match="ledger"):
+        requests.answered(asked, str(folder), url, "key", 5, parallel=1)
+    before = len(seen)
+    assert 0 < before < 12
+    (folder / names[7][:2]).unlink()
+    found = requests.answered(asked, str(folder), url, "key", 5, parallel=3).collect()
+    assert len(seen) == 12 == len({s[2] for s in seen}) and all(r["body"] for r in found)
+    # a claim without an answer: the request may have been served
+    path = folder / names[3][:2] / names[3]
+    path.with_suffix(".json").unlink()
+    again = {r["request"]: r["error"] for r in requests.answered(asked, str(folder), url, "key", 5).collect()}
+    assert again[names[3]] == "unknown outcome" and len(seen) == 12
+    requests.answered(asked, str(folder), url, "key", 5, repeat_unknown=True).collect()
+    assert len(seen) == 13 and requests.answered(asked, str(folder), url, "key", 5).where("body is null").count() == 0
 
 
 def test_cards_read_entities_quotes_and_nesting(spark):
@@ -139,6 +174,47 @@ def test_cards_read_entities_quotes_and_nesting(spark):
     assert [(r["name"], r["url"], r["description"], r["language"], r["stars"]) for r in rows] == [("o/r-1", "https://github.com/o/r-1", "A & B it's", cards.UNKNOWN, 0)]
 
 
+def test_cards_as_intervals(spark):
+    named = "<h2><a href='/a/b'>t</a></h2>"
+    pages = [
+        # an article within the card belongs to it, whatever its class; what follows still counts
+        ("nested", f"<article class=Box-row>{named}<article class=x><p>no</p></article><a href=/a/b/stargazers>1,204 stars</a></article>"),
+        # a card within a card takes its place
+        ("inner", f"<article class='Box-row'>{named}<article class='Box-row'><h2><a href='/c/d'>t</a></h2></article><p class='color-fg-muted'>lost</p></article>"),
+        ("entities", f"<article class='Box-row'>{named}<p class='color-fg-muted'>A &mdash; b&#8217;s &#x1F600; &notin; &notit; &amp;lt; &#150; R&D &nope; &CounterClockwiseContourIntegral;</p></article>"),
+        # of an element within another one that a selector finds, the inner counts; the outer then has none
+        ("overlap", f"<article class='Box-row'>{named}<p class='color-fg-muted'>out <span itemprop='programmingLanguage'>Rust</span> after</p><span class='d float-sm-right'><b>7</b> today</span></article>"),
+        # links beyond the heading are no names, comments and scripts hold no tags
+        ("beyond", f"<!-- <article class='Box-row'> --><article class='Box-row'>{named}<a href='/x/y'>x</a><script>if (a</article>b) </script><a href='/z/forks'>3</a></article>"),
+        ("void", f"<article class='Box-row'>{named}<p class='color-fg-muted'>one<br>two<img src='a>b'/></p></article>"),
+        ("none", None),
+        ("empty", ""),
+        ("twice", f"<article class='Box-row'>{named}</article><article class='Box-row'><h2><a href='/e/f'>t</a></h2></article>"),
+    ]
+    df = spark.createDataFrame(pages, "page string, html string").repartition(3)
+    found = {}
+    for r in cards.cards(df, keep=("page",)).orderBy("page", "at").collect():
+        found.setdefault(r["page"], []).append((r["name"], r["description"], r["language"], r["stars"], r["forks"], r["stars_today"]))
+    bare = ("a/b", "", cards.UNKNOWN, 0, 0, 0)
+    assert found == {
+        "nested": [("a/b", "", cards.UNKNOWN, 1204, 0, 0)], "inner": [("c/d", "", cards.UNKNOWN, 0, 0, 0)],
+        "entities": [("a/b", "A — b’s \U0001f600 ∉ ¬it; &lt; – R&D &nope; ∳", cards.UNKNOWN, 0, 0, 0)], "overlap": [("a/b", "", "Rust", 0, 0, 7)],
+        "beyond": [("a/b", "", cards.UNKNOWN, 0, 3, 0)], "void": [("a/b", "onetwo", cards.UNKNOWN, 0, 0, 0)], "twice": [bare, ("e/f", *bare[1:])],
+    }
+    assert {r["page"] for r in cards.cards(df, strict=True, keep=("page",)).collect()} == set(found) - {"void"}
+    assert cards.cards(df.limit(0)).count() == 0 and cards.cards(df).columns == ["at", *cards.FIELDS]
+
+
+def test_every_character_reference_is_read(spark):
+    import html
+    from html.entities import html5
+
+    texts = [f"x&{n}y &{n}" for n in html5] + [f"&#{n};&#x{n:x}z" for n in [*range(0, 300), 0xD7FF, 0xD800, 0xDFFF, 0xFDD0, 0xFFFD, 0xFFFE, 0x1F600, 0x1FFFE, 0x10FFFF, 0x110000, 10**9, 10**30]] + ["&", "&&", "&#;", "&#x;", "a & b", "&#0000000000000000000065;", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    mine = {r["n"]: r["u"] for r in df.select("n", cards.unescaped(F.col("t")).alias("u")).collect()}
+    assert [(texts[n], mine[n]) for n in mine if mine[n] != html.unescape(texts[n])] == []
+
+
 def test_pages_are_fetched_and_failures_are_rows(spark):
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
