@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import join_distinct, technical_units
+from ..functions.text import join_distinct, once, technical_units
 from .headers import all_of, any_of, hinted_header
 from .records import as_record
 
@@ -115,14 +115,30 @@ def extended_family(tables: DataFrame) -> DataFrame:
 def five_family(tables: DataFrame) -> DataFrame:
     """Five-column tables read as one over their document: sparse rows without an object, and sparse first rows of a new page, continue the record before; the object fills down.
 
-    A fold over the document's rows, since whether a row continues depends on the page of the last record made. It holds
-    the rows of one document's five-column tables.
+    Whether a sparse first row continues depends on the page of the last record made. Such a row never changes that page: it is a
+    rest, or a record of the same page. So the page, like the object that fills down, is the last of a running window over
+    rows that are records whatever the others are, and no value holds a document; a record is folded with its own rests
+    only. Rests before the first record of a document are dropped.
     """
     some = tables.where("n_cols = 5").select("doc_id", "seq", "page", "table_index", "engine", F.posexplode(F.arrays_zip(F.col("grid").alias("v"), F.col("compacts").alias("c"))).alias("row", "x"))
     some = some.where(~any_of(F.array_join("x.c", "|"), FIVE_HEADER))
     v = F.transform("x.v", lambda cell, k: F.when(k == 3, technical_units(cell)).otherwise(cell))
-    row = F.struct("seq", "row", "page", "table_index", "engine", v.alias("v"), F.col("x.c").alias("c"), F.size(F.filter("x.v", lambda cell: cell != "")).alias("n"))
-    docs = some.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    some = some.select("doc_id", "seq", "row", "page", "table_index", "engine", v.alias("v"), F.col("x.c").alias("c"), F.size(F.filter("x.v", lambda cell: cell != "")).alias("n"))
+    order = W.partitionBy("doc_id").orderBy("seq", "row")
+    before, so_far = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0)
+    yes = lambda c: F.coalesce(F.max(c.cast("int")).over(before) == 1, F.lit(False))
+    named, body, sparse = F.get("v", F.lit(0)) != "", F.exists(F.slice("v", 2, 4), lambda cell: cell != ""), F.col("n") <= 2
+    first = named & sparse & (F.col("row") == 0)
+    rows = some.withColumns({"named": named, "body": body, "sparse": sparse, "first": first}).withColumn("some", yes(F.col("named") & F.col("body")))
+    sure = F.col("named") & F.col("body") & ~F.col("first") | ~F.col("named") & ~F.col("sparse") & F.col("some") | F.col("first") & F.col("body") & ~F.col("some")
+    rows = rows.withColumn("sure", sure).withColumn("last", F.last(F.when(F.col("sure"), F.col("page")), True).over(before))
+    rest = F.col("some") & (~F.col("named") & F.col("sparse") | F.col("first") & (F.col("page") != F.col("last")))
+    rows = rows.withColumn("rest", F.coalesce(rest, F.lit(False))).withColumn("made", ~F.col("rest") & (F.col("sure") | F.col("first") & F.col("body")))
+    rows = rows.withColumn("filled", F.last(F.when(F.col("made") & F.col("named"), F.struct(F.get("v", F.lit(0)).alias("v"), F.get("c", F.lit(0)).alias("c"))), True).over(so_far))
+    rows = rows.withColumn("number", F.sum(F.col("made").cast("int")).over(so_far)).where("made or rest")
+    own = lambda n: F.transform(n, lambda cell, k: F.when(F.col("made") & (k == 0), F.coalesce(F.col(f"filled.{n}"), F.lit(""))).otherwise(cell)).alias(n)
+    record = F.struct("seq", "row", "page", "table_index", "engine", own("v"), own("c"))
+    chains = rows.groupBy("doc_id", "number").agg(F.array_sort(F.collect_list(record)).alias("rows"))
 
     def longer(last: Column, r: Column) -> Column:
         def more(p: Column, k: Column) -> Column:
@@ -131,24 +147,14 @@ def five_family(tables: DataFrame) -> DataFrame:
             return F.struct(F.when(skip, p["old"]).otherwise(F.concat(p["old"], gap, p["new"])).alias("v"), F.when(skip, p["known"]).otherwise(F.concat(p["known"], p["c"])).alias("c"))
 
         pairs = F.transform(F.arrays_zip(last["v"].alias("old"), last["c"].alias("known"), r["v"].alias("new"), r["c"].alias("c")), more)
-        return F.struct(*(last[n].alias(n) for n in ("seq", "row", "page", "table_index", "engine")), F.transform(pairs, lambda p: p["v"]).alias("v"), F.transform(pairs, lambda p: p["c"]).alias("c"))
-
-    def step(s: Column, r: Column) -> Column:
-        done = s["done"]
-        last = F.get(done, F.size(done) - 1)
-        name = F.when(r["v"][0] != "", r["v"][0]).otherwise(s["name"])
-        rest = (F.size(done) > 0) & (r["n"] <= 2) & ((r["v"][0] == "") | (r["row"] == 0) & (r["page"] != last["page"]))
-        own = F.struct(*(r[n].alias(n) for n in ("seq", "row", "page", "table_index", "engine")), F.transform(r["v"], lambda cell, k: F.when(k == 0, name).otherwise(cell)).alias("v"), F.transform(r["c"], lambda cell, k: cell).alias("c"))
-        kept = ~rest & (name != "") & F.exists(F.slice(r["v"], 2, 4), lambda cell: cell != "")
-        out = F.when(rest, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer(last, r)))).when(kept, F.concat(done, F.array(own))).otherwise(done)
-        return F.struct(out.alias("done"), F.when(kept, name).otherwise(s["name"]).alias("name"))
-
-    kind = "array<struct<seq:int,row:int,page:int,table_index:int,engine:string,v:array<string>,c:array<string>>>"
-    done = F.aggregate("rows", F.struct(F.array().cast(kind).alias("done"), F.lit("").alias("name")), step, lambda s: s["done"])
-    out = docs.select("doc_id", F.explode(done).alias("r"))
-    x = F.col("r.v")
-    record = as_record(F.col("r.row"), F.lit("detail"), F.lit(""), F.array(x[0], x[1], x[2], x[3], F.lit(""), x[4]), F.lit(""))
-    return out.select("doc_id", F.lit(0).alias("phase"), "r.seq", "r.page", "r.table_index", "r.engine", F.array(record).alias("records"))
+        return F.struct(F.transform(pairs, lambda p: p["v"]).alias("v"), F.transform(pairs, lambda p: p["c"]).alias("c"))
+
+    head = F.col("rows")[0]
+    whole = F.aggregate(F.slice("rows", 2, F.size("rows")), F.struct(head["v"].alias("v"), head["c"].alias("c")), longer, lambda s: s["v"])
+    x = F.col("x")
+    record = as_record(F.col("row"), F.lit("detail"), F.lit(""), F.array(x[0], x[1], x[2], x[3], F.lit(""), x[4]), F.lit(""))
+    out = chains.select("doc_id", *(head[n].alias(n) for n in ("seq", "row", "page", "table_index", "engine")), once(whole).alias("x"))
+    return out.select("doc_id", F.lit(0).alias("phase"), "seq", "page", "table_index", "engine", F.array(record).alias("records"))
 
 
 FAMILIES = {PRODUCT: product_family, FOUR: four_family, FIVE: five_family, EXTENDED: extended_family, SIX: six_family}

@@ -428,6 +428,56 @@ def template_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_template(tables).select("doc_id", "product_model", *TARGET_FIELDS)
 
 
+def placed_pages(spark: SparkSession, sf_dir: str, each: int, pages: Callable[[Column, Column], Column]) -> DataFrame:
+    """An order's items as a document of several pages, ``each`` to a page: ``pages(page, items)`` is a page's grid."""
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_quantity", "l_linestatus")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    dealt = lines.select("l_orderkey", F.size("items").alias("n"), F.col("items"), F.explode(F.sequence(F.lit(1), F.ceil(F.size("items") / each).cast("int"))).alias("page"))
+    mine = F.transform(F.slice("items", (F.col("page") - 1) * each + 1, each), lambda x, i: F.struct(((F.col("page") - 1) * each + i + 1).alias("place"), x.alias("x")))
+    return dealt.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit("pdfplumber_lines").alias("engine"), "page", F.lit(1).alias("table_index"), (F.col("l_orderkey") * 10 + F.col("page")).alias("arrival_seq"), pages(F.col("page"), mine).alias("grid"))
+
+
+_FIVE = f"(SELECT l_orderkey, place, {NAME} AS name, {MAKER} AS maker, {TYPE} AS kind, {SIZE} AS size, lead({NAME}) OVER o AS next, lead({SIZE}) OVER o AS more, lag({NAME}, 3) OVER o AS filled, lag({NAME}) OVER o AS above FROM {PLACED} WINDOW o AS (PARTITION BY l_orderkey ORDER BY place))"
+_SQUEEZED = "replace(lower({}), ' ', '')"
+
+
+@query(
+    f"SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST((place + 1) // 2 AS INTEGER) AS page, CASE place % 4 WHEN 1 THEN name WHEN 0 THEN filled ELSE above || CASE WHEN next IS NULL OR contains({_SQUEEZED.format('above')}, {_SQUEEZED.format('next')}) THEN '' ELSE ' ' || next END END AS object_part_no, maker AS manufacturer_trademark, kind AS type_model, "
+    f"size || ' mm²' || CASE WHEN place % 4 <> 2 OR more IS NULL OR contains(size || 'mm2', more || 'mm2') THEN '' ELSE ' ' || more || ' mm²' END AS technical_data, 'KC' AS marks_of_conformity FROM {_FIVE} WHERE place % 4 <> 3"
+)
+def template_five_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rows a page: the third of four stands first on its page with two values, so it goes on with the record of the page before; the second and fourth have no object, which fills down."""
+
+    def pages(page: Column, items: Column) -> Column:
+        def row(r: Column) -> Column:
+            name, maker, kind, size = _said(r["x"])
+            at = r["place"] % 4
+            whole = lambda c: F.when(at != 3, c).otherwise("")
+            return F.array(F.when(at.isin(1, 3), name).otherwise(""), whole(maker), whole(kind), size, whole(F.lit("KC")))
+
+        top = F.array(F.array(*map(F.lit, ["Component / part No.", "Manufacturer / brand", "Model / type", "Rating or characteristics", "Tested by"])))
+        # a blank cell in every row would take its column away: the header keeps all five
+        return F.when(page == 1, F.concat(top, F.transform(items, row))).otherwise(F.concat(F.transform(items, row), F.slice(top, 1, 1)))
+
+    return _by_template(placed_pages(spark, sf_dir, 2, pages)).select("doc_id", "page", *TARGET_FIELDS[:4], TARGET_FIELDS[5])
+
+
+@query(f"SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(place AS INTEGER) AS page, CASE WHEN place < 4 THEN 'PM-' ELSE 'PN-' END || l_orderkey AS product_model, {NAME} AS object_part_no, {MAKER} AS manufacturer_trademark, {TYPE} AS type_model, {SIZE} || ' mm²' AS technical_data, 'EN 1' AS standard, 'CE' AS marks_of_conformity FROM {PLACED} WHERE place NOT IN (4, 5)")
+def template_product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a page: pages 2 and 3 and 7 have no header and follow one that had; page 4 names another model in a table that is no target, so page 5 follows nothing; page 6 has a header and keeps the model of page 4."""
+
+    def pages(page: Column, items: Column) -> Column:
+        name, maker, kind, size = _said(items[0]["x"])
+        row = F.array(F.array(name, maker, kind, size, F.lit("EN 1"), F.lit("CE")))
+        fixed = lambda *rows: F.array(*(F.array(*map(F.lit, r)) for r in rows))
+        model = lambda start, n: F.array(F.array(F.concat(F.lit(start), F.col("l_orderkey").cast("string")), *(F.lit("n") for _ in range(n - 1))))
+        first = F.concat(fixed(["Product information for model", "x", "", "", "", ""], ["Model", "Name", "", "", "", ""]), model("PM-", 6), fixed(HEADER), row)
+        other = F.concat(fixed(["Product information for model", "x", "y", "z", "w"], ["Model", "N", "N", "N", "N"]), model("PN-", 5))
+        return F.when(page == 1, first).when(page == 4, other).when(page == 6, F.concat(fixed(HEADER), row)).otherwise(row)
+
+    return _by_template(placed_pages(spark, sf_dir, 1, pages)).select("doc_id", "page", "product_model", *TARGET_FIELDS)
+
+
 @query(f"SELECT CAST(o_custkey AS VARCHAR) AS doc_id, CAST(page AS INTEGER) AS page, count(*) AS records FROM lineitem JOIN {PAGED} USING (l_orderkey) WHERE page <= 2 GROUP BY ALL")
 def marked_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A marked table over a customer's pages; on the third another marked table begins, which ends the chain."""
