@@ -488,6 +488,45 @@ def marked_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return follow.chain_records(found, True, phases.MARKED).groupBy("doc_id", "page").agg(F.sum(F.size("records")).alias("records"))
 
 
+#: Which item of an order stands on page p, and what each chain yields of it.
+_ON_PAGE = f"(SELECT l_orderkey, page, {NAME} AS part, 'Compressor ' || l_partkey AS compressor, {MAKER} AS maker, {TYPE} AS kind, {SIZE} || ' mm²' AS size FROM (SELECT *, max(place) OVER (PARTITION BY l_orderkey) AS n FROM {PLACED}) JOIN (SELECT unnest(range(1, 10)) AS page) ON place = (page - 1) % n + 1)"
+
+
+@query(
+    f"SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, chain, CAST(page AS INTEGER) AS page, CAST(nth AS INTEGER) AS table_index, object_part_no, maker AS manufacturer_trademark, kind AS type_model, size AS technical_data, 'EN 1' AS standard, 'CE' AS marks_of_conformity FROM ("
+    f"SELECT *, 'components_information' AS chain, part AS object_part_no, CASE page WHEN 2 THEN 1 + l_orderkey % 2 ELSE 1 END AS nth FROM {_ON_PAGE} WHERE page IN (1, 2, 3, 4, 6) UNION ALL "
+    f"SELECT *, 'components_information', compressor, CASE page WHEN 2 THEN 1 + l_orderkey % 2 ELSE 1 END FROM {_ON_PAGE} WHERE page IN (2, 3) UNION ALL "
+    f"SELECT *, 'list_of_compressor', compressor, CASE page WHEN 2 THEN 1 + l_orderkey % 2 ELSE 2 END FROM {_ON_PAGE} WHERE page <= 3)"
+)
+def follow_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two marked tables start on page 1. Page 2 has two tables, the larger first or second; page 3 heads the components anew with columns in another order, which ends the compressors after its other table; pages 5, 7 and 8 have remarks only: one miss is passed over, two end the chain before page 9."""
+    turned = [*HEADER[:4], HEADER[5], HEADER[4]]
+    fixed = lambda *rows: F.array(*(F.array(*map(F.lit, r)) for r in rows))
+    title = lambda t: [t, "", "", "", "", ""]
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_quantity", "l_linestatus")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    paged = lines.select("l_orderkey", "items", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("page"))
+    x = F.get("items", (F.col("page") - 1) % F.size("items"))
+    part, maker, kind, size = _said(x)
+    compressor = F.concat(F.lit("Compressor "), x["l_partkey"].cast("string"))
+    row = lambda name, late=False: F.array(F.array(name, maker, kind, size, *([F.lit("CE"), F.lit("EN 1")] if late else [F.lit("EN 1"), F.lit("CE")])))
+    remarks = fixed(["Remark a", "x", "y", "z", "EN 1", "CE"], ["Remark b", "x", "y", "z", "EN 1", "CE"])
+    large, small = F.concat(row(part), row(compressor)), row(F.lit("Part of the smaller table"))
+    second = F.when(F.col("l_orderkey") % 2 == 0, F.array(large, small)).otherwise(F.array(small, large))
+    grids = (
+        F.when(F.col("page") == 1, F.array(F.concat(fixed(title("TABLE: Components information"), HEADER), row(part)), F.concat(fixed(title("TABLE: list of compressor"), HEADER), row(compressor))))
+        .when(F.col("page") == 2, second).when(F.col("page") == 3, F.array(F.concat(fixed(title("TABLE: Components information"), turned), row(part, True), row(compressor, True)), row(compressor)))
+        .when(F.col("page").isin(5, 7, 8), F.array(remarks)).otherwise(F.array(row(part, True)))
+    )
+    tables = paged.select("l_orderkey", "page", F.posexplode(grids).alias("at", "grid"))
+    tables = tables.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit("pdfplumber_lines").alias("engine"), "page", (F.col("at") + 1).alias("table_index"), (F.col("l_orderkey") * 100 + F.col("page") * 3 + F.col("at")).alias("arrival_seq"), "grid")
+    found = written(headers.describe(grid.select(tables, Config(min_score=-100.0, dedup=False)), templates=False), "candidates")
+    rows = follow.chain_records(found, True, phases.MARKED)
+    chain = F.when(F.col("seq") >= 1_000_000, "list_of_compressor").otherwise("components_information")
+    r = F.col("r")
+    return rows.withColumn("chain", chain).select("doc_id", "chain", "page", "table_index", F.explode("records").alias("r")).select("doc_id", "chain", "page", "table_index", *(F.get(r["f"], F.lit(k)).alias(n) for k, n in enumerate(TARGET_FIELDS)))
+
+
 @query(f"SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(CASE WHEN place % 2 = 1 THEN 1 ELSE 2 END AS INTEGER) AS page, count(*) AS records FROM {PLACED} WHERE place % 2 = 1 OR l_orderkey % 4 <= 2 GROUP BY ALL")
 def column_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even rows stand on a second page without a header, in a table that is none to three columns wider: two are tolerated."""
