@@ -23,8 +23,14 @@ RUN = 256
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 WINDOW = 20
-#: For each character class, the first that a candidate belongs to wholly: bits per character that its best window must reach. A window of 20 has 4.32 at most. Words and paths have no digit and reach about 3.9.
+#: For each character class, the first that the judged runs belong to wholly: bits per character that their best window must reach. A window of 20 has 4.32 at most.
 CLASSES = {"hex": (r"[0-9a-f]+|[0-9A-F]+", 2.75), "capitals": (r"(?=.*[0-9])[A-Z0-9]+", 3.3), "letters": (r"(?=.*[A-Z])(?=.*[a-z])[A-Za-z]+", 4.05), "digits": (r"(?=.*[0-9])[A-Za-z0-9+/_=-]+", 3.6), "signs": (r"[A-Za-z+/_=-]+", 4.2)}
+#: A candidate is read run by run between these signs. Runs that look like words, identifiers, versions or numbers are
+#: allow-listed: digits or letters of one case alone; or words (three letters and more, or a small one between capitals)
+#: that make up WORDY of the letters, with at most GROUPS groups of digits in no more than half of the run. Runs of up to SHORT
+#: characters count with the others around them. What is left is judged if it fills a window.
+BETWEEN, WORDS = r"[+/_=-]+", r"[A-Z][a-z]{2,}|[a-z]{3,}|[A-Z]{3,}(?![a-z])|(?<=[a-z])(?:To|Of|By|In|On|Id|At|Is|As|Or)(?=[A-Z0-9]|$)"
+SHORT, WORDY, GROUPS = 4, 0.85, 2
 #: Candidates that are never secrets as a whole: UUIDs, numbers and dates.
 ALLOW = (r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"[0-9+/_=-]*")
 #: What shows a placeholder when it stands in the best window itself.
@@ -103,16 +109,37 @@ def best_entropy(text: Column, window: int = WINDOW) -> Column:
     return best_window(text, window)["bits"]
 
 
+def strange_runs(candidate: Column) -> Column:
+    """The candidate's runs that no allow-listed shape takes, one after the other; the short ones too where most of the candidate is strange."""
+
+    def strange(run: Column) -> Column:
+        letters = F.length(F.regexp_replace(run, "[0-9]", ""))
+        other = F.length(F.regexp_replace(F.regexp_replace(run, WORDS, ""), "[0-9]", ""))
+        wordy = (other <= (1 - WORDY) * letters) & (2 * (F.length(run) - letters) <= F.length(run)) & (F.regexp_count(run, F.lit("[0-9]+")) <= GROUPS)
+        return (F.length(run) > SHORT) & ~(run.rlike("^([0-9]+|[a-z]+|[A-Z]+)$") | wordy)
+
+    def kept(runs: Column) -> Column:
+        odd = F.filter(runs, strange)
+        mostly = 2 * F.length(F.array_join(odd, "")) >= F.length(F.array_join(runs, ""))
+        return F.array_join(F.when(mostly, F.filter(runs, lambda r: (F.length(r) <= SHORT) | strange(r))).otherwise(odd), "")
+
+    return let(F.split(candidate, BETWEEN, -1), kept)
+
+
 def secret_like(candidate: Column, window: int = WINDOW) -> Column:
-    """Whether the candidate's best window reaches the bits of its character class, holds no placeholder, and no allow pattern is the whole candidate."""
-    least = F.lit(99.0)
-    for pattern, bits in reversed(CLASSES.values()):
-        least = F.when(candidate.rlike(f"^({pattern})$"), F.lit(bits)).otherwise(least)
+    """Whether the best window of the candidate's strange runs reaches the bits of their character class and holds no placeholder, and no allow pattern is the whole candidate."""
     allowed = F.lit(False)
     for pattern in ALLOW:
         allowed = allowed | candidate.rlike(f"^({pattern})$")
-    inside = lambda best: F.substring(candidate, -best["back"] - window + 1, F.lit(window))
-    return F.when(allowed, F.lit(False)).otherwise(let(best_window(candidate, window), lambda best: (best["bits"] >= least) & ~inside(best).rlike(PLACEHOLDER)))
+
+    def judged(rest: Column) -> Column:
+        least = F.lit(99.0)
+        for pattern, bits in reversed(CLASSES.values()):
+            least = F.when(rest.rlike(f"^({pattern})$"), F.lit(bits)).otherwise(least)
+        inside = lambda best: F.substring(rest, -best["back"] - window + 1, F.lit(window))
+        return F.when(F.length(rest) < window, F.lit(False)).otherwise(let(best_window(rest, window), lambda best: (best["bits"] >= least) & ~inside(best).rlike(PLACEHOLDER)))
+
+    return F.when(allowed, F.lit(False)).otherwise(let(strange_runs(candidate), judged))
 
 
 def _span(k: int) -> Callable[[Column], Column]:

@@ -128,6 +128,68 @@ def test_entropy_alone_finds_planted_secrets(spark):
     assert [c for i, c in enumerate(clean) if rows[len(keys) + i]] == []
 
 
+#: Pieces of slugs, paths, versions and identifiers.
+PLAIN = "usr lib python3 dist packages numpy core how to bake a simple sourdough bread top 10 places visit in southern france section 3 advanced configuration options org apache spark sql catalyst expressions final model v2 checkpoint step 2024 05 12 report of the committee x86 64 linux gnu utf8 sha256 log4j http2 oauth2 release 1 build 17 index page2 part3".split()
+IDENTIFIERS = "getUserById2FactorAuthToken IPv4AddressRangeTo6rdMapper Log4jPredicateGenerator X509CertificateChainValidator sha256sumOfUtf8Text OAuth2TokenEndpointConfig parseHTTPResponseToXMLDocument MyH264VideoDecoderFactory iOSAppDelegateViewController getElementsByTagNameNS S3BucketListObjectsV2Request createRGBAColorFromHSL EC2InstanceTypeT3Micro".split()
+STATED = "/usr/lib/python3/dist-packages/numpy/core com/2024/05/12/how-to-bake-a-simple-sourdough-bread /blog/top-10-places-to-visit-in-southern-france section-3-advanced-configuration-options org/apache/spark/sql/catalyst/expressions/Log4jPredicateGenerator ABC-2019-ANNUAL-REPORT-OF-THE-COMMITTEE the_model_v2_final_checkpoint_step 7d793037a076-to-be-continued build-a1b2c3d-of-x86-in-md5".split()
+
+
+def test_slugs_paths_versions_and_identifiers_are_no_secrets(spark):
+    rnd = random.Random(11)
+    made = [rnd.choice("-_/").join(rnd.choice((str.lower, str.upper, str.title))(w) for w in rnd.sample(PLAIN, rnd.randint(4, 9))) for _ in range(300)]
+    clean = [w for w in [*made, *IDENTIFIERS, *STATED] if len(w) >= secrets.WINDOW]
+    assert len(clean) > 300
+    rows = spark.createDataFrame([(w,) for w in clean], "s string").select("s", secrets.secret_like(F.col("s")).alias("hit")).collect()
+    assert sum(r["hit"] for r in rows) < 0.01 * len(clean), [r["s"] for r in rows if r["hit"]]
+
+
+def test_keys_of_other_alphabets_are_found(spark):
+    rnd = random.Random(12)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = (low + low.upper() + digits, low + low.upper() + digits + "-_", low + digits, low.upper() + digits, low + low.upper() + digits + "+/")
+    keys = ["".join(rnd.choice(alphabets[k % 5]) for _ in range(rnd.randint(28, 48))) for k in range(500)]
+    found = spark.createDataFrame([(k,) for k in keys], "s string").select(secrets.secret_like(F.col("s")).alias("hit")).where("hit").count()
+    assert found > 0.95 * len(keys)
+
+
+def brute_spans(text):
+    """All spans of op9 by plain Python: base forms, then candidates judged over every window."""
+    out = []
+    for m in re.finditer(secrets.ASSIGN, text):
+        out += [(m.start(), 0, m.end(), "assign")] if len(m[2]) >= 6 else []
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}", text):
+        if any(a <= m.start() and m.end() <= b for a, _, b, k in out if k != "entropy") or any(re.fullmatch(p, m[0]) for p in secrets.ALLOW):
+            continue
+
+        def strange(r):
+            letters = len(re.sub("[0-9]", "", r))
+            other = len(re.sub("[0-9]", "", re.sub(secrets.WORDS, "", r)))
+            wordy = other <= (1 - secrets.WORDY) * letters and 2 * (len(r) - letters) <= len(r) and len(re.findall("[0-9]+", r)) <= secrets.GROUPS
+            return len(r) > secrets.SHORT and not (re.fullmatch("[0-9]+|[a-z]+|[A-Z]+", r) or wordy)
+
+        runs = re.split(secrets.BETWEEN, m[0])
+        odd = [r for r in runs if strange(r)]
+        rest = "".join([r for r in runs if len(r) <= secrets.SHORT or strange(r)] if 2 * len("".join(odd)) >= len("".join(runs)) else odd)
+        if len(rest) < secrets.WINDOW:
+            continue
+        bits = next((b for p, b in secrets.CLASSES.values() if re.fullmatch(p, rest)), 99)
+        best = max(((-sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w)), -k, w) for k in range(len(rest) - 19) for w in [rest[k : k + 20]]), key=lambda x: (round(x[0], 9), x[1]))
+        if best[0] >= bits - 1e-9 and not re.search(secrets.PLACEHOLDER, best[2]):
+            out.append((m.start(), 3, m.end(), "entropy"))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+def test_whole_spans_against_brute_force(spark):
+    rnd = random.Random(13)
+    bits = [*PLAIN, *IDENTIFIERS, "é", "password: ", 'token="', "api_key = x", "AKIA" + "Q7" * 9, "0123456789abcdef" * 2, "secret:abcdefgh", "==", "/", "-", "_", " ", " ", "\n", "Zk3LpQ9xWv7TbN2mRs8Yd5Hc", "qW8eRt5Yu2Io9Pa3Sd6Fg"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 60))) for _ in range(200)] + ["", None, "x" * 30, ("word " * 1000 + "Zk3LpQ9xWv7TbN2mRs8Yd5Hc ") * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    mine = {r["doc_id"]: r["s"] for r in secrets.scan(docs).select("doc_id", secrets.listed(F.col("secrets")).alias("s")).collect()}
+    assert [(t[:200], mine[i], brute_spans(t)) for i, t in enumerate(texts) if t is not None and mine[i] != brute_spans(t)] == [] and mine[201] == ""
+
+
 def test_many_matches_are_placed_right(spark):
     text = " ".join(f"{'é' * (i % 3)} AKIA{'B' * 16}" for i in range(1500))
     want = ",".join(f"access:{m.start()}:{m.end()}" for m in re.finditer("AKIA[A-Z0-9]{16,}", text))
