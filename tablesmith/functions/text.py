@@ -37,6 +37,18 @@ def strip(x: Column | str) -> Column:
     return F.regexp_replace(col(x), EDGES, "")
 
 
+def casefold(x: Column | str) -> Column:
+    """The text folded for comparison without regard to case, ß as ss: character by character, by the standard library's table as one literal. Plain ASCII is lowered."""
+    import json
+    import sys
+
+    folds = {chr(n): f for n in range(128, sys.maxunicode + 1) if not 0xD800 <= n <= 0xDFFF and (f := chr(n).casefold()) != chr(n)}
+    table = F.from_json(F.lit(json.dumps(folds)), "map<string,string>")
+    ascii_lower = "".join(map(chr, range(97, 123)))
+    each = F.transform(F.split(col(x), ""), lambda c: F.when(c.rlike("[^\\x00-\\x7F]"), F.coalesce(F.try_element_at(table, c), c)).otherwise(F.translate(c, ascii_lower.upper(), ascii_lower)))
+    return F.when(col(x).rlike("[^\\x00-\\x7F]"), F.array_join(each, "")).otherwise(F.translate(col(x), ascii_lower.upper(), ascii_lower))
+
+
 def normalize_cell(x: Column | str, flatten: bool = False, superscript: bool = False) -> Column:
     """Null is empty; symbol glyphs mapped; line ends unified; blanks collapsed and stripped in each line. ``flatten`` joins non-empty lines by a blank, else inner empty lines stay."""
     text = F.regexp_replace(F.translate(F.coalesce(col(x), F.lit("")), *SYMBOLS), "\r\n?", "\n")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import col, loose_text, strip
+from ..functions.text import casefold, col, loose_text, strip
 
 # Fixed values: (pattern, rule, priority) of the text rules.
 TEXT_RULES = (
@@ -79,7 +79,7 @@ def models(pages: DataFrame, tables: DataFrame | None = None, files: DataFrame |
     """file_name, path, page, model, rule, raw_value, status, note and source_text, with one row for a file without a model.
 
     pages: doc_id, file_name, path, page, text; tables: doc_id, page, table_index, grid; files: doc_id, file_name, path and an error for files that could
-    not be read. Within a file the matches of highest priority count, and of equal names, in lower case, the first.
+    not be read. Within a file the matches of highest priority count, and of names that are equal without regard to case (ß as ss) the first.
     """
     first = pages.where(F.col("page") <= max_pages)
     found = first.select("doc_id", "page", F.lit(0).alias("table_index"), F.posexplode(text_matches(loose_text("text"))).alias("at", "m"))
@@ -92,7 +92,7 @@ def models(pages: DataFrame, tables: DataFrame | None = None, files: DataFrame |
     best = found.withColumn("__top", F.max("m.priority").over(doc)).where("m.priority = __top")
     order = F.struct("page", "table_index", "at", "k")
     named = best.select("doc_id", "page", "table_index", "at", F.col("m.rule").alias("rule"), "raw_value", F.col("m.raw").alias("source_text"), F.posexplode("models").alias("k", "model"))
-    named = named.withColumn("__rank", F.row_number().over(W.partitionBy("doc_id", F.lower("model")).orderBy(order))).where("__rank = 1")
+    named = named.withColumn("__rank", F.row_number().over(W.partitionBy("doc_id", casefold("model")).orderBy(order))).where("__rank = 1")
     named = named.select("doc_id", "page", "model", "rule", "raw_value", "source_text", order.alias("ord"))
     known = pages.select("doc_id", "file_name", "path").distinct().withColumn("error", F.lit(None).cast("string"))
     if files is not None:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import join_distinct, once, technical_units
+from ..scratch import written
 from .headers import all_of, any_of, hinted_header
 from .records import as_record
 
@@ -164,16 +167,17 @@ def template_records(candidates: DataFrame, template: str = "auto") -> DataFrame
     """Records of the known families, phase -1 for a requested template and 0 for the detected family.
 
     A template is honoured where the document's family is unknown or the same; where it yields nothing the detected
-    family is read.
+    family is read. Families are told from header texts alone, which are written; tables are read for those that occur.
     """
-    known = with_family(candidates)
+    narrow = with_family(candidates.select("doc_id", "seq", "compacts")).select("doc_id", "seq", "header", "family")
+    narrow = written(narrow, "families")
+    present = {r[0] for r in narrow.select("family").distinct().collect()}  # six values at most
+    known = candidates.join(narrow, ["doc_id", "seq"])
     asked = (template or "auto").strip().lower()
     wanted = ALIASES.get(asked, asked)
-    out = None
-    for name, read in FAMILIES.items():
-        found = read(known.where(F.col("family") == name))
-        out = found if out is None else out.unionByName(found)
-    if wanted in FAMILIES:
-        first = FAMILIES[wanted](known.where(F.col("family").isNull())).withColumn("phase", F.lit(-1))
-        out = out.unionByName(first)
-    return out
+    parts = [read(known.where(F.col("family") == name)) for name, read in FAMILIES.items() if name in present]
+    if wanted in FAMILIES and None in present:
+        parts.append(FAMILIES[wanted](known.where(F.col("family").isNull())).withColumn("phase", F.lit(-1)))
+    if not parts:
+        return six_family(known.limit(0))
+    return reduce(DataFrame.unionByName, parts)

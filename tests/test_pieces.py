@@ -236,3 +236,11 @@ def test_pages_are_fetched_and_failures_are_rows(spark):
     assert (rows[0]["html"], rows[0]["error"]) == ("<p>café \ufffd</p>", None)
     assert rows[1]["html"] is None and rows[1]["error"] == "HTTP 404"
     assert all(r["html"] is None and r["error"].startswith("request failed") for r in rows[2:])
+
+
+def test_case_folding_is_that_of_the_standard_library(spark):
+    rows = [(n, f"x{chr(n)}Y") for n in [*range(0x3000), *range(0xA640, 0xAC00), *range(0xFB00, 0xFB20), *range(0xFF00, 0xFF60), *range(0x10400, 0x10440), *range(0x1E900, 0x1E930)]]
+    mine = {r["n"]: r["f"] for r in spark.createDataFrame(rows, "n int, t string").select("n", text.casefold("t").alias("f")).collect()}
+    assert [t for n, t in rows if mine[n] != t.casefold()] == []
+    pages = spark.createDataFrame([("d", "f", "p", 1, "Model/Type reference: STRASSE-1, straße-1, Straße-2")], "doc_id string, file_name string, path string, page int, text string")
+    assert [r["model"] for r in models.models(pages).orderBy("ord").collect()] == ["STRASSE-1", "Straße-2"]
