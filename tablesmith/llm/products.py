@@ -11,12 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import durable, sampled
-from .vectors import SAMPLE_ROWS, main_length, matrix
+from .vectors import NUMBERS, SAMPLE_ROWS, main_length
 
 #: Queries that are sent to all tasks at a time, longest rows that give them their first thresholds, and queries looked at together.
 ROUND, HEAD, QUERIES = 4096, 2048, 256
-#: Numbers that the sample, the longest rows and a round of queries hold at most on the driver, each.
-NUMBERS = 4_000_000
 #: Shares of the sample's energy that the partial sums cover one after the other.
 SHARES = (0.5, 0.75, 0.9)
 #: Allowance for rounding in partial sums, relative to the product of lengths.

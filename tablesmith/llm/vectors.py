@@ -24,8 +24,10 @@ BANK = 64
 PARTED, MISSED = 0.04, 1e-4
 #: Rows of a leaf that are compared with as many at a time.
 TILE = 512
-#: Coded rows and queries that meet in a task, and queries looked at together.
-BLOCK, QUERY_BLOCK, QUERIES = 8192, 4096, 16
+#: Coded rows looked at together, queries that are sent to all tasks at a time, queries looked at together, and rows that give them their first limits.
+BLOCK, QUERY_BLOCK, QUERIES, SEEDS = 8192, 4096, 16, 2048
+#: Numbers that the sample and a round of queries hold at most on the driver, each.
+NUMBERS = 4_000_000
 CODE_BITS = 128
 
 
@@ -244,37 +246,62 @@ def estimated(codes: np.ndarray, ones: np.ndarray, query: np.ndarray, levels: in
     return 2 * (step * hit + low * ones[None, :]) - rounded.sum(axis=1, keepdims=True)
 
 
-def block_search(queries: tuple[np.ndarray, np.ndarray], rows: dict[str, np.ndarray], turn: np.ndarray, center: np.ndarray, k: int, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, distance) of the k nearest rows in the block for each query.
+class Nearest:
+    """The queries of a round with their nearest rows so far.
 
-    The squared distance is estimated from the codes; its error is bounded by ``width`` standard deviations of the
-    part of the unit vector that the code misses. Rows whose lower bound lies below the k-th smallest upper bound are
-    measured on the original vectors, squares being added from the first component to the last.
+    ``limit``: for each query, a distance that its k-th nearest row does not exceed.
     """
-    ids, x = queries
-    y = (x - center) @ turn
-    size = np.linalg.norm(y, axis=1)
-    unit = y / np.maximum(size, 1e-300)[:, None]
-    bits = y.shape[1]
-    inner = estimated(rows["code"], rows["ones"], unit) / np.sqrt(bits) / rows["fit"][None, :]
-    slack = width * np.sqrt(np.maximum(1 - rows["fit"] ** 2, 0)) / rows["fit"] / np.sqrt(bits - 1)
-    base = size[:, None] ** 2 + rows["size"][None, :] ** 2
-    scale = 2 * size[:, None] * rows["size"][None, :]
-    guess, error = base - scale * inner, scale * slack[None, :]
-    own = ids[:, None] == rows["id"][None, :]
-    high = np.where(own, np.inf, guess + error)
-    near = min(k, len(rows["id"])) - 1
-    limit = np.partition(high, near, axis=1)[:, near]
-    q, r = np.nonzero((guess - error <= limit[:, None]) & ~own)
-    far = np.zeros(len(q))
-    for c in range(x.shape[1]):
-        far += (x[q, c] - rows["v"][r, c]) ** 2
-    far = np.sqrt(far)
-    order = np.lexsort((rows["id"][r], far, q))
-    q, r, far = q[order], r[order], far[order]
-    rank = np.arange(len(q)) - np.searchsorted(q, q)
-    top = rank < k
-    return ids[q[top]], rows["id"][r[top]], far[top]
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, turn: np.ndarray, center: np.ndarray, k: int, width: float, limit: np.ndarray | None = None):
+        self.ids, self.x, self.k, self.width = ids, x, k, width
+        y = (x - center) @ turn
+        self.size = np.linalg.norm(y, axis=1)
+        self.turned = y / np.maximum(self.size, 1e-300)[:, None]
+        self.limit = np.full(len(ids), np.inf) if limit is None else limit.copy()
+        self.best: list[list[np.ndarray]] = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]]
+
+    def measure(self, q: np.ndarray, r: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        """Takes in pairs by their distance on the original vectors, squares added from the first component to the last."""
+        far = np.zeros(len(q))
+        for c in range(v.shape[1]):
+            far += (self.x[q, c] - v[r, c]) ** 2
+        far = np.sqrt(far)
+        near = far <= self.limit[q]
+        self.best.append([q[near], ids[r[near]], far[near]])
+
+    def scan(self, rows: dict[str, np.ndarray]) -> None:
+        """Takes in a block of coded rows.
+
+        The squared distance is estimated from the codes; its error is bounded by ``width`` standard deviations of the
+        part of the unit vector that the code misses. Rows whose lower bound lies within the query's limit, and below
+        the k-th smallest upper bound of the block, are measured.
+        """
+        bits = self.turned.shape[1]
+        slack = self.width * np.sqrt(np.maximum(1 - rows["fit"] ** 2, 0)) / rows["fit"] / np.sqrt(bits - 1)
+        for i in range(0, len(self.ids), QUERIES):
+            mine = slice(i, i + QUERIES)
+            inner = estimated(rows["code"], rows["ones"], self.turned[mine]) / np.sqrt(bits) / rows["fit"][None, :]
+            base = self.size[mine, None] ** 2 + rows["size"][None, :] ** 2
+            scale = 2 * self.size[mine, None] * rows["size"][None, :]
+            guess, error = base - scale * inner, scale * slack[None, :]
+            own = self.ids[mine, None] == rows["id"][None, :]
+            near = min(self.k, len(rows["id"])) - 1
+            limit = np.minimum(np.partition(np.where(own, np.inf, guess + error), near, axis=1)[:, near], self.limit[mine] ** 2 * (1 + 1e-9))
+            q, r = np.nonzero((guess - error <= limit[:, None]) & ~own)
+            self.measure(q + i, r, rows["id"], rows["v"])
+        self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keeps the k nearest of each query, ties to the smaller id: (query, row's id, distance)."""
+        q, r, far = (np.concatenate(c) for c in zip(*self.best, strict=True))
+        order = np.lexsort((r, far, q))
+        q, r, far = q[order], r[order], far[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last = rank == self.k - 1
+        self.limit[q[last]] = np.minimum(self.limit[q[last]], far[last])
+        top = rank < self.k
+        self.best = [[q[top], r[top], far[top]]]
+        return q[top], r[top], far[top]
 
 
 def encoded(v: np.ndarray, turn: np.ndarray, center: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,14 +314,15 @@ def encoded(v: np.ndarray, turn: np.ndarray, center: np.ndarray) -> tuple[np.nda
     return packed(signs), size, fit
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = CODE_BITS, width: float = 3.0, sample: int = SAMPLE_ROWS) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = CODE_BITS, width: float = 3.0, sample: int = SAMPLE_ROWS, round_size: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row that ``is_query`` marks, the k nearest other rows by Euclidean distance in double precision, ties to the smaller id.
 
-    Rows are coded once (bits packed in numbers, a norm and a correction scalar each) and dealt into blocks of about
-    BLOCK; queries into blocks of QUERY_BLOCK, each of which meets every block of rows in a task of its own: a row travels
-    once for each QUERY_BLOCK queries. A tile returns k rows a query at most. Vectors that are null, zero or hold null or non-finite components, rows
-    without an id, and vectors of another length than most have take no part. Repeated rows are candidates each. An
-    empty table gives an empty result; other columns are not looked at. The sample sets the centre alone.
+    Rows are coded once (bits packed in numbers, a norm and a correction scalar each), written, and stay where they are.
+    Queries go to them in broadcasts of about ``round_size`` (less for long vectors: NUMBERS), each with the k-th smallest
+    distance to a few rows of the sample as its limit, so a partition returns few rows a query and only these are
+    shuffled. Vectors that are null, zero or hold null or non-finite components, rows without an id, and vectors of
+    another length than most have take no part. Repeated rows are candidates each, and ask each. An empty table gives an
+    empty result; other columns are not looked at. The sample sets the centre and the limits alone.
     """
     spark = df.sparkSession
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -308,33 +336,51 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
         return spark.createDataFrame([], empty)
     # all work is done in this unit, a power of two, so squares stay finite and results are the same to the last bit
     unit = 2.0 ** min(1023, math.ceil(math.log2(most)))
-    center = (np.array([r[0] for r in sampled(rows, "id", sample, total).select("v").collect()], float) / unit).mean(axis=0)
+    bound = max(1, NUMBERS // length)
+    few = sampled(rows, "id", min(sample, bound), total).select("id", "v").collect()
+    few_ids, few_v = np.array([r[0] for r in few]), np.array([r[1] for r in few], float) / unit
+    center = few_v.mean(axis=0)
     bits = max(bits, -(-length // 64) * 64)
     turn = rotation(length, bits)
-    blocks, query_blocks = -(-total // BLOCK), -(-asks // QUERY_BLOCK)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed_, size, fit = encoded(matrix(batch.column(1)) / unit, turn, center)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in packed_], pa.binary()), pa.array(size), pa.array(fit)], ["id", "v", "block", "code", "size", "fit"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in packed_], pa.binary()), pa.array(size), pa.array(fit)], ["id", "v", "code", "size", "fit"])
 
     kind = df.schema[vector_col].dataType.simpleString()
-    coded = rows.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-    coded = durable(coded.mapInArrow(code, f"id bigint, v {kind}, block int, code binary, size double, fit double"), "codes")
-    left = coded.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    ask = rows.where("asks").select("id", "v", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(query_blocks)).cast("int").alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if a.num_rows and b.num_rows:
-            a, b = a.combine_chunks(), b.combine_chunks()
-            codes = np.frombuffer(b"".join(a["code"].to_pylist()), np.uint64).reshape(a.num_rows, -1)
-            held = {"id": a["id"].to_numpy(), "v": matrix(a["v"].combine_chunks()) / unit, "code": codes, "ones": np.bitwise_count(codes).sum(axis=1).astype(float), "size": a["size"].to_numpy(), "fit": a["fit"].to_numpy()}
-            x, ids = matrix(b["v"].combine_chunks()) / unit, b["id"].to_numpy()
-            parts = [block_search((ids[i : i + QUERIES], x[i : i + QUERIES]), held, turn, center, k, width) for i in range(0, len(ids), QUERIES)]
-            out = tuple(np.concatenate(p) for p in zip(*parts, strict=True))
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(np.asarray(out[2], float) * unit, pa.float64())})
-
-    found = left.groupBy("block", "query_block").cogroup(ask.groupBy("block", "query_block")).applyInArrow(tile, "query_id bigint, vec_id bigint, score double")
+    coded = durable(rows.select("id", "v").mapInArrow(code, f"id bigint, v {kind}, code binary, size double, fit double"), "codes")
+    asking = durable(rows.where("asks").groupBy("id", "v").agg(F.count("*").alias("times")), "asking")
+    rounds = max(1, -(-asking.count() // min(round_size, bound)))
+    place = F.pmod(F.xxhash64("id", "v"), F.lit(rounds))
+    parts = []
+    for number in range(rounds):
+        asked = asking.where(place == number).collect()  # about round_size, whatever the table's size
+        if not asked:
+            continue
+        first = Nearest(np.array([r[0] for r in asked]), np.array([r[1] for r in asked], float) / unit, turn, center, k, width)
+        for i in range(0, len(asked), QUERIES):  # against a few rows of the sample, whole
+            q, r = np.nonzero(first.ids[i : i + QUERIES, None] != few_ids[None, :SEEDS])
+            first.measure(q + i, r, few_ids, few_v)
+        first.settle()
+        sent = spark.sparkContext.broadcast((first.ids, first.x, np.array([r[2] for r in asked]), first.limit, turn, center, unit, k, width))
+        found = coded.mapInArrow(_near(sent), "query_id bigint, vec_id bigint, score double")
+        parts.append(durable(found, "found") if rounds > 1 else found)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.union, parts).withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _near(sent):  # a function of its own: nothing else of the operator travels with it
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, times, limit, turn, center, unit, k, width = sent.value
+        mine = Nearest(ids, x, turn, center, k, width, limit)
+        for batch in batches:
+            for i in range(0, len(batch), BLOCK):
+                some = batch.slice(i, BLOCK)
+                codes = np.frombuffer(b"".join(some.column(2).to_pylist()), np.uint64).reshape(len(some), -1)
+                mine.scan({"id": some.column(0).to_numpy(), "v": matrix(some.column(1)) / unit, "code": codes, "ones": np.bitwise_count(codes).sum(axis=1).astype(float), "size": some.column(3).to_numpy(), "fit": some.column(4).to_numpy()})
+        q, r, far = mine.settle()
+        again = np.minimum(times, k)[q]  # rows of one id and vector ask each
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[q], again)), pa.array(np.repeat(r, again)), pa.array(np.repeat(far * unit, again))], ["query_id", "vec_id", "score"])
+
+    return run
