@@ -17,8 +17,8 @@ from .common import utf8, with_text
 
 #: Bound of the sample that the model is fitted on: documents of each language, those of least hashed id.
 SAMPLE_PER_LANG = 300
-#: The most frequent languages, those that a model tells apart; rows in any other teach nothing.
-MOST_LANGS = 200
+#: Default bound of the languages that a model tells apart, the most frequent ones, and of the rows of all of them that the driver holds (16 KB each): with more than 40 languages each teaches with fewer.
+MOST_LANGS, SAMPLE_ROWS = 200, 12_000
 BITS, DIM = 13, 16
 #: Calibrated chance of being right that a text must reach, unless right answers held back from training had less.
 SURE = 0.6
@@ -126,12 +126,19 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 12, rate
     return LanguageModel(langs, np.concatenate([table, np.zeros((1, table.shape[1]))]).astype(np.float32), bias * heat, least)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> LanguageModel | None:
-    """Learns from at most ``per_lang`` documents of each of the MOST_LANGS most frequent languages. Rows without a language or a letter teach nothing; without any row there is no model (None)."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG, most_langs: int = MOST_LANGS, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
+    """Learns from at most ``per_lang`` documents of each of the ``most_langs`` most frequent languages, and about ``sample_rows`` in all.
+
+    Texts in any other language are judged, but as one of those learned or as rejected: raise ``most_langs`` for more. Rows
+    without a language or a letter teach nothing; without any row, as in an empty table, there is no model (None). Repeated
+    rows teach each; a very long text is counted whole by its task.
+    """
     known = docs.where(F.col(lang_col).isNotNull())
     # before anything is ranked, hashes alone let go of all but about twice the bound of each language
     order, cut = F.xxhash64(id_col), F.lit(False)
-    for row in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGS).collect():
+    spoken = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_langs).collect()
+    per_lang = max(1, min(per_lang, sample_rows // max(1, len(spoken))))
+    for row in spoken:
         share = (2 * per_lang + 200) / row["count"]
         cut = cut | (F.col(lang_col) == row[0]) & (F.lit(True) if share >= 1 else order < int(-(2**63) + 2**64 * share))
     known = known.where(cut).where(F.col(text_col).rlike(r"\p{L}"))
@@ -155,7 +162,8 @@ def identify(df: DataFrame, model: LanguageModel | None, text_col: str = "text",
     """Adds lang_pred, score and rejected for every row's whole text.
 
     A text that is null or has no letter is ``und`` with score 0; so is every text without a model. Ties go to the
-    language that sorts first. Columns of these names, ``prefix`` before them, are replaced.
+    language that sorts first. Repeated rows are judged each, an empty table gives an empty one, a very long text is
+    read whole, alone in its step. Columns of these names, ``prefix`` before them, are replaced.
     """
 
     def work(text: pa.Array) -> list[pa.Array]:

@@ -162,8 +162,8 @@ def train(x: np.ndarray, size: np.ndarray, text: np.ndarray, good: np.ndarray, r
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> QualityModel:
-    """Learns from at most ``sample_docs`` labels, those of least hashed id, and their documents of at most SAMPLE_LINES lines.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> QualityModel:
+    """Learns from at most ``sample_docs`` labels, those of least hashed id, and their documents of at most ``sample_lines`` lines, which bounds what the driver holds.
 
     Labels other than 0 and 1, null labels and ids without a document are left out. With no label, or only one, the
     model gives every text the smoothed share of good ones.
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).cast("int").alias("__good"))
     known = F.broadcast(sampled(known, id_col, sample_docs))  # bounded, so texts need no shuffle
     breaks = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
-    some = docs.join(known, id_col).where(F.coalesce(breaks, F.lit(0)) < SAMPLE_LINES).select("__good", text_col)
+    some = docs.join(known, id_col).where(F.coalesce(breaks, F.lit(0)) < sample_lines).select("__good", text_col)
 
     def work(text: pa.Array) -> list[pa.Array]:
         x, size, owner = features(*utf8(text))
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(df: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
-    """Adds score (0 to 1, higher is better) and predicted (1 from 0.5 on) for every row's whole text. Null and empty texts count as one empty line; columns of these names, ``prefix`` before them, are replaced."""
+    """Adds score (0 to 1, higher is better) and predicted (1 from 0.5 on) for every row's whole text. Null and empty texts count as one empty line; repeated rows are scored each, an empty table gives an empty one, a very long text is scored whole, alone in its step; columns of these names, ``prefix`` before them, are replaced."""
 
     def work(text: pa.Array) -> list[pa.Array]:
         found = model.scores(*utf8(text))
