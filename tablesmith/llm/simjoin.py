@@ -38,6 +38,8 @@ BITS = 24  # of a chunk
 PARTS = 4
 #: Rows of a bucket in a block, and bits of the sketches that blocks are compared by.
 TILE, TILE_BITS = 512, 1024
+#: Pairs that a task remembers to have given; beyond that it forgets them, and some come again.
+REMEMBERED = 200_000
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[0x41:0x5B] += 0x20
 BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -275,12 +277,23 @@ def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
     roots = classes(links, "roots")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple] = set()  # near copies share many buckets: a task gives a pair once, not once for each
         for rows in whole_runs(batches, "tile"):
             bits = np.frombuffer(b"".join(rows["fold"].to_pylist()), np.uint64).reshape(len(rows), -1)
             root = rows["root"].combine_chunks().dictionary_encode().indices.to_numpy()
             ids = rows["id"].combine_chunks()
             for i, j in near_across(rows["tile"].to_numpy(), rows["side"].to_numpy(), root, rows["size"].to_numpy(), bits, percent):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j))], ["a", "b"])
+                a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
+                pairs = list(zip(a.to_pylist(), b.to_pylist(), strict=True))
+                new = []
+                for p in pairs:
+                    new.append(p not in given and p[::-1] not in given)
+                    if new[-1]:
+                        given.add(p)
+                if any(new):
+                    yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(new))
+                if len(given) > REMEMBERED:
+                    given.clear()
 
     # buckets of three and more that still hold several classes; of two, the pair has been tried
     named = members.where("many > 2").join(roots, members.id == roots.node, "left").select("key", "id", F.coalesce("root", "id").alias("root"))
