@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import grid, split
-from ..scratch import scratch_dir
+from ..scratch import new_path
 from ..sinks import books as out
 from ..sinks import sheets
 from ..sources import files
@@ -20,7 +18,7 @@ EMPTY = {"height": F.lit(None).cast("double"), "widths": F.lit(None).cast("array
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return new_path(spark, name)
 
 
 def _file(path: Column) -> Column:

@@ -1,16 +1,20 @@
-"""Tables that are written once to the folder that driver and executors share."""
+"""Tables that are written once to the folder that driver and executors share, and deleted by their owner."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWNERS: list[list[str]] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only a local session, whose tasks all run in this process, may go without."""
+    """The folder named in spark.checkpoint.dir. Only a local session, whose tasks all run on this machine, may go without."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
@@ -21,9 +25,37 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has. Within :func:`owned` it goes when the owner ends."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OWNERS:
+        _OWNERS[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, every scratch table that was written within it, also after an error. Results are lazy and read these tables: write them within.
+
+    with owned(spark):
+        phases.ordered(phases.extract(tables)).write.parquet(path)
+    """
+    _OWNERS.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNERS.pop():
+            delete(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written and read back: cuts lineage, survives lost executors, and is computed once however often it is used."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

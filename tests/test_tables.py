@@ -127,3 +127,23 @@ def test_chains_merge_like_whole_groups(spark):
     merge = lambda x: sorted(map(str, x.select("k", F.explode(records.merged(F.col("rows"), F.lit(records.COMPONENTS))).alias("r")).collect()))
     assert merge(records.chained(df, "k")) == merge(whole)
     assert records.chained(df.limit(0), "k").count() == 0
+
+
+def test_scratch_tables_go_with_their_owner(spark, tmp_path):
+    import os
+
+    from tablesmith import scratch
+    from tablesmith.operators import phases
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = [["Object / part No.", "Manufacturer / trademark", "Type / model", "Technical data", "Standard", "Mark(s) of conformity"], ["Fuse", "Maker", "F1", "5 A", "EN 1", "CE"]]
+    tables = spark.createDataFrame([("d", "pdfplumber_lines", 1, 1, 1, rows)], "doc_id string, engine string, page int, table_index int, arrival_seq bigint, grid array<array<string>>")
+    with scratch.owned(spark):
+        phases.extract(tables).write.parquet(str(tmp_path / "out"))
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before and spark.read.parquet(str(tmp_path / "out")).count() == 1
+    with pytest.raises(ZeroDivisionError), scratch.owned(spark):
+        scratch.written(tables, "lost")
+        raise ZeroDivisionError
+    assert set(os.listdir(folder)) == before
