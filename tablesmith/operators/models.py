@@ -16,10 +16,15 @@ TEXT_RULES = (
     (r"(?imdU)^\s*Models?\s*:\s*(.+?)\s*$", "Models文本行", 70),
 )
 KEY_RULE, LIST_RULE, TABLE_PRIORITY = "Models键值行", "Models列表表格", 80
+# Words of a list's header; prefixes of a brand and of a role; where a rating begins; characters around a
+# value and around a name; words of parts that are no names.
 LIST_CONTEXT = ("brandname", "rating", "ratedcurrenta")
 BRAND = r"(?iU)\bFor\s+([^,:;\n]+)\s+brand\s*:\s*"
-ROLE = r"(?iU)(?:^|\s)\d+\)\s*(?:Original|Co-license)\s+model\s*:\s*"
+ROLE_NAME = r"\d+\)\s*(?:Original|Co-license)\s+model\s*:\s*"
+ROLE, LEADING_ROLE = rf"(?iU)(?:^|\s){ROLE_NAME}", rf"(?iU)^{ROLE_NAME}"
 RATING = r"(?isU)\s+\d{2,3}(?:\s*[-–]\s*\d{2,3})?\s*V(?:ac)?(?:\s*[~～])?.*$"
+VALUE_EDGES, NAME_EDGES = r"^[ \n,;:。]+|[ \n,;:。]+$", r"^[ .,:;，；。]+|[ .,:;，；。]+$"
+NO_NAME, NAME_LENGTH = r"(?iU)\b(?:rating|refrigerant|clause)\b", 100
 FOUND, NOT_FOUND, FAILED = "成功", "未识别", "失败"
 MATCH = "array<struct<rule:string,priority:int,raw:string>>"
 
@@ -31,7 +36,7 @@ def clean_value(x: Column | str) -> Column:
     bare = F.regexp_replace(text, BRAND, "\n")
     bare = F.aggregate(brands, bare, lambda t, b: F.regexp_replace(t, F.concat(F.lit(r"(?imdU)(^|[,;\n]\s*)\Q"), b, F.lit(r"\E\s+(?=[A-Z0-9])")), F.lit("$1")))
     bare = F.regexp_replace(F.regexp_replace(bare, ROLE, "\n"), RATING, "")
-    return F.regexp_replace(bare, r"^[ \n,;:。]+|[ \n,;:。]+$", "")
+    return F.regexp_replace(bare, VALUE_EDGES, "")
 
 
 def split_models(x: Column | str) -> Column:
@@ -39,10 +44,10 @@ def split_models(x: Column | str) -> Column:
     parts = F.split(col(x), r"(?U)\s*[,;、]\s*|\n+")
 
     def tidy(part: Column) -> Column:
-        part = F.regexp_replace(F.regexp_replace(part, "[ \t　]+", " "), r"^[ .,:;，；。]+|[ .,:;，；。]+$", "")
-        return strip(F.regexp_replace(F.regexp_replace(part, r"(?U)\s*-\s*", "-"), r"(?iU)^\d+\)\s*(?:Original|Co-license)\s+model\s*:\s*", ""))
+        part = F.regexp_replace(F.regexp_replace(part, "[ \t　]+", " "), NAME_EDGES, "")
+        return strip(F.regexp_replace(F.regexp_replace(part, r"(?U)\s*-\s*", "-"), LEADING_ROLE, ""))
 
-    fits = lambda m: m.rlike(r"(?U)\d") & (F.length(m) <= 100) & ~m.rlike(r"(?iU)\b(?:rating|refrigerant|clause)\b")
+    fits = lambda m: m.rlike(r"(?U)\d") & (F.length(m) <= NAME_LENGTH) & ~m.rlike(NO_NAME)
     return F.array_distinct(F.filter(F.transform(parts, tidy), fits))
 
 

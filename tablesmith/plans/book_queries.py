@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..operators import grid, split
+from ..operators import grid, payload, split
 from ..scratch import new_path
 from ..sinks import books as out
 from ..sinks import sheets
@@ -182,6 +182,17 @@ def outputs_reported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(lines, "output").select("output", "action", F.col("there").alias("rows"))
 
 
+@query("SELECT p_partkey || '.png' AS file, p_name AS content, CAST(octet_length(encode(p_name)) AS BIGINT) AS length FROM part WHERE p_size % 2 = 0")
+def images_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of response bodies written as files by one write and read again; bodies without one write none."""
+    good = F.concat(F.lit('{"data":[{"b64_json":"'), F.base64(F.col("p_name").cast("binary")), F.lit('"}]}'))
+    bodies = table(spark, sf_dir, "part").select(F.concat(F.lit("img/"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("output"), payload.image_bytes(F.when(F.col("p_size") % 2 == 0, good).otherwise("{}")).alias("content"))
+    to = folder(spark, "images")
+    out.save_bytes(bodies.where("content is not null"), to)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(to)
+    return found.select(_file(F.col("path")).alias("file"), F.col("content").cast("string").alias("content"), "length")
+
+
 @query("SELECT p_brand || '.xlsx' AS file, dense_rank() OVER (ORDER BY p_brand || '.xlsx') AS place FROM part GROUP BY p_brand")
 def files_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workbooks of a folder in the order of their paths."""

@@ -428,6 +428,36 @@ def template_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_template(tables).select("doc_id", "product_model", *TARGET_FIELDS)
 
 
+@query(f"SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CASE WHEN l_orderkey % 2 = 0 THEN -1 ELSE 0 END AS phase, {NAME} AS object_part_no, {MAKER} AS manufacturer_trademark, {TYPE} AS type_model, {SIZE} || ' mm²' AS technical_data, CASE WHEN l_orderkey % 2 = 0 THEN 'EN 1' ELSE '' END AS standard, CASE WHEN l_orderkey % 2 = 0 THEN 'CE' ELSE '' END AS marks_of_conformity FROM {PLACED}")
+def template_requested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template asked for by its short name holds where a document is of no known family; documents of another family are read as that."""
+
+    def row(x: Column, i: Column) -> list[Column]:
+        return [*_said(x), F.lit("EN 1"), F.lit("CE")]
+
+    tables = placed_tables(spark, sf_dir, [], row)
+    head = F.when(F.col("arrival_seq") % 2 == 0, F.array(F.array(*map(F.lit, HEADER)))).otherwise(F.array(F.array(*map(F.lit, FOUR_HEADER))))
+    cut = F.when(F.col("arrival_seq") % 2 == 0, F.col("grid")).otherwise(F.transform("grid", lambda r: F.slice(r, 1, 4)))
+    found = written(headers.describe(grid.select(tables.withColumn("grid", F.concat(head, cut)), Config(min_score=-100.0))), "candidates")
+    rows = phases.first_phase(records.exploded(templates.template_records(found, " Taiwan_ETC ")))
+    return rows.select("doc_id", "phase", *TARGET_FIELDS)
+
+
+@query(f"SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(place - 1 AS INTEGER) AS row_index, {NAME} AS object_part_no, {MAKER} AS manufacturer_trademark, {TYPE} AS type_model, {SIZE} || ' mm²: x' AS technical_data, 'EN 1' AS standard, 'CE' AS marks_of_conformity FROM {PLACED} WHERE place % 3 > 0")
+def window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of eight columns without a header: the best six neighbouring cells of each row are a record where they are valid; every third row has no more than three filled."""
+
+    def row(x: Column, i: Column) -> list[Column]:
+        name, maker, kind, size = _said(x)
+        whole = lambda c: F.when(i % 3 > 0, c).otherwise("")
+        return [F.lit("x"), name, whole(maker), whole(kind), whole(F.concat(size, F.lit(": x"))), whole(F.lit("EN 1")), whole(F.lit("CE")), F.lit("y")]
+
+    found = grid.select(placed_tables(spark, sf_dir, [], row), Config(min_score=-100.0))
+    rows = found.select("doc_id", F.explode(records.window_records(F.col("grid"))).alias("r"))
+    r = F.col("r")
+    return rows.select("doc_id", r["row"].alias("row_index"), *(F.get(r["f"], F.lit(k)).alias(n) for k, n in enumerate(TARGET_FIELDS)))
+
+
 def placed_pages(spark: SparkSession, sf_dir: str, each: int, pages: Callable[[Column, Column], Column]) -> DataFrame:
     """An order's items as a document of several pages, ``each`` to a page: ``pages(page, items)`` is a page's grid."""
     item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_quantity", "l_linestatus")
@@ -647,6 +677,31 @@ def model_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file_name", "page", "model", F.when(F.col("rule") == "Model/Type reference", 90).otherwise(70).alias("priority"))
 
 
+#: Each file has what one rule takes, and the text line besides, which counts where there is nothing better.
+_RULES = ("本次申请型号", "Identification / Type no.", "Models键值行", "Models列表表格", "Models文本行")
+
+
+@query(
+    "SELECT CAST(p_partkey AS VARCHAR) AS file_name, CAST(CASE p_partkey % 5 WHEN 4 THEN 2 ELSE 1 END AS INTEGER) AS page, unnest(CASE p_partkey % 5 WHEN 0 THEN ['AA-' || p_partkey, 'AB-' || p_size] WHEN 1 THEN ['BA-' || p_partkey] WHEN 2 THEN ['CA-' || p_partkey, 'CB-' || p_size] WHEN 3 THEN ['DA-' || p_partkey, 'DB-' || p_size] ELSE ['EA-' || p_partkey] END) AS model, "
+    f"CASE p_partkey % 5 WHEN 0 THEN '{_RULES[0]}' WHEN 1 THEN '{_RULES[1]}' WHEN 2 THEN '{_RULES[2]}' WHEN 3 THEN '{_RULES[3]}' ELSE '{_RULES[4]}' END AS rule, "
+    "CASE p_partkey % 5 WHEN 0 THEN 'AA-' || p_partkey || '、AB-' || p_size WHEN 1 THEN 'BA-' || p_partkey WHEN 2 THEN 'CA-' || p_partkey || ', CB-' || p_size WHEN 3 THEN 'DA-' || p_partkey || chr(10) || 'DB-' || p_size ELSE 'EA-' || p_partkey END AS raw_value FROM part"
+)
+def model_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that model_extract leaves out, one a file: application and type number in the text, key cell and list in a table; page, rule and cleaned value are compared."""
+    part = table(spark, sf_dir, "part").withColumn("doc_id", F.col("p_partkey").cast("string"))
+    key, size = F.col("doc_id"), F.col("p_size").cast("string")
+    low = F.concat(F.lit("x\nModels: EA-"), key)
+    text_ = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("本次申请型号： AA-"), key, F.lit("、AB-"), size, F.lit("。\n差异说明 ZZ-1\n"), low)).when(F.col("p_partkey") % 5 == 1, F.concat(F.lit("Identification / Type no. : For Acme brand: BA-"), key, F.lit(" 220 V~ 50 Hz\nOrder content ZZ-2\n"), low)).otherwise(F.lit("nothing"))
+    pages = part.select("doc_id", F.col("doc_id").alias("file_name"), F.lit("").alias("path"), F.lit(1).alias("page"), text_.alias("text"))
+    pages = pages.union(part.select("doc_id", "doc_id", F.lit(""), F.lit(2), low)).union(part.select("doc_id", "doc_id", F.lit(""), F.lit(6), F.lit("本次申请型号：XX-9")))
+    row = lambda *cells: F.array(*(F.lit(c) if isinstance(c, str) else c for c in cells))
+    keyed = F.array(row("Name", "n", ""), row("Models:", F.concat(F.lit("CA-"), key), F.concat(F.lit("CB-"), size)))
+    listed = F.array(row("Model", "Brand name"), row(F.concat(F.lit("DA-"), key), "b"), row(F.concat(F.lit("DB-"), size), "b"), row("", "b"), row("DC-1", "b"))
+    grid_ = F.when(F.col("p_partkey") % 5 == 2, keyed).when(F.col("p_partkey") % 5 == 3, listed)
+    tables = part.select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("table_index"), grid_.alias("grid")).where("grid is not null")
+    return models.models(pages, tables).select("file_name", "page", "model", "rule", "raw_value")
+
+
 @query("SELECT p_partkey, 'QX-' || p_size || 'A; QX-' || p_partkey || 'B' AS models FROM part")
 def model_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit("For ACME brand: ACME QX-"), F.col("p_size").cast("string"), F.lit("A, QX-\n"), F.col("p_partkey").cast("string"), F.lit("B; rating 5，"), F.col("p_name"), F.lit(" 220-240 V~ QX-9"))
