@@ -14,8 +14,6 @@ from ..sources import files
 from ..sources.books import FORMAT_FIELDS, read_lines
 from .queries import SCORED, order_tables, query, table
 
-EMPTY = {"height": F.lit(None).cast("double"), "widths": F.lit(None).cast("array<double>"), "formats": F.lit(None)}
-
 
 def folder(spark: SparkSession, name: str) -> str:
     return new_path(spark, name)

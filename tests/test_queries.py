@@ -32,3 +32,14 @@ def test_against_duckdb(spark, duck, name):
     mine, theirs = queries.QUERIES[name](spark, SF).toPandas(), duck.execute(queries.ORACLE[name]).df()
     assert sorted(mine.columns) == sorted(theirs.columns)
     assert [tuple(c.removesuffix(".0") for c in r) for r in plain(mine.fillna("null"))] == [tuple(c.removesuffix(".0") for c in r) for r in plain(theirs.astype(object).where(theirs.notna(), "null"))]
+
+
+def test_the_entry_imports_before_there_is_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    found = subprocess.run([sys.executable, "-c", said], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+    assert found.returncode == 0, found.stderr[-500:]
+    assert int(found.stdout.split()[-1]) >= len(queries.QUERIES)
