@@ -38,8 +38,8 @@ BITS = 24  # of a chunk
 PARTS = 4
 #: Rows of a bucket in a block, and bits of the sketches that blocks are compared by.
 TILE, TILE_BITS = 512, 1024
-#: Pairs that a task remembers to have given; beyond that it forgets them, and some come again.
-REMEMBERED = 200_000
+#: Least open keys of a row that travel with it: a close pair is given in the least key that both have, as far as these tell.
+LOW_KEYS = 16
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[0x41:0x5B] += 0x20
 BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -166,6 +166,24 @@ def near_across(tile: np.ndarray, side: np.ndarray, root: np.ndarray, size: np.n
         a = b
 
 
+def least_common(a: pa.ListArray, b: pa.ListArray, key: np.ndarray) -> np.ndarray:
+    """Whether ``key`` is the least key of both rows, or may be: lists hold a row's LOW_KEYS least keys in order.
+
+    A key in both lists is the least common one if it is the least such: all smaller keys of both rows are in the lists.
+    Without one the least common key is not known, and the pair is given in each bucket that it shares.
+    """
+    beyond = np.iinfo(np.int64).max
+    wide = []
+    for some in (a, b):
+        out = np.full((len(some), LOW_KEYS), beyond, np.int64)
+        count = some.value_lengths().to_numpy()
+        out[np.repeat(np.arange(len(some)), count), np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)] = some.flatten().to_numpy()
+        wide.append(out)
+    both = (wide[0][:, :, None] == wide[1][:, None, :]).any(axis=2) & (wide[0] != beyond)
+    least = np.where(both, wide[0], beyond).min(axis=1)
+    return (least == beyond) | (least == key)
+
+
 def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> DataFrame:
     """(id, n_shingles, component_id) for every row: documents link when 100 * intersection >= percent * union of their sets of word n-grams.
 
@@ -277,28 +295,22 @@ def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
     roots = classes(links, "roots")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: set[tuple] = set()  # near copies share many buckets: a task gives a pair once, not once for each
         for rows in whole_runs(batches, "tile"):
             bits = np.frombuffer(b"".join(rows["fold"].to_pylist()), np.uint64).reshape(len(rows), -1)
             root = rows["root"].combine_chunks().dictionary_encode().indices.to_numpy()
-            ids = rows["id"].combine_chunks()
+            ids, key, low = rows["id"].combine_chunks(), rows["key"].to_numpy(), rows["low"].combine_chunks()
             for i, j in near_across(rows["tile"].to_numpy(), rows["side"].to_numpy(), root, rows["size"].to_numpy(), bits, percent):
-                a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
-                pairs = list(zip(a.to_pylist(), b.to_pylist(), strict=True))
-                new = []
-                for p in pairs:
-                    new.append(p not in given and p[::-1] not in given)
-                    if new[-1]:
-                        given.add(p)
-                if any(new):
-                    yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(new))
-                if len(given) > REMEMBERED:
-                    given.clear()
+                first = least_common(low.take(pa.array(i)), low.take(pa.array(j)), key[i])
+                if first.any():
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[first])), ids.take(pa.array(j[first]))], ["a", "b"])
 
     # buckets of three and more that still hold several classes; of two, the pair has been tried
     named = members.where("many > 2").join(roots, members.id == roots.node, "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed_ = named.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
-    tiles = tiled(durable(named.join(mixed_, "key"), "open"), TILE).join(sets.select("id", "size", "fold"), "id")
+    open_ = durable(named.join(mixed_, "key"), "open")
+    place = F.row_number().over(W.partitionBy("id").orderBy("key"))
+    low = open_.select("id", "key", place.alias("place")).where(F.col("place") <= LOW_KEYS).groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("low"))
+    tiles = tiled(open_, TILE).join(sets.select("id", "size", "fold").join(low, "id"), "id")
     more = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, f"a {kind}, b {kind}")
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.union(durable(linked(durable(more, "more")), "links"))
@@ -317,7 +329,7 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def tiled(open_: DataFrame, tile: int) -> DataFrame:
-    """(id, root, tile, side): the buckets' rows dealt into blocks of about ``tile``, and blocks into tiles, so that all pairs across classes meet.
+    """(id, root, key, tile, side): the buckets' rows dealt into blocks of about ``tile``, and blocks into tiles, so that all pairs across classes meet.
 
     The largest class of a bucket is not compared with itself: its rows meet the others' blocks only, so a bucket of one
     large class and a few other documents takes rows in proportion.
@@ -332,4 +344,4 @@ def tiled(open_: DataFrame, tile: int) -> DataFrame:
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     other = rows.where("root <> main").withColumn("other", upto("others"))
     other = other.select("id", "root", "key", F.lit(1).alias("kind"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
-    return main.union(beside).union(other).select("id", "root", F.xxhash64("key", "kind", "i", "j").alias("tile"), "side")
+    return main.union(beside).union(other).select("id", "root", "key", F.xxhash64("key", "kind", "i", "j").alias("tile"), "side")

@@ -271,3 +271,22 @@ def test_labels_that_copy_one_url_teach_once(spark):
     rules = [("good.net/", "allow"), ("bad.net/", "block")]
     model = urls.fit(spark.createDataFrame(hot + rest, "url string").withColumn("action", urls.rule_for(urls.host_of(F.col("url")), urls.path_of(F.col("url")), rules)[1]))
     assert abs(model.prior - 0.5) < 0.05
+
+
+def test_a_close_pair_is_given_in_its_least_common_key():
+    import pyarrow as pa
+
+    rnd = random.Random(7)
+    once = 0
+    for many in (3, 10, 16, 17, 60):
+        for _ in range(60):
+            a, b = (sorted(rnd.sample(range(-80, 80), many)) for _ in range(2))
+            common = sorted(set(a) & set(b))
+            if not common:
+                continue
+            lists = [pa.array([x[: simjoin.LOW_KEYS]] * len(common), pa.list_(pa.int64())) for x in (a, b)]
+            given = simjoin.least_common(*lists, np.array(common)).tolist()
+            known = common[0] in a[: simjoin.LOW_KEYS] and common[0] in b[: simjoin.LOW_KEYS]
+            assert given == ([True] + [False] * (len(common) - 1) if known else given) and any(given)
+            once += sum(given) == 1
+    assert once > 100
