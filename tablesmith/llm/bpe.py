@@ -188,6 +188,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     Each match of the public pattern is encoded separately; no special tokens are put in. The added tokens of a .json are
     cut out first, one id each, as that library does; ranks in tiktoken's format have none. Null and empty texts have no ids
     (ids is empty, never null); repeated rows come out as often as they come in; other columns are not looked at.
+    An empty table gives an empty one; a very long text is encoded whole, alone in its step.
     """
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids binary, n_tokens bigint" + ", decoded binary" * decode
 

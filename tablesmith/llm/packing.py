@@ -28,7 +28,7 @@ UNIT = 4
 
 
 def pieces(df: DataFrame, path: str, length: int = LENGTH, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens): every document's ids with ``end_id`` behind them, cut at the multiples of ``length`` and, where more than its half is left, half a ``length`` further. Null texts are empty and have the end id alone."""
+    """(id, start, length, ids_crc32, doc_tokens): every document's ids with ``end_id`` behind them, cut at the multiples of ``length`` and, where more than its half is left, half a ``length`` further. Null texts are empty and have the end id alone; repeated rows are cut each, an empty table gives no piece, a very long text is tokenized whole, alone in its step."""
 
     half = max(1, length // 2)
 

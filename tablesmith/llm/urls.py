@@ -213,7 +213,7 @@ def judge(df: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", sam
     """Adds host, path, rule, score (chance of blocking by the trees) and verdict to every row.
 
     The URLs that a rule decides are the labelled ones that the trees learn from. Null and empty URLs have empty host and
-    path and get the trees' verdict; repeated rows stay; without a labelled URL all else is allowed. Columns of these
+    path and get the trees' verdict; repeated rows stay; an empty table gives an empty one; a very long url is read whole; without a labelled URL all else is allowed. Columns of these
     names are replaced. Scoring is one projection: no shuffle, no join.
     """
     url = F.col(f"`{url_col}`")
