@@ -42,13 +42,13 @@ def test_model_list_stops_at_the_blank(spark):
     assert [m["raw"] for m in table.select(models.table_matches(F.col("g")).alias("m")).first()["m"]] == ["AB-1\nAB-2"]
 
 
-CARD = '<article class="Box-row"><h2><a href="/own/card">own / card</a></h2><p class="color-fg-muted">Reads tables with AI.{}</p><span itemprop="programmingLanguage">Python</span><a href="/own/card/stargazers">2,004,001</a><a href="/own/card/forks">57</a><span class="float-sm-right">9 stars today</span></article>'
+CARD = '<article class="Box-row"><h2><a href="/own/card">own / card</a></h2><p class="color-fg-muted">Reads tables with AI.{}</p><span itemprop="programmingLanguage">Python</span><a href="/own/card/stargazers">2,004,001</a><a href="/own/card/forks">5,700</a><span class="float-sm-right">9 stars today</span></article>'
 
 
 def test_card(spark):
     pages = spark.createDataFrame([(CARD.format(""),), (CARD.format("<br>"),), (None,)], "html string")
     rows = cards.assessed(cards.cards(pages)).collect()
-    assert [(r["name"], r["language"], r["stars"], r["forks"], r["stars_today"]) for r in rows] == [("own/card", "Python", 2004001, 57, 9)] * 2
+    assert [(r["name"], r["language"], r["stars"], r["forks"], r["stars_today"]) for r in rows] == [("own/card", "Python", 2004001, 5700, 9)] * 2
     assert rows[0]["scenario"] == cards.AI and rows[0]["usability"] == cards.TIERS[0][2] and rows[0]["learnable"]
     assert cards.cards(pages, strict=True).count() == 1
 
