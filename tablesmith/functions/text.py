@@ -16,6 +16,14 @@ MARKS = r"(?iU)\b(UL|VDE|TUV|CSA|CQC|CE|ENEC|E\d{2,})\b"
 UNITS_ANY = r"(?iU)\b(mm|cm|dm|m|km|in|ft|yd)\s*(?:\^|\*\*)?\s*{}\b"
 UNITS_AREA = r"(?U)(?<![A-Za-z])(mm|cm|dm|m|km)\s*(?:\^|\*\*)?\s*2\b"
 EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: What a cell has that normalize_cell may change: most cells have none of it and pass by one search, which looks closer only at blanks, line ends and what is not ASCII. The second one lets inner line ends pass.
+UNEVEN, UNEVEN_LINES = r"(?![!-~])(?:[^ -~]|^ | (?: |\z))", r"(?![!-~])(?:[^ -~\n]|^[ \n]|\n(?: |\z)| (?:[ \n]|\z))"
+#: The same for cells joined by ``|``.
+UNEVEN_CELLS, UNEVEN_LINES_CELLS = r"(?![!-{])(?:[^ -~]|^ | (?:[ |]|\z)|\| )", r"(?![!-{])(?:[^ -~\n]|^[ \n]|[ \n]\z| [ \n|]|\n[ |]|\|[ \n])"
+#: Characters that stand alone under NFKC: ASCII, ideographs, Hangul syllables, and full-width forms with what they stand for.
+WIDE = "\u3000" + "".join(map(chr, range(0xFF01, 0xFF5F)))
+NARROW = " " + "".join(map(chr, range(0x21, 0x7F)))
+UNSTABLE = r"[^\x00-\x7F㐀-鿿가-힣\x{3000}\x{FF01}-\x{FF5E}]"
 
 
 def col(x: Column | str) -> Column:
@@ -51,13 +59,19 @@ def casefold(x: Column | str) -> Column:
 
 def normalize_cell(x: Column | str, flatten: bool = False, superscript: bool = False) -> Column:
     """Null is empty; symbol glyphs mapped; line ends unified; blanks collapsed and stripped in each line. ``flatten`` joins non-empty lines by a blank, else inner empty lines stay."""
-    text = F.regexp_replace(F.translate(F.coalesce(col(x), F.lit("")), *SYMBOLS), "\r\n?", "\n")
+    given = F.coalesce(col(x), F.lit(""))
+    text = F.regexp_replace(F.translate(given, *SYMBOLS), "\r\n?", "\n")
     lines = F.transform(F.split(text, "\n", -1), lambda line: strip(F.regexp_replace(line, "[ \t]{2,}", " ")))
     out = F.array_join(F.filter(lines, lambda line: line != ""), " ") if flatten else F.array_join(lines, "\n")
-    out = strip(out)
+    out = F.when(given.rlike(UNEVEN if flatten else UNEVEN_LINES), strip(out)).otherwise(given)
     return superscript_units(out) if superscript else out
 
 
+def even_cells(cells: Column, flatten: bool = False) -> Column:
+    """Whether normalize_cell leaves every one of the cells as it is, told by one search over all of them."""
+    return ~F.exists(cells, F.isnull) & ~F.array_join(cells, "|").rlike(UNEVEN_CELLS if flatten else UNEVEN_LINES_CELLS)
+
+
 def match_key(x: Column | str) -> Column:
     """Lower case, ASCII letters and digits only."""
     return F.regexp_replace(F.lower(col(x)), "[^a-z0-9]+", "")
@@ -130,7 +144,9 @@ def _normalized_grid(grids: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def compact_grid(grid: Column | str) -> Column:
-    """Every cell in NFKC, lower case, with only digits, a-z, CJK and Hangul left. ASCII is its own normal form: only tables with other characters leave the JVM."""
-    plain = F.forall(col(grid), lambda row: F.forall(row, lambda c: ~c.rlike("[^\\x00-\\x7F]")))
-    native = F.transform(col(grid), lambda row: F.transform(row, lambda c: F.regexp_replace(F.lower(c), "[^0-9a-z]+", "")))
+    """Every cell in NFKC, lower case, with only digits, a-z, CJK and Hangul left. Cells of ASCII, ideographs, Hangul syllables and full-width forms need no normalization beyond a table: only tables with other characters leave the JVM."""
+    ascii = lambda c: F.length(c) == F.octet_length(c)
+    plain = F.forall(col(grid), lambda row: ascii(F.array_join(row, "")) | ~F.array_join(row, "").rlike(UNSTABLE))
+    compact = lambda c: F.when(ascii(c), F.regexp_replace(F.lower(c), "[^0-9a-z]+", "")).otherwise(F.regexp_replace(F.lower(F.translate(c, WIDE, NARROW)), "[^0-9a-z㐀-鿿가-힣]+", ""))
+    native = F.transform(col(grid), lambda row: F.transform(row, lambda c: compact(F.coalesce(c, F.lit("")))))
     return F.when(plain, native).otherwise(_normalized_grid(F.when(~plain, col(grid))))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.text import normalize_cell, once
+from ..functions.text import even_cells, normalize_cell, once
 
 #: What counts as a letter or digit, superscripts and circled digits among them.
 TEXTUAL = r"[\p{L}\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐]"
@@ -29,12 +29,18 @@ def grids(cells: DataFrame) -> DataFrame:
 def clean(df: DataFrame, config: Config = Config(), grid: str = "grid") -> DataFrame:
     """Normalizes every cell, pads ragged rows, drops empty rows, then empty columns; adds n_rows and n_cols."""
     wide = F.array_max(F.transform(grid, F.size))
-    cells = F.transform(grid, lambda row: F.transform(F.sequence(F.lit(1), F.col("__wide")), lambda c: normalize_cell(F.get(row, c - 1), config.flatten_newlines, config.fix_superscript)))
+    even = lambda row: F.when(F.size(row) == F.col("__wide"), row).otherwise(F.transform(F.sequence(F.lit(1), F.col("__wide")), lambda c: F.get(row, c - 1)))
+    cells = F.transform(grid, lambda row: F.transform(even(row), lambda c: normalize_cell(c, config.flatten_newlines, config.fix_superscript)))
     out = df.withColumn("__wide", F.coalesce(wide, F.lit(0)))
+    if not config.fix_superscript:
+        # most tables are rectangles of cells that need nothing: they pass as they are
+        square = F.forall(grid, lambda row: F.size(row) == F.col("__wide"))
+        cells = F.when(square & even_cells(F.flatten(grid), config.flatten_newlines), F.col(grid)).otherwise(cells)
     out = out.withColumn(grid, once(F.when(F.col("__wide") > 0, F.filter(cells, lambda row: F.exists(row, lambda c: c != ""))).otherwise(F.array().cast("array<array<string>>"))))
     kept = F.filter(F.sequence(F.lit(0), F.greatest(F.col("__wide") - 1, F.lit(0))), lambda c: F.exists(grid, lambda row: F.get(row, c) != ""))
     out = out.withColumn("__kept", once(kept))
-    out = out.withColumn(grid, once(F.transform(grid, lambda row: F.transform("__kept", lambda c: F.get(row, c)))))
+    narrower = F.transform(grid, lambda row: F.transform("__kept", lambda c: F.get(row, c)))
+    out = out.withColumn(grid, once(F.when(F.size("__kept") == F.col("__wide"), F.col(grid)).otherwise(narrower)))
     return out.withColumns({"n_rows": F.size(grid), "n_cols": F.when(F.size(grid) > 0, F.size("__kept")).otherwise(0)}).drop("__wide", "__kept")
 
 
@@ -87,8 +93,9 @@ def select(tables: DataFrame, config: Config = Config()) -> DataFrame:
     """Tables (with arrival_seq) cleaned, scored, deduplicated, numbered by seq in the order of their document, and held to the least score.
 
     The numbering comes before the filter: a filter right on the score would be pushed below its computation and repeat it.
+    Tables are shuffled once, by their document: both the choice of the best of each shape and the numbering stay within it.
     """
-    found = score(clean(tables, config))
+    found = score(clean(tables, config)).repartition("doc_id")
     found = deduplicate(found) if config.dedup else found
     found = found.withColumn("seq", F.row_number().over(W.partitionBy("doc_id").orderBy(*in_order())))
     return found.where((F.col("score") >= config.min_score) & (F.col("n_rows") > 0) & (F.col("n_cols") > 0))

@@ -68,6 +68,11 @@ def taken(mapping: Column) -> Column:
     return F.size(F.filter(mapping, lambda c: c >= 0))
 
 
+def said(norms: Column, *hints: str) -> Column:
+    """Whether any of a row's cells has one of the hints: what a header of so many fields must say, so that other rows are not searched cell by cell."""
+    return F.array_join(norms, "|").rlike("|".join(hints))
+
+
 def tries(norms: Column, rows: int) -> Column:
     """array<struct<order, start_row, norms>>: each of the first rows alone, then joined with the next one cell by cell; start_row is where data would begin."""
     n = F.least(F.size(norms), F.lit(rows))
@@ -80,14 +85,18 @@ def tries(norms: Column, rows: int) -> Column:
 
 def loose_header(norms: Column) -> Column:
     """The row, of the first six, with most fields; at least four. The first of equals."""
-    rows = F.transform(F.slice(norms, 1, LOOSE_ROWS), lambda r, i: F.struct(greedy(r, LOOSE).alias("mapping"), i.alias("at")))
+    # four fields of six: one of the last three is there
+    some = F.filter(F.transform(F.slice(norms, 1, LOOSE_ROWS), lambda r, i: F.struct(r.alias("norms"), i.alias("at"))), lambda r: said(r["norms"], "technical", "standard", "mark", "conformity"))
+    rows = F.transform(some, lambda r: F.struct(greedy(r["norms"], LOOSE).alias("mapping"), r["at"].alias("at")))
     best = F.array_max(F.transform(rows, lambda r: F.struct(taken(r["mapping"]).alias("n"), (-r["at"]).alias("back"), r["mapping"].alias("mapping"))))
     return let(best, lambda b: F.when(b["n"] >= LEAST_LOOSE, F.struct((1 - b["back"]).cast("int").alias("start_row"), b["mapping"].alias("mapping"))))
 
 
 def strict_header(norms: Column) -> Column:
     """As the loose one with stricter hints, over rows alone and joined with the next; five fields at least, the object among them."""
-    rows = F.transform(tries(norms, STRICT_ROWS), lambda t: F.struct(greedy(t["norms"], STRICT).alias("mapping"), t["order"].alias("order"), t["start_row"].alias("start_row")))
+    # five fields of six: the technical data or the standard is there
+    some = F.filter(tries(norms, STRICT_ROWS), lambda t: said(t["norms"], "technical", "standard"))
+    rows = F.transform(some, lambda t: F.struct(greedy(t["norms"], STRICT).alias("mapping"), t["order"].alias("order"), t["start_row"].alias("start_row")))
     best = F.array_max(F.transform(rows, lambda r: F.struct(taken(r["mapping"]).alias("n"), (-r["order"]).alias("back"), r["start_row"].alias("start_row"), r["mapping"].alias("mapping"))))
     return let(best, lambda b: F.when((b["n"] >= LEAST_STRICT) & (b["mapping"][0] >= 0), F.struct(b["start_row"].cast("int").alias("start_row"), b["mapping"].alias("mapping"))))
 
@@ -116,14 +125,16 @@ def ordered_header(norms: Column) -> Column:
         cells = F.transform(row, lambda n, i: F.struct(n.alias("norm"), i.alias("at")))
         return F.aggregate(cells, F.array().cast("array<int>"), step)
 
-    rows = F.transform(tries(norms, ORDERED_ROWS), lambda t: F.struct(t["start_row"].cast("int").alias("start_row"), mapped(t["norms"]).alias("mapping")))
+    some = F.filter(tries(norms, ORDERED_ROWS), lambda t: said(t["norms"], "standard") & said(t["norms"], "conform"))
+    rows = F.transform(some, lambda t: F.struct(t["start_row"].cast("int").alias("start_row"), mapped(t["norms"]).alias("mapping")))
     whole = F.filter(rows, lambda r: (F.size(r["mapping"]) == 6) & (F.get(r["mapping"], F.lit(5)) - F.get(r["mapping"], F.lit(0)) <= WIDEST))
     return F.get(whole, F.lit(0))
 
 
 def hinted_header(compacts: Column, hints: Sequence[Sequence[str]]) -> Column:
     """The first of the first six rows, alone or joined with the next, in which every hinted field has a column."""
-    rows = F.transform(tries(compacts, LOOSE_ROWS), lambda t: F.struct(t["start_row"].cast("int").alias("start_row"), greedy(t["norms"], hints).alias("mapping")))
+    every = lambda t: all_of(F.array_join(t["norms"], "|"), [h[0] for h in hints if len(h) == 1])
+    rows = F.transform(F.filter(tries(compacts, LOOSE_ROWS), every), lambda t: F.struct(t["start_row"].cast("int").alias("start_row"), greedy(t["norms"], hints).alias("mapping")))
     return F.get(F.filter(rows, lambda r: taken(r["mapping"]) == len(hints)), F.lit(0))
 
 
@@ -168,10 +179,14 @@ def six_window(row: Column) -> Column:
     return let(best, lambda b: F.when((F.size(row) >= 6) & (b["points"] >= 6), (-b["back"]).cast("int")))
 
 
-def describe(candidates: DataFrame, templates: bool = True) -> DataFrame:
-    """Adds kind, has_marker, loose, ordered and best (ordered, else strict) headers to candidates, and with ``templates`` their compact cells: each is computed once and read by all phases."""
+def describe(candidates: DataFrame, templates: bool = True, searched: bool = True) -> DataFrame:
+    """Adds kind, has_marker, loose, ordered and best (ordered, else strict) headers to candidates, and with ``templates`` their compact cells: each is computed once and read by all phases. Templates alone read compact cells only: without ``searched`` nothing else is computed."""
+    if not searched:
+        return candidates.withColumn("compacts", compact_grid("grid"))
     text = F.array_join(F.flatten("grid"), " ")
     out = candidates.withColumns({"norms": once(F.transform(F.slice("grid", 1, ORDERED_ROWS), lambda r: F.transform(r, match_key))), "__text": once(text)})
-    out = out.withColumns({"__key": once(match_key("__text")), "has_marker": F.col("__text").rlike(r"(?iU)\btable\s*:"), "loose": once(loose_header(F.col("norms"))), "ordered": once(ordered_header(F.col("norms"))), "strict": once(strict_header(F.col("norms")))})
+    out = out.withColumns({"__key": once(match_key("__text")), "has_marker": F.col("__text").rlike(r"(?iU)\btable\s*:"), "loose": once(loose_header(F.col("norms"))), "ordered": once(ordered_header(F.col("norms")))})
+    # the strict search counts only where the ordered one finds nothing
+    out = out.withColumn("strict", once(F.when(F.col("ordered").isNull(), strict_header(F.col("norms")))))
     out = out.withColumns({"kind": kind_of(F.col("__key")), "best": F.coalesce("ordered", "strict")}).drop("__text", "__key", "norms", "strict")
     return out.withColumn("compacts", compact_grid("grid")) if templates else out

@@ -41,16 +41,14 @@ def family_of(text: Column) -> Column:
     )
 
 
-def with_family(candidates: DataFrame) -> DataFrame:
-    """Adds header and family: the product family if the document's headers together say so, else that of the first table that names one."""
-    doc = W.partitionBy("doc_id")
-    out = candidates.withColumn("header", header_text(F.col("compacts")))
-    out = out.withColumn("__own", family_of(F.col("header")))
+def families(candidates: DataFrame) -> DataFrame:
+    """(doc_id, family): the product family if the document's headers together say so, else that of the first table that names one."""
+    narrow = candidates.select("doc_id", "seq", once(header_text(F.col("compacts"))).alias("header"))
     together = F.lit(True)
     for hint in (PRODUCT_TEXT, "objectpartno", "manufacturertrademark", "marksofconformity"):
-        together = together & (F.max(F.col("header").contains(hint).cast("int")).over(doc) == 1)
-    first = F.min_by("__own", F.when(F.col("__own").isNotNull(), F.col("seq"))).over(doc)
-    return out.withColumn("family", F.when(together, PRODUCT).otherwise(first)).drop("__own")
+        together = together & F.bool_or(F.col("header").contains(hint))
+    own = narrow.withColumn("__own", once(family_of(F.col("header"))))
+    return own.groupBy("doc_id").agg(F.when(together, PRODUCT).otherwise(F.min_by("__own", F.when(F.col("__own").isNotNull(), F.col("seq")))).alias("family"))
 
 
 def rows_under(tables: DataFrame, hints: tuple, header: Column) -> DataFrame:
@@ -167,12 +165,12 @@ def template_records(candidates: DataFrame, template: str = "auto") -> DataFrame
     """Records of the known families, phase -1 for a requested template and 0 for the detected family.
 
     A template is honoured where the document's family is unknown or the same; where it yields nothing the detected
-    family is read. Families are told from header texts alone, which are written; tables are read for those that occur.
+    family is read. Families are told from header texts alone, and written as one row a document; tables are read for those that
+    occur, and met by their document, which is how the families' windows want them.
     """
-    narrow = with_family(candidates.select("doc_id", "seq", "compacts")).select("doc_id", "seq", "header", "family")
-    narrow = written(narrow, "families")
+    narrow = written(families(candidates), "families")
     present = {r[0] for r in narrow.select("family").distinct().collect()}  # six values at most
-    known = candidates.join(narrow, ["doc_id", "seq"])
+    known = candidates.join(narrow, "doc_id").withColumn("header", header_text(F.col("compacts")))
     asked = (template or "auto").strip().lower()
     wanted = ALIASES.get(asked, asked)
     parts = [read(known.where(F.col("family") == name)) for name, read in FAMILIES.items() if name in present]
