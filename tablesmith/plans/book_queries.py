@@ -154,14 +154,15 @@ def book_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'models.xlsx' AS file, CAST(row_number() OVER (ORDER BY p_partkey) + 1 AS INTEGER) AS row_index, CAST(p_partkey AS VARCHAR) AS path, p_name AS model, p_brand AS status, CAST(NULL AS DOUBLE) AS height, '38,72,8,28,28,72,14,14' AS widths FROM part")
 def model_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list of models as one workbook, in the look of that list."""
+    """The list of models as one workbook, in the look of that list; rows beyond what a sheet holds are counted on in its next sheets."""
     part = table(spark, sf_dir, "part")
     rows = part.select(F.lit("f").alias("文件名"), F.col("p_partkey").alias("文件路径"), F.col("p_size").alias("页码"), F.col("p_name").alias("型号"), F.lit("r").alias("匹配规则"), F.lit(None).cast("string").alias("原始内容"), F.col("p_brand").alias("状态"), F.lit("").alias("说明"))
     to = folder(spark, "models")
     out.save_books(sheets.record_books(rows, F.lit("models.xlsx"), [F.col("文件路径")], sheets.MODELS_SHEET, sheets.MODEL_WIDTHS, listing=True), to)
-    read = read_lines(spark, to).where(F.col("sheet") == sheets.MODELS_SHEET)
-    widths = read.where("row_index = 0").select("path", F.array_join(F.transform("widths", lambda w: w.cast("int").cast("string")), ",").alias("w"))
-    return read.where("row_index > 1").join(widths, "path").select(_file(F.col("path")).alias("file"), "row_index", _part_of(1).alias("path"), _part_of(3).alias("model"), _part_of(6).alias("status"), "height", F.col("w").alias("widths"))
+    read = read_lines(spark, to)
+    widths = read.where("row_index = 0").select("path", "sheet_index", F.array_join(F.transform("widths", lambda w: w.cast("int").cast("string")), ",").alias("w"))
+    number = (F.col("row_index") + (F.col("sheet_index") - 1) * (sheets.SHEET_LIMIT - 1)).cast("int")
+    return read.where("row_index > 1").join(widths, ["path", "sheet_index"]).select(_file(F.col("path")).alias("file"), number.alias("row_index"), _part_of(1).alias("path"), _part_of(3).alias("model"), _part_of(6).alias("status"), "height", F.col("w").alias("widths"))
 
 
 @query("SELECT n_regionkey || '.xlsx' AS output, unnest(['planned', 'written', 'skipped']) AS action, count(*) + 1 AS rows FROM nation GROUP BY n_regionkey UNION ALL SELECT '9.xlsx', 'written', 2 FROM region WHERE r_regionkey = 0")

@@ -39,3 +39,45 @@ def test_templates_alone_search_no_headers(spark):
     found = headers.describe(tables, searched=False)
     assert found.columns == ["grid", "compacts"]
     assert found.collect()[0].compacts == [["ci證書號碼", "mm2"], ["x", ""]]
+
+
+def test_models_beyond_a_sheet_are_counted_on(spark, tmp_path, monkeypatch):
+    from tablesmith.plans import book_queries
+    from tablesmith.sinks import sheets
+
+    monkeypatch.setattr(sheets, "SHEET_LIMIT", 8)
+    spark.range(20).selectExpr("id as p_partkey", "concat('n', id) as p_name", "'b' as p_brand", "1 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    got = book_queries.model_book(spark, str(tmp_path)).collect()
+    assert sorted((r.row_index, r.path) for r in got) == [(k + 2, str(k)) for k in range(20)]
+
+
+def test_each_large_workbook_is_read_by_its_own_task(tmp_path):
+    from tablesmith.sources.books import LineReader
+
+    for k in range(3):
+        (tmp_path / f"{k}.xlsx").write_bytes(b"x" * (1 << 20))
+    assert [len(p.files) for p in LineReader({"path": str(tmp_path)}).partitions()] == [1, 1, 1]
+
+
+def test_a_sheet_in_memory_is_a_block(tmp_path):
+    import io
+
+    from tablesmith.sinks.books import packed
+    from tablesmith.sources import books
+
+    lines = [{"sheet_index": 1, "sheet": "s", "row_index": k, "values": ["a"], "kinds": ["s"], "styles": [0]} for k in range(20_001)]
+    content, seen = packed(lines), []
+    real = books.ElementTree.iterparse
+
+    def watched(*args):
+        for event, node in real(*args):
+            if node.tag == books.SHEET_DATA:
+                seen.append(node)
+            yield event, node
+
+    books.ElementTree.iterparse, restore = watched, real
+    try:
+        most = [len(seen[0]) for line in books.lines_of(io.BytesIO(content)) if line.row_index]
+    finally:
+        books.ElementTree.iterparse = restore
+    assert len(most) == 20_000 and max(most) < 5000  # the parser reads blocks of 64 KB
