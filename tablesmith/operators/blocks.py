@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import label, label_value, marks, standards, strip, technical_units
+from ..functions.text import let, marks, normalize_cell, standards, strip, technical_units
 from .records import as_record, valid
 
 # Labels that give each field, in order of preference, and rows to pass over.
@@ -28,20 +28,25 @@ def attributes(rows: Column) -> Column:
         cells, at = row["cells"], row["at"]
         first = F.coalesce(F.get(cells, F.lit(0)), F.lit(""))
         whole = strip(F.array_join(F.filter(cells, lambda c: c != ""), " "))
-        key = label(first)
         rest = strip(F.array_join(F.filter(F.slice(cells, 2, F.greatest(F.size(cells), F.lit(1))), lambda c: c != ""), " "))
-        value = strip(F.concat_ws(" ", label_value(first), rest))
-        passed = (whole == "") | key.contains(PASSED[0]) | key.contains(PASSED[1])
-        labelled = (first.contains(":") | F.endswith(key, F.lit(")"))) & (key != "")
-        pairs = (
-            F.when(passed, s["pairs"])
-            .when(labelled & (value != ""), put(s["pairs"], key, value))
-            .when(labelled, s["pairs"])
-            .when(s["last"] != "", put(s["pairs"], s["last"], whole))
-            .when(at == 1, put(s["pairs"], F.lit("details"), whole))
-            .otherwise(s["pairs"])
-        )
-        return F.struct(pairs.alias("pairs"), F.when(~passed & labelled, key).otherwise(s["last"]).alias("last"))
+        # what stands before and behind the first colon
+        said = let(F.split(normalize_cell(first), ":", 2), lambda p: F.struct(F.lower(strip(p[0])).alias("key"), strip(F.concat_ws(" ", strip(F.coalesce(F.get(p, F.lit(1)), F.lit(""))), rest)).alias("value")))
+
+        def put_in(x: Column) -> Column:
+            key, value, whole = x["said"]["key"], x["said"]["value"], x["whole"]
+            passed = (whole == "") | key.contains(PASSED[0]) | key.contains(PASSED[1])
+            labelled = (first.contains(":") | F.endswith(key, F.lit(")"))) & (key != "")
+            pairs = (
+                F.when(passed, s["pairs"])
+                .when(labelled & (value != ""), put(s["pairs"], key, value))
+                .when(labelled, s["pairs"])
+                .when(s["last"] != "", put(s["pairs"], s["last"], whole))
+                .when(at == 1, put(s["pairs"], F.lit("details"), whole))
+                .otherwise(s["pairs"])
+            )
+            return F.struct(pairs.alias("pairs"), F.when(~passed & labelled, key).otherwise(s["last"]).alias("last"))
+
+        return let(F.struct(said.alias("said"), whole.alias("whole")), put_in)
 
     start = F.struct(F.array().cast(PAIRS).alias("pairs"), F.lit("").alias("last"))
     return F.aggregate(rows, start, step, lambda s: s["pairs"])
@@ -55,22 +60,25 @@ def picked(pairs: Column, keys: tuple[str, ...]) -> Column:
 
 def block_records(grid: Column) -> Column:
     """The valid records of a table's blocks; tables of one column have none."""
-    texts = F.transform(grid, lambda r: strip(F.array_join(F.filter(r, lambda c: c != ""), " | ")))
-    rows = F.transform(F.zip_with(grid, texts, lambda r, t: F.struct(r.alias("cells"), t.alias("text"))), lambda x, i: F.struct(x["cells"].alias("cells"), x["text"].alias("text"), i.alias("row")))
-    starts = F.transform(F.filter(rows, lambda r: r["text"].rlike(r"(?iU)\balternative\b")), lambda r: r["row"])
-    ends = F.transform(starts, lambda s, i: F.struct(s.alias("start"), F.coalesce(F.get(starts, i + 1), F.size(grid)).alias("end")))
 
-    def record(b: Column) -> Column:
+    def record(b: Column, texts: Column) -> Column:
         inside = F.transform(F.slice(grid, b["start"] + 2, F.greatest(b["end"] - b["start"] - 1, F.lit(0))), lambda r, i: F.struct(r.alias("cells"), (i + 1).alias("at")))
         return F.struct(b["start"].alias("start"), F.get(texts, b["start"]).alias("title"), attributes(inside).alias("pairs"))
 
     def shaped(b: Column) -> Column:
         pairs = b["pairs"]
-        bits = [F.when(picked(pairs, (k,)) != "", F.concat(F.lit(f"{k}: "), picked(pairs, (k,)))) for k in TECHNICAL]
+        bit = lambda k: let(picked(pairs, (k,)), lambda v: F.when(v != "", F.concat(F.lit(f"{k}: "), v)))
+        bits = [bit(k) for k in TECHNICAL]
         text = F.array_join(F.concat(F.array(b["title"]), F.transform(pairs, lambda p: F.concat(p["k"], F.lit(": "), p["v"]))), "\n")
-        f = F.array(b["title"], picked(pairs, MAKER), picked(pairs, MODEL), technical_units(strip(F.concat_ws("\n", *bits))), standards(text), marks(text))
-        return as_record(b["start"], F.lit(None), F.lit(None), f)
+        f = lambda text: F.array(b["title"], picked(pairs, MAKER), picked(pairs, MODEL), technical_units(strip(F.concat_ws("\n", *bits))), standards(text), marks(text))
+        return as_record(b["start"], F.lit(None), F.lit(None), let(text, f))
+
+    def blocks(texts: Column) -> Column:
+        starts = F.filter(F.transform(texts, lambda t, i: F.when(t.rlike(r"(?iU)\balternative\b"), i)), lambda i: i.isNotNull())
+        ends = let(starts, lambda all_: F.transform(all_, lambda s, i: F.struct(s.alias("start"), F.coalesce(F.get(all_, i + 1), F.size(grid)).alias("end"))))
+        found = F.filter(F.transform(ends, lambda b: record(b, texts)), lambda b: F.size(b["pairs"]) > 0)
+        return F.filter(F.transform(found, shaped), lambda r: valid(r["f"]))
 
-    found = F.filter(F.transform(ends, record), lambda b: F.size(b["pairs"]) > 0)
-    shaped_ = F.filter(F.transform(found, shaped), lambda r: valid(r["f"]))
-    return F.when(F.size(F.get(grid, F.lit(0))) >= 2, shaped_).otherwise(F.slice(shaped_, 1, 0))
+    texts = F.transform(grid, lambda r: strip(F.array_join(F.filter(r, lambda c: c != ""), " | ")))
+    found = let(texts, blocks)
+    return F.when(F.size(F.get(grid, F.lit(0))) >= 2, found).otherwise(F.slice(found, 1, 0))

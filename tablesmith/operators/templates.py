@@ -139,7 +139,7 @@ def five_family(tables: DataFrame) -> DataFrame:
     rows = rows.withColumn("number", F.sum(F.col("made").cast("int")).over(so_far)).where("made or rest")
     own = lambda n: F.transform(n, lambda cell, k: F.when(F.col("made") & (k == 0), F.coalesce(F.col(f"filled.{n}"), F.lit(""))).otherwise(cell)).alias(n)
     record = F.struct("seq", "row", "page", "table_index", "engine", own("v"), own("c"))
-    chains = rows.groupBy("doc_id", "number").agg(F.array_sort(F.collect_list(record)).alias("rows"))
+    chains = rows.groupBy("doc_id", "number").agg(F.sort_array(F.collect_list(record)).alias("rows"))
 
     def longer(last: Column, r: Column) -> Column:
         def more(p: Column, k: Column) -> Column:
