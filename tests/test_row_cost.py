@@ -122,3 +122,34 @@ def test_a_small_file_is_dealt_to_all_tasks(spark, tmp_path):
     for name in ("alternative_blocks", "header_limits"):
         got = queries.QUERIES[name](spark, str(tmp_path))
         assert got.rdd.getNumPartitions() > 1 and got.count() == 200
+
+
+def test_only_tables_that_need_normalization_pass_by_python(spark):
+    from tablesmith.operators import headers as h
+
+    plain, other = [["ＡＢ 證書", "Part No."], ["x", None]], [["mm²", "ﬁ"], ["é", "K"]]
+    rows = spark.createDataFrame([("a", plain), ("b", other)], "doc_id string, grid array<array<string>>")
+    got = {r.doc_id: r.compacts for r in h.written_candidates(rows, searched=False).collect()}
+    want = {r.doc_id: r.compacts for r in h.describe(rows, searched=False).collect()}
+    assert got == want == {"a": [["ab證書", "partno"], ["x", ""]], "b": [["mm2", "fi"], ["", "k"]]}
+    plan = h.written_candidates(rows.where("doc_id = 'a'"), searched=False)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+
+
+def test_extraction_without_such_tables_starts_no_python_worker(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from tablesmith.operators import phases, templates  # noqa: F401
+    from tablesmith.operators import headers as h
+
+    plans, real = [], h.written
+
+    def watched(df: DataFrame, name: str) -> DataFrame:
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(h, "written", watched)
+    grid = [["Object / part No.", "Manufacturer / trademark", "Type / model", "Technical data", "Standard", "Mark(s) of conformity"], ["Part 1", "S", "A-1", "5 mm2", "EN 60335-1", "CE"]]
+    tables = spark.createDataFrame([("d", "pdfplumber_lines", 1, 1, 1, grid)], "doc_id string, engine string, page int, table_index int, arrival_seq long, grid array<array<string>>")
+    assert phases.extract(tables).count() == 1
+    assert plans and not any("ArrowEvalPython" in p for p in plans)
