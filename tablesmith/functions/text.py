@@ -127,9 +127,10 @@ def join_distinct(*values: Column) -> Column:
 
 def loose_text(x: Column | str) -> Column:
     """Soft hyphens dropped, full-width comma and semicolon made plain, blanks collapsed and stripped in each line."""
-    text = F.translate(F.regexp_replace(F.coalesce(col(x), F.lit("")), "\r\n?", "\n"), "，；­", ",;")
+    given = F.coalesce(col(x), F.lit(""))
+    text = F.translate(F.regexp_replace(given, "\r\n?", "\n"), "，；­", ",;")
     lines = F.transform(F.split(text, "\n", -1), lambda line: strip(F.regexp_replace(line, "[ \t　]+", " ")))
-    return strip(F.array_join(lines, "\n"))
+    return F.when(given.rlike(UNEVEN), strip(F.array_join(lines, "\n"))).otherwise(given)
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import casefold, col, loose_text, strip
+from ..functions.text import casefold, col, let, loose_text, strip
 
 # Fixed values: (pattern, rule, priority) of the text rules.
 TEXT_RULES = (
@@ -64,20 +64,28 @@ def _match(rule: str, priority: int):  # noqa: ANN202
 def table_matches(grid: Column) -> Column:
     """Of one table, row by row: the cells right of a key cell ``models``, and under a model column of a list header the values down to the first blank."""
     rows = F.transform(grid, lambda r: F.transform(r, lambda c: F.replace(loose_text(c), F.lit("\n"), F.lit(" "))))
-    keyed = F.transform(rows, lambda r, i: F.struct(i.alias("at"), r.alias("cells"), F.transform(r, lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")).alias("keys")))
-
-    def of_row(r: Column) -> Column:
-        places = F.filter(F.transform(r["keys"], lambda k, i: F.when(k == "models", i)), lambda i: i.isNotNull())
-        rights = F.transform(places, lambda i: F.array_join(F.filter(F.slice(r["cells"], i + 2, F.greatest(F.size(r["cells"]), F.lit(1))), lambda c: c != ""), ", "))
-        pairs = F.transform(F.filter(rights, lambda v: v != ""), _match(KEY_RULE, TABLE_PRIORITY))
-        column = F.get(F.filter(F.transform(r["keys"], lambda k, i: F.when(k.isin("model", "models"), i)), lambda i: i.isNotNull()), F.lit(0))
-        below = F.transform(F.slice(rows, r["at"] + 2, F.greatest(F.size(rows), F.lit(1))), lambda cells: strip(F.coalesce(F.get(cells, column), F.lit(""))))
-        blank = F.array_position(below, "").cast("int")
-        values = F.when(blank > 0, F.slice(below, F.lit(1), blank - 1)).otherwise(below)
-        listed = column.isNotNull() & F.exists(r["keys"], lambda k: k.isin(*LIST_CONTEXT)) & (F.size(values) > 0)
-        return F.concat(pairs, F.when(listed, F.array(_match(LIST_RULE, TABLE_PRIORITY)(F.array_join(values, "\n")))).otherwise(F.slice(pairs, 1, 0)))
-
-    return F.flatten(F.transform(keyed, of_row)).cast(MATCH)
+
+    def of_rows(rows: Column) -> Column:
+        keyed = F.transform(rows, lambda r, i: F.struct(i.alias("at"), r.alias("cells"), F.transform(r, lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")).alias("keys")))
+
+        def of_row(r: Column) -> Column:
+            places = F.filter(F.transform(r["keys"], lambda k, i: F.when(k == "models", i)), lambda i: i.isNotNull())
+            rights = F.transform(places, lambda i: F.array_join(F.filter(F.slice(r["cells"], i + 2, F.greatest(F.size(r["cells"]), F.lit(1))), lambda c: c != ""), ", "))
+            pairs = F.transform(F.filter(rights, lambda v: v != ""), _match(KEY_RULE, TABLE_PRIORITY))
+            column = F.get(F.filter(F.transform(r["keys"], lambda k, i: F.when(k.isin("model", "models"), i)), lambda i: i.isNotNull()), F.lit(0))
+
+            def under(column: Column) -> Column:
+                below = F.transform(F.slice(rows, r["at"] + 2, F.greatest(F.size(rows), F.lit(1))), lambda cells: strip(F.coalesce(F.get(cells, column), F.lit(""))))
+                return let(below, lambda b: let(F.array_position(b, "").cast("int"), lambda blank: F.when(blank > 0, F.slice(b, F.lit(1), blank - 1)).otherwise(b)))
+
+            # only rows that are headers of a list look at what is below them
+            headed = F.exists(r["keys"], lambda k: k.isin("model", "models")) & F.exists(r["keys"], lambda k: k.isin(*LIST_CONTEXT))
+            listed = lambda values: F.when(F.size(values) > 0, F.array(_match(LIST_RULE, TABLE_PRIORITY)(F.array_join(values, "\n"))))
+            return F.concat(pairs, F.coalesce(F.when(headed, let(let(column, under), listed)), F.slice(pairs, 1, 0)))
+
+        return F.flatten(F.transform(keyed, of_row))
+
+    return let(rows, of_rows).cast(MATCH)
 
 
 def models(pages: DataFrame, tables: DataFrame | None = None, files: DataFrame | None = None, max_pages: int = 5) -> DataFrame:

@@ -153,3 +153,22 @@ def test_extraction_without_such_tables_starts_no_python_worker(spark, monkeypat
     tables = spark.createDataFrame([("d", "pdfplumber_lines", 1, 1, 1, grid)], "doc_id string, engine string, page int, table_index int, arrival_seq long, grid array<array<string>>")
     assert phases.extract(tables).count() == 1
     assert plans and not any("ArrowEvalPython" in p for p in plans)
+
+
+def test_a_models_table_is_read_once(spark):
+    import itertools
+    import re
+
+    from tablesmith.operators import models
+
+    assert said(models.table_matches(F.col("some_grid"))).count("some_grid") == 1
+    table = [["Model", "Brand name"], ["A-1", "b"], ["Models:", "K-1"], ["", "b"], ["A-3", "b"]]
+    rows = spark.createDataFrame([(table,)], "grid array<array<string>>")
+    got = [m.raw for m in rows.select(models.table_matches(F.col("grid")).alias("m")).collect()[0].m]
+    assert got == ["A-1\nModels:", "K-1"]
+
+    cells = ["".join(p) for k in range(4) for p in itertools.product(" \na\t\r，　", repeat=k)]
+    frame = spark.createDataFrame([(c,) for c in cells], "c string")
+    for r in frame.select("c", text.loose_text("c").alias("n")).collect():
+        lines = r.c.replace("\r\n", "\n").replace("\r", "\n").replace("，", ",").split("\n")
+        assert r.n == "\n".join(re.sub("[ \t　]+", " ", line).strip() for line in lines).strip(), repr(r.c)
