@@ -14,6 +14,8 @@ TEXTUAL = r"[\p{L}\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐]"
 # The weights of the score, and that of an empty table.
 WEIGHTS = {"fill": 35, "text": 20, "long": 8, "lines": 7, "stable": 15, "size": 3, "tiny": -20}
 LONG, EMPTY = 25, -1e9
+#: Among cells joined by U+001F, one without a letter or digit.
+BARE = rf"(?:\A|\x1f)[^{TEXTUAL[1:-1]}\x1f]*+(?:\x1f|\z)"
 
 
 def grids(cells: DataFrame) -> DataFrame:
@@ -36,36 +38,42 @@ def clean(df: DataFrame, config: Config = Config(), grid: str = "grid") -> DataF
         # most tables are rectangles of cells that need nothing: they pass as they are
         square = F.forall(grid, lambda row: F.size(row) == F.col("__wide"))
         cells = F.when(square & even_cells(F.flatten(grid), config.flatten_newlines), F.col(grid)).otherwise(cells)
-    out = out.withColumn(grid, once(F.when(F.col("__wide") > 0, F.filter(cells, lambda row: F.exists(row, lambda c: c != ""))).otherwise(F.array().cast("array<array<string>>"))))
-    kept = F.filter(F.sequence(F.lit(0), F.greatest(F.col("__wide") - 1, F.lit(0))), lambda c: F.exists(grid, lambda row: F.get(row, c) != ""))
-    out = out.withColumn("__kept", once(kept))
+    out = out.withColumn(grid, once(F.when(F.col("__wide") > 0, cells).otherwise(F.array().cast("array<array<string>>"))))
+    # a table without an empty cell loses no row and no column, one with a row without an empty cell no column
+    out = out.withColumn("__full", once(~F.array_contains(F.flatten(grid), "")))
+    out = out.withColumn(grid, once(F.when(F.col("__full"), F.col(grid)).otherwise(F.filter(grid, lambda row: F.array_join(row, "") != ""))))
+    every = F.sequence(F.lit(0), F.greatest(F.col("__wide") - 1, F.lit(0)))
+    even_top = F.col("__full") | F.coalesce(~F.array_contains(F.get(grid, F.lit(0)), ""), F.lit(False))
+    out = out.withColumn("__kept", once(F.when(even_top, every).otherwise(F.filter(every, lambda c: F.exists(grid, lambda row: F.get(row, c) != "")))))
     narrower = F.transform(grid, lambda row: F.transform("__kept", lambda c: F.get(row, c)))
     out = out.withColumn(grid, once(F.when(F.size("__kept") == F.col("__wide"), F.col(grid)).otherwise(narrower)))
-    return out.withColumns({"n_rows": F.size(grid), "n_cols": F.when(F.size(grid) > 0, F.size("__kept")).otherwise(0)}).drop("__wide", "__kept")
+    return out.withColumns({"n_rows": F.size(grid), "n_cols": F.when(F.size(grid) > 0, F.size("__kept")).otherwise(0)}).drop("__wide", "__full", "__kept")
 
 
 def score(df: DataFrame, grid: str = "grid") -> DataFrame:
     """Adds score and details to cleaned tables: filled, textual, long and many-line cells, evenness of rows, and size."""
-    flat = F.flatten(grid)
-    filled = F.transform(grid, lambda row: F.size(F.filter(row, lambda c: c != "")))
-    out = df.withColumns({"__flat": F.filter(flat, lambda c: c != ""), "__rows": filled, "__all": (F.col("n_rows") * F.col("n_cols")).cast("double")})
+    out = df.withColumns({"__flat": once(F.array_remove(F.flatten(grid), "")), "__all": (F.col("n_rows") * F.col("n_cols")).cast("double")})
+    out = out.withColumn("__joined", once(F.array_join("__flat", "\x1f")))
+    # one search over all cells tells most tables: only others are counted cell by cell
+    full = F.size("__flat") == F.col("__all")
+    out = out.withColumn("__rows", once(F.when(~full, F.transform(grid, lambda row: F.size(F.array_remove(row, ""))))))
     share = {
         "fill": F.size("__flat"),
-        "text": F.size(F.filter("__flat", lambda c: c.rlike(TEXTUAL))),
+        "text": F.when(F.col("__joined").rlike(BARE), F.size(F.filter("__flat", lambda c: c.rlike(TEXTUAL)))).otherwise(F.size("__flat")),
         "long": F.size(F.filter("__flat", lambda c: F.length(c) >= LONG)),
-        "lines": F.size(F.filter("__flat", lambda c: c.contains("\n"))),
+        "lines": F.when(F.col("__joined").contains("\n"), F.size(F.filter("__flat", lambda c: c.contains("\n")))).otherwise(0),
     }
     out = out.withColumns({f"__{k}": n / F.greatest("__all", F.lit(1.0)) for k, n in share.items()})
     mean = F.aggregate("__rows", F.lit(0.0), lambda s, n: s + n) / F.greatest("n_rows", F.lit(1))
     out = out.withColumn("__mean", mean)
     spread = F.sqrt(F.aggregate("__rows", F.lit(0.0), lambda s, n: s + (n - F.col("__mean")) * (n - F.col("__mean"))) / F.greatest("n_rows", F.lit(1)))
-    out = out.withColumn("__stable", 1 / (1 + spread))
+    out = out.withColumn("__stable", F.when(full, 1.0).otherwise(1 / (1 + spread)))
     tiny = F.when((F.col("n_rows") < 2) | (F.col("n_cols") < 2), 1.0).otherwise(0.0)
     total = sum((F.col(f"__{k}") * WEIGHTS[k] for k in ("fill", "text", "long", "lines", "stable")), F.lit(0.0)) + F.log1p("__all") * WEIGHTS["size"] + tiny * WEIGHTS["tiny"]
     empty = F.col("__all") == 0
     details = F.format_string("r=%d,c=%d,fill=%.2f,text=%.2f,multi=%.2f,stable=%.2f,score=%.2f", "n_rows", "n_cols", "__fill", "__text", "__lines", "__stable", "score")
     out = out.withColumn("score", once(F.when(empty, F.lit(EMPTY)).otherwise(total))).withColumn("details", F.when(empty, F.lit("empty")).otherwise(details))
-    return out.drop("__flat", "__rows", "__all", "__mean", "__stable", *(f"__{k}" for k in share))
+    return out.drop("__flat", "__joined", "__rows", "__all", "__mean", "__stable", *(f"__{k}" for k in share))
 
 
 def in_order() -> list[Column]:

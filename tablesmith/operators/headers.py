@@ -190,23 +190,47 @@ def kept_columns(grid: Column, start_row: Column, sample: int = 12) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(F.get(grid, F.lit(0))) - 1), lambda c: F.exists(rows, lambda r: F.get(r, c) != ""))
 
 
+def _window_points(row: Column, start: Column, base: Column) -> Column:
+    """What the six cells from start say, added to the points of how many are filled: 10 at most."""
+    cell: Callable[[int], Column] = lambda k: F.get(row, start + k)
+    return (
+        base
+        + F.when(cell(0).rlike("(?iu)(alternative|varistor|object|part)"), 2).otherwise(0)
+        + F.when(cell(3).contains(":") | cell(3).contains("\n"), 1).otherwise(0)
+        + F.when(cell(4).rlike(STANDARDS), 3).otherwise(0)
+        + F.when(cell(5).rlike(MARKS), 4).otherwise(0)
+    )
+
+
 def six_window(row: Column) -> Column:
     """Where the best six neighbouring cells of a row begin, null if none reaches 6 points; the first of equals."""
+    # a row without an empty cell has six filled ones everywhere
+    full = F.coalesce(~F.array_contains(row, ""), F.lit(False))
+
+    def filled(start: Column) -> Column:
+        return F.when(full, 12).otherwise(let(F.size(F.filter(F.slice(row, start + 1, 6), lambda c: c != "")), lambda n: 2 * n - F.when(n < 4, 6).otherwise(0)))
+
+    def step(best: Column, start: Column) -> Column:
+        # what cells say adds 10 at most: places that cannot win are not read
+        better = lambda p: F.when(p > best["points"], F.named_struct(F.lit("points"), p, F.lit("at"), start)).otherwise(best)
+        return let(filled(start), lambda base: F.when(base + 10 > best["points"], let(_window_points(row, start, base), better)).otherwise(best))
+
+    none = F.struct(F.lit(5).alias("points"), F.lit(None).cast("int").alias("at"))
+    return F.when(F.size(row) >= 6, F.aggregate(F.sequence(F.lit(0), F.size(row) - 6), none, step, lambda b: b["at"]))
+
+
+def six_window_flat(row: Column, places: int = 8) -> Column:
+    """``six_window`` of a row that is a column of its own, in generated code: the first ``places`` starts are compared one by one, a wider row is folded."""
+    full = F.coalesce(~F.array_contains(row, ""), F.lit(False))
+
+    def points(s: int) -> Column:
+        n = sum((F.when(F.get(row, F.lit(s + k)) != "", 1).otherwise(0) for k in range(6)), F.lit(0))
+        return _window_points(row, F.lit(s), F.when(full, 12).otherwise(2 * n - F.when(n < 4, 6).otherwise(0)))
 
-    def points(start: Column) -> Column:
-        cell: Callable[[int], Column] = lambda k: F.get(row, start + k)
-        filled = let(F.size(F.filter(F.slice(row, start + 1, 6), lambda c: c != "")), lambda n: 2 * n - F.when(n < 4, 6).otherwise(0))
-        return (
-            filled
-            + F.when(cell(0).rlike("(?iu)(alternative|varistor|object|part)"), 2).otherwise(0)
-            + F.when(cell(3).contains(":") | cell(3).contains("\n"), 1).otherwise(0)
-            + F.when(cell(4).rlike(STANDARDS), 3).otherwise(0)
-            + F.when(cell(5).rlike(MARKS), 4).otherwise(0)
-        )
-
-    places = F.sequence(F.lit(0), F.greatest(F.size(row) - 6, F.lit(0)))
-    best = F.array_max(F.transform(places, lambda s: F.struct(points(s).alias("points"), (-s).alias("back"))))
-    return let(best, lambda b: F.when((F.size(row) >= 6) & (b["points"] >= 6), (-b["back"]).cast("int")))
+    # points and start in one number: of equal points the first start is the greatest
+    best = F.greatest(*(F.when(F.size(row) >= s + 6, points(s) * 65536 - s) for s in range(places)))
+    near = F.when(best > 5 * 65536, F.negative(best).bitwiseAND(F.lit(65535)).cast("int"))
+    return F.when(F.size(row) > places + 5, six_window(row)).otherwise(near)
 
 
 def describe(candidates: DataFrame, templates: bool = True, searched: bool = True, broad: bool = True) -> DataFrame:

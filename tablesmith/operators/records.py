@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MARKS, STANDARDS, key_is, let, match_key, normalize_cell, once, strip, technical_units
 from ..schemas import TARGET_FIELDS
-from .headers import six_window
+from .headers import six_window, six_window_flat
 
 # What a row that is a section title looks like.
 SECTION = r"(?U)^[A-Za-z][A-Za-z0-9 /+\-.,&()]+:\s*$"
@@ -47,7 +47,11 @@ def section_title(row: Column) -> Column:
 
 def valid(f: Column) -> Column:
     """Four fields at least, and a standard, a mark or technical data."""
-    return (filled(f) >= 4) & (F.get(f, F.lit(4)).rlike(STANDARDS) | F.get(f, F.lit(5)).rlike(MARKS) | (F.get(f, F.lit(3)) != ""))
+    return (filled(f) >= 4) & _telling(f)
+
+
+def _telling(f: Column) -> Column:
+    return (F.get(f, F.lit(3)) != "") | F.get(f, F.lit(4)).rlike(STANDARDS) | F.get(f, F.lit(5)).rlike(MARKS)
 
 
 def noise(f: Column) -> Column:
@@ -138,12 +142,23 @@ def table_points(score: Column, records: Column, n_cols: Column) -> Column:
 
 def window_records(grid: Column) -> Column:
     """Valid records from the best six neighbouring cells of each row."""
-    rows = F.transform(grid, lambda r, i: F.struct(i.alias("row"), r.alias("cells"), six_window(r).alias("at")))
+    # a valid record has four fields: a row with fewer filled cells gives none
+    rows = F.transform(grid, lambda r, i: F.struct(i.alias("row"), r.alias("cells"), F.when(F.size(F.array_remove(r, "")) >= 4, six_window(r)).alias("at")))
     cut = lambda r: F.transform(F.slice(r["cells"], r["at"] + 1, 6), lambda c, k: F.when(k == 3, technical_units(normalize_cell(c))).otherwise(c))
     found = F.transform(F.filter(rows, lambda r: r["at"].isNotNull()), lambda r: as_record(r["row"], F.lit(None), F.lit(None), cut(r)))
     return F.filter(found, lambda r: valid(r["f"]))
 
 
+def window_rows(tables: DataFrame, *keys: str) -> DataFrame:
+    """``window_records`` as rows (keys, row, f): a table's rows stand alone, so all is generated code and no table is searched by interpreted functions."""
+    rows = tables.select(*keys, F.posexplode("grid").alias("row", "cells")).where(F.size(F.array_remove("cells", "")) >= 4)
+    rows = rows.withColumn("__at", once(six_window_flat(F.col("cells")))).where("__at is not null")
+    cell = lambda k: F.get("cells", F.col("__at") + k)
+    rows = rows.withColumn("__data", once(normalize_cell(cell(3)))).withColumn("f", once(F.array(*(technical_units("__data") if k == 3 else cell(k) for k in range(6)))))
+    n = sum((F.when(F.get("f", F.lit(k)) != "", 1).otherwise(0) for k in range(6)), F.lit(0))
+    return rows.where((n >= 4) & _telling(F.col("f"))).select(*keys, "row", "f")
+
+
 def exploded(tables: DataFrame, records: str = "records") -> DataFrame:
     """One row a record with the target columns, doc_id and phase, seq and ord kept for ordering."""
     out = tables.withColumn("__r", once(records)).select("doc_id", "phase", "seq", "page", "table_index", "engine", F.posexplode("__r").alias("at", "r"))

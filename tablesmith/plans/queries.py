@@ -458,9 +458,8 @@ def window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         return [F.lit("x"), name, whole(maker), whole(kind), whole(F.concat(size, F.lit(": x"))), whole(F.lit("EN 1")), whole(F.lit("CE")), F.lit("y")]
 
     found = grid.select(placed_tables(spark, sf_dir, [], row), Config(min_score=-100.0))
-    rows = found.select("doc_id", F.explode(records.window_records(F.col("grid"))).alias("r"))
-    r = F.col("r")
-    return rows.select("doc_id", r["row"].alias("row_index"), *(F.get(r["f"], F.lit(k)).alias(n) for k, n in enumerate(TARGET_FIELDS)))
+    rows = records.window_rows(found, "doc_id")
+    return rows.select("doc_id", F.col("row").alias("row_index"), *(F.get("f", F.lit(k)).alias(n) for k, n in enumerate(TARGET_FIELDS)))
 
 
 def placed_pages(spark: SparkSession, sf_dir: str, each: int, pages: Callable[[Column, Column], Column]) -> DataFrame:

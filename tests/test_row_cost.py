@@ -172,3 +172,73 @@ def test_a_models_table_is_read_once(spark):
     for r in frame.select("c", text.loose_text("c").alias("n")).collect():
         lines = r.c.replace("\r\n", "\n").replace("\r", "\n").replace("，", ",").split("\n")
         assert r.n == "\n".join(re.sub("[ \t　]+", " ", line).strip() for line in lines).strip(), repr(r.c)
+
+
+def test_tokens_are_found_as_by_the_plain_patterns(spark):
+    plain = {text.STANDARDS: r"(?iU)\b(IEC|EN|UL|ASTM|ISO|DIN|JIS|GB)\b", text.MARKS: r"(?iU)\b(UL|VDE|TUV|CSA|CQC|CE|ENEC|E\d{2,})\b"}
+    ends = ["EC 1", "SO", "N", "B", "IS", "L-", "E", "12", "DE", "IN", "STM", " EN", "xEN"]
+    rows = spark.createDataFrame([(chr(n) + e,) for n in range(1, 0xD800) for e in ends[: 13 if n < 0x250 or n > 0x2100 and n < 0x2200 else 1]], "c string")
+    for new, old in plain.items():
+        assert new != old and rows.where(F.col("c").rlike(new) != F.col("c").rlike(old)).count() == 0
+
+
+def plain_window(row):
+    import re
+
+    best = None
+    for s in range(len(row) - 5):
+        c = row[s : s + 6]
+        n = sum(bool(x) for x in c)
+        has = lambda x, p: x is not None and re.search(p, x, re.I)
+        p = 2 * n - (6 if n < 4 else 0) + (2 if has(c[0], "alternative|varistor|object|part") else 0) + (1 if has(c[3], "[:\n]") else 0) + (3 if has(c[4], r"\b(IEC|EN|UL)\b") else 0) + (4 if has(c[5], r"\b(UL|CE)\b") else 0)
+        if p >= 6 and (best is None or p > best[0]):
+            best = (p, s)
+    return best and best[1]
+
+
+def test_windows_of_exploded_rows_are_those_of_whole_tables(spark):
+    from tablesmith.operators import records as r
+
+    rng = random.Random(3)
+    cells = ["", "", "x", "Part 1", "5 A: 2", "a\nb", "EN 1", "CE", "UL", "y"]
+    tables = [[[rng.choice([*cells, None] if k % 5 == 0 else cells) for _ in range(wide)] for _ in range(3)] for k in range(300) for wide in [rng.choice([3, 6, 7, 8, 13, 14, 20])]]
+    tables += [[["x", "Part 1", "m", "t", "5 mm2", "EN 1", "CE", "y"]]]
+    frame = spark.createDataFrame(list(enumerate(tables)), "doc_id int, grid array<array<string>>")
+    at = frame.select("doc_id", F.transform("grid", headers.six_window).alias("a"), F.posexplode("grid").alias("row", "cells")).select("doc_id", "row", F.get("a", "row").alias("a"), headers.six_window_flat(F.col("cells")).alias("b")).collect()
+    for x in at:
+        assert x.a == x.b == plain_window(tables[x.doc_id][x.row]), tables[x.doc_id][x.row]
+    whole = frame.select("doc_id", F.explode(r.window_records(F.col("grid"))).alias("r")).select("doc_id", "r.row", "r.f").collect()
+    assert sorted(map(str, r.window_rows(frame, "doc_id").collect())) == sorted(map(str, whole)) and len(whole) > 50
+    assert whole[-1].f == ["Part 1", "m", "t", "5 mm²", "EN 1", "CE"]
+
+
+def test_tables_are_scored_by_one_search_as_cell_by_cell(spark):
+    import math
+    import re
+
+    from tablesmith.operators import grid
+
+    assert "exists" not in said(text.even_cells(F.col("c")))
+    rng = random.Random(5)
+    cells = ["a", "7", "²", "-", "--\x1f-", "a\x1f-", "-\x1fa", "a\nb", "é" * 25, "x" * 24, " pad ", "", "", None, "①"]
+    pools = [cells, ["a", "7"], ["a", ""], ["-", "a"], ["a\x1f-", "b"], [""]]
+    tables = [[[rng.choice(pool) for _ in range(rng.choice([wide, wide, wide - 1]))] for _ in range(rng.randrange(5))] for _ in range(300) for pool in [rng.choice(pools)] for wide in [rng.randrange(1, 5)]]
+    frame = spark.createDataFrame(list(enumerate(tables)), "doc_id int, grid array<array<string>>")
+    for x in grid.score(grid.clean(frame)).collect():
+        wide = max(map(len, tables[x.doc_id]), default=0)
+        rows = [[plain_cell(c) for c in [*row, *[None] * (wide - len(row))]] for row in tables[x.doc_id]]
+        rows = [row for row in rows if any(row)]
+        kept = [k for k in range(wide) if any(row[k] for row in rows)]
+        rows = [[row[k] for k in kept] for row in rows]
+        assert (x.grid, x.n_rows, x.n_cols) == (rows, len(rows), len(kept) if rows else 0)
+        flat, n = [c for row in rows for c in row if c], len(rows) * len(kept)
+        if n:
+            full = [sum(map(bool, row)) for row in rows]
+            spread = math.sqrt(sum((f - sum(full) / len(rows)) ** 2 for f in full) / len(rows))
+            textual = sum(bool(re.search("[^\\W_]|[²①]", c)) for c in flat)
+            want = (35 * len(flat) + 20 * textual + 8 * sum(len(c) >= 25 for c in flat) + 7 * sum("\n" in c for c in flat)) / n + 15 / (1 + spread) + 3 * math.log1p(n) - 20 * (len(rows) < 2 or len(kept) < 2)
+            assert abs(x.score - want) < 1e-9, tables[x.doc_id]
+
+
+def plain_cell(c):
+    return "\n".join(line.strip() for line in (c or "").split("\n")).strip()
