@@ -242,3 +242,40 @@ def test_tables_are_scored_by_one_search_as_cell_by_cell(spark):
 
 def plain_cell(c):
     return "\n".join(line.strip() for line in (c or "").split("\n")).strip()
+
+
+def test_tables_without_a_headers_letters_are_not_searched(spark):
+    head = ["Object / part No.", "Manufacturer / trademark", "Type / model", "Technical data", "Standard", "Mark(s) of conformity"]
+    cut = [[h[: k + 2] for k, h in enumerate(head)], [h[k + 2 :] for k, h in enumerate(head)]]
+    plain = [["Part 1", "Supplier 2", "R-1", "5 mm²", "EN 1", "CE"]]
+    marks = ["TABLE : x", "LIST-OF com\npressor", "Critical componentſ information", "Critical components inFORMation", "Compressor  list", "table", "tab le:", "İTABLE:"]
+    tables = [[head, *plain], [*cut, *plain], plain, [["OB", "ject part no"]], [[""]], *([[m, *[""] * 5], *rows] for m in marks for rows in ([head, *plain], plain))]
+    frame = spark.createDataFrame(list(enumerate(tables)), "k int, grid array<array<string>>")
+    for broad in (True, False):
+        found = headers.describe(frame, templates=False, broad=broad)
+        norms = F.transform(F.slice("grid", 1, 12), lambda r: F.transform(r, text.match_key))
+        whole = F.array_join(F.flatten("grid"), " ")
+        ordered, strict = headers.ordered_header(F.col("n")), headers.strict_header(F.col("n"))
+        want = frame.withColumn("n", norms).select("k", F.coalesce(ordered, strict).alias("best"), headers.kind_of(text.match_key(whole)).alias("kind"), (text.match_key(whole).contains("table") & whole.rlike(r"(?iU)\btable\s*:")).alias("has_marker"))
+        got = found.select("k", "best", "kind", "has_marker")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert got.where("best is not null").count() == 2 + len(marks) and got.where("kind is not null").count() >= 6
+        assert "Contains(__low" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_without_blanks_pass_the_tests_of_titles_and_rests_at_once(spark):
+    from tablesmith.operators import records as r
+
+    cells = ["", " ", "　", "x", " x", "é", "Relay:", " Relay: ", "alternative", " Remark a", "remark b ", "No.", "Object part no", None]
+    rows = spark.createDataFrame([([a, b, c],) for a in cells for b in cells for c in ("", "y")], "c array<string>")
+    some = F.filter(F.transform("c", text.strip), lambda c: c != "")
+    one = rows.select("c", some.alias("s"), r.section_title(F.col("c")).alias("t"), r.wrapped(F.col("c")).alias("w"), r.noise(F.concat("c", F.array(*[F.lit("")] * 3))).alias("n"), (text.strip(F.get("c", F.lit(0))) == "").alias("blank")).collect()
+    for x in one:
+        assert x.t is None or len(x.s) == 1 and x.t == x.s[0]
+        if len(x.s) == 1 and x.s[0] == "Relay:":
+            assert x.t == "Relay:"
+        rest = (x.c[0] or "").lower() == "alternative" and sum(c is not None and c != "" for c in x.c[1:]) <= 1
+        assert x.w == (None if x.c[0] is None and not rest else x.blank or rest), x.c
+        if None not in x.c:
+            assert x.n == (x.c[0].strip().lower().startswith("remark") or x.c[0] == "Object part no" or x.c[0] == "No." and not any(c.strip() for c in x.c[1:])), x.c
+    assert said(r.wrapped(F.col("c"))).count("<") > 1
