@@ -118,13 +118,13 @@ def split_styles_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(_file(F.col("path")).alias("file"), _part_of(4).cast("bigint").alias("p_partkey"), nth.cast("bigint").alias("nth"), said.alias("looks"))
 
 
-def _table_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All order tables as sheets of 50 workbooks."""
+def _table_books(spark: SparkSession, sf_dir: str, **wanted: object) -> DataFrame:
+    """All order tables as sheets of 50 workbooks, and the lines of those that are ``wanted``."""
     tables = order_tables(spark, sf_dir).withColumn("doc_id", (F.col("arrival_seq") % 50).cast("string"))
     found = grid.select(tables.withColumn("table_index", F.col("arrival_seq").cast("int")), Config(min_score=-100.0, dedup=False))
     to = folder(spark, "tables")
     out.save_books(sheets.table_books(found, F.concat(F.lit("d"), F.col("doc_id"), F.lit(".xlsx"))), to)
-    return read_lines(spark, to)
+    return read_lines(spark, to, **wanted)
 
 
 _CELLS = "list_filter(['Part ' || l_partkey, 'Supplier ' || l_suppkey, l_returnflag || '-' || l_linenumber, CASE WHEN wide = 1 THEN CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_quantity AS INTEGER) || ' mm2' ELSE '' END END, 'CE' || chr(10) || l_linestatus], lambda v: v IS NOT NULL)"
@@ -134,7 +134,7 @@ _NUMBERED = f"(SELECT l_orderkey % 50 AS doc, l_orderkey, wide, row_number() OVE
 @query(f"SELECT 'd' || doc || '.xlsx' AS file, left('T' || k || '_pdfplumber_lines_p' || (l_orderkey % 50 + 1), 31) AS sheet, CAST(k AS INTEGER) AS sheet_index, CAST(r AS INTEGER) AS row_index, array_to_string(cells, '|') AS cells, 30.0 AS height FROM {_NUMBERED}")
 def book_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of every table, with its height, in the sheet that its document's order gives it."""
-    rows = _table_books(spark, sf_dir).where((F.col("sheet") != sheets.SUMMARY_SHEET) & (F.col("row_index") > 1))
+    rows = _table_books(spark, sf_dir, without=[sheets.SUMMARY_SHEET]).where((F.col("sheet") != sheets.SUMMARY_SHEET) & (F.col("row_index") > 1))
     return rows.select(_file(F.col("path")).alias("file"), "sheet", "sheet_index", "row_index", F.array_join("values", "|").alias("cells"), "height")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_cell
+from ..functions.text import even_cells, normalize_cell, once
 from ..sources.books import FORMAT, FORMAT_FIELDS
 
 # Sheet names and limits.
@@ -21,10 +21,10 @@ NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 
 
 def with_sheet_names(candidates: DataFrame) -> DataFrame:
-    """Adds sheet: a name for each table of a document in its order, at most 31 characters."""
-    number = F.row_number().over(W.partitionBy("doc_id").orderBy("seq"))
-    name = F.concat(F.lit("T"), number.cast("string"), F.lit("_"), F.col("engine"), F.lit("_p"), F.col("page").cast("string"))
-    return candidates.withColumn("sheet", F.substring(name, 1, NAME_LENGTH))
+    """Adds sheet_index and sheet: a number and a name, at most 31 characters, for each table of a document in its order."""
+    numbered = candidates.withColumn("sheet_index", F.row_number().over(W.partitionBy("doc_id").orderBy("seq")).cast("int"))
+    name = F.concat(F.lit("T"), F.col("sheet_index").cast("string"), F.lit("_"), F.col("engine"), F.lit("_p"), F.col("page").cast("string"))
+    return numbered.withColumn("sheet", F.substring(name, 1, NAME_LENGTH))
 
 
 def summary(named: DataFrame) -> DataFrame:
@@ -41,6 +41,16 @@ def lines_of(value: Column) -> Column:
     return F.split(F.coalesce(value, F.lit("")), "\n", -1)
 
 
+def line_count(value: Column) -> Column:
+    """How many lines a text has; most have one, and are not split."""
+    return F.when(value.contains("\n"), F.size(lines_of(value))).otherwise(1)
+
+
+def longest_line(value: Column) -> Column:
+    """The length of a text's longest line."""
+    return F.when(value.contains("\n"), F.array_max(F.transform(lines_of(value), F.length))).otherwise(F.length(F.coalesce(value, F.lit(""))))
+
+
 def column_widths(df: DataFrame) -> DataFrame:
     """One row with each column's width: its longest line, header included, plus 2, from 12 to 60."""
     longest = lambda c: F.array_max(F.transform(lines_of(F.col(f"`{c}`")), F.length))
@@ -88,7 +98,7 @@ def _alike(values: Column, what: object) -> Column:
 
 def height_of(values: Column) -> Column:
     """:func:`row_height` of an array of cells."""
-    most = F.array_max(F.transform(values, lambda v: F.size(lines_of(v))))
+    most = F.array_max(F.transform(values, line_count))
     return F.least(F.greatest(F.coalesce(most, F.lit(1)), F.lit(1)) * LINE_HEIGHT, F.lit(MOST_HEIGHT)).cast("double")
 
 
@@ -100,27 +110,32 @@ def table_books(candidates: DataFrame, output: Column) -> DataFrame:
     as high as their lines. A table is one row until its lines are laid out; no document is held. A table without a row has its header alone. A
     document without a table has no workbook.
     """
-    named = with_sheet_names(candidates).withColumn("output", output).withColumn("sheet_index", F.row_number().over(W.partitionBy("doc_id").orderBy("seq")).cast("int"))
+    named = with_sheet_names(candidates).withColumn("output", output)
     body = F.transform("grid", lambda r: F.transform(r, lambda v: normalize_cell(v)))
-    named = named.withColumn("grid", body).withColumn("head", F.transform(F.sequence(F.lit(1), F.greatest("n_cols", F.lit(1))), lambda k: F.concat(F.lit("col_"), k.cast("string"))))
-    longest = lambda k: F.array_max(F.transform("grid", lambda r: F.array_max(F.transform(lines_of(F.get(r, k)), F.length))))
+    named = named.withColumn("grid", once(F.when(even_cells(F.flatten("grid")), F.col("grid")).otherwise(body)))
+    named = named.withColumn("head", once(F.transform(F.sequence(F.lit(1), F.greatest("n_cols", F.lit(1))), lambda k: F.concat(F.lit("col_"), k.cast("string")))))
+    longest = lambda k: F.array_max(F.transform("grid", lambda r: longest_line(F.get(r, k))))
     widths = F.transform("head", lambda h, k: F.least(F.lit(MOST_WIDTH), F.greatest(F.lit(LEAST_WIDTH), F.greatest(F.length(h), F.coalesce(longest(k), F.lit(0))) + 2)).cast("double"))
-    first = F.when(F.col("sheet_index") == 1, formats())
-    zero = _lines(named, widths=widths, formats=first)
-    head = _lines(named, row_index=F.lit(1), values=F.col("head"), kinds=_alike(F.col("head"), "s"), styles=_alike(F.col("head"), HEAD_LOOK))
-    rows = named.select("output", "sheet_index", "sheet", F.posexplode("grid").alias("at", "r"))
-    rows = _lines(rows, row_index=F.col("at") + 2, height=height_of(F.col("r")), values=F.col("r"), kinds=_alike(F.col("r"), "s"), styles=_alike(F.col("r"), BODY_LOOK))
-    # the summary's lines come after all sheets
-    last = F.lit(2**31 - 1)
     cells = {"sheet": F.col("sheet"), "engine": F.col("engine"), "page": F.col("page"), "table_index_on_page": F.col("table_index"), "rows": F.col("n_rows"), "cols": F.col("n_cols"), "score": F.round("score", 2), "details": F.col("details")}
-    plain = named.select("output", last.alias("sheet_index"), F.lit(SUMMARY_SHEET).alias("sheet"), (F.col("sheet_index") + 1).alias("at"), *(c.alias(f"__{n}") for n, c in cells.items()))
     names = list(cells)
-    kinds = F.array(*(F.lit("s" if n in ("sheet", "engine", "details") else "n") for n in names))
-    values = F.array(*(F.col(f"__{n}").cast("string") for n in names))
-    there = _lines(plain, row_index=F.col("at"), values=values, kinds=F.transform(kinds, lambda k, i: F.when(F.get(values, i).isNull(), "-").otherwise(k)), styles=F.array_repeat(F.lit(PLAIN_LOOK), len(names)))
-    one = plain.where("at = 2")
-    top = _lines(one, row_index=F.lit(1), values=F.array(*(F.lit(n) for n in names)), kinds=F.array_repeat(F.lit("s"), len(names)), styles=F.array_repeat(F.lit(SUMMARY_LOOK), len(names)))
-    return zero.union(head).union(rows).union(_lines(one)).union(top).union(there)
+    # all lines of a table are made from it at once: of the sheet itself, its header and its rows, then its line of the summary;
+    # a document's first table adds the summary sheet and its header
+    none = F.array().cast("array<string>")
+    said = F.array(*(c.cast("string") for c in cells.values()))
+    lines = F.concat(F.array(none), F.array("head"), F.coalesce("grid", F.array().cast("array<array<string>>")), F.array(said), F.when(F.col("sheet_index") == 1, F.array(none, F.array(*map(F.lit, names)))).otherwise(F.array().cast("array<array<string>>")))
+    every = named.select("output", "sheet_index", "sheet", once(widths).alias("widths"), F.coalesce(F.size("grid"), F.lit(0)).alias("n"), F.posexplode(lines).alias("at", "values"))
+    body, listed = (F.col("at") > 1) & (F.col("at") < F.col("n") + 2), F.col("at") - F.col("n") - 2  # listed: 0 is the line of the summary, 1 its sheet, 2 its header
+    of_sheet = listed < 0
+    alike = lambda what: F.array_repeat(F.lit(what), F.size("values"))
+    kinds = F.array(*(F.when(F.get("values", F.lit(k)).isNull(), "-").otherwise("s" if n in ("sheet", "engine", "details") else "n") for k, n in enumerate(names)))
+    look = F.when(body, BODY_LOOK).when(F.col("at") == 1, HEAD_LOOK).when(listed == 2, SUMMARY_LOOK).otherwise(PLAIN_LOOK)
+    # the summary's lines come after all sheets
+    return _lines(
+        every, sheet_index=F.when(of_sheet, F.col("sheet_index")).otherwise(2**31 - 1), sheet=F.when(of_sheet, F.col("sheet")).otherwise(SUMMARY_SHEET),
+        row_index=F.when(of_sheet, F.col("at")).when(listed == 0, F.col("sheet_index") + 1).otherwise((listed == 2).cast("int")), height=F.when(body, height_of(F.col("values"))),
+        values=F.col("values"), kinds=F.when(listed == 0, kinds).otherwise(alike("s")), styles=F.array_repeat(look, F.size("values")),
+        widths=F.when(F.col("at") == 0, F.col("widths")), formats=F.when((F.col("at") == 0) & (F.col("sheet_index") == 1), formats()),
+    )
 
 
 def record_books(df: DataFrame, output: Column, order: list[Column], sheet: str = TARGET_SHEET, widths: tuple[int, ...] | None = None, listing: bool = False) -> DataFrame:
@@ -139,7 +154,7 @@ def record_books(df: DataFrame, output: Column, order: list[Column], sheet: str
     rows = rows.select(F.col("__output").alias("output"), F.col("__values").alias("values"), number.alias("n"))
     rows = rows.withColumn("sheet_index", (F.floor(F.col("n") / per) + 1).cast("int"))
     rows = rows.withColumn("sheet", F.when(F.col("sheet_index") == 1, sheet).otherwise(F.concat(F.lit(sheet), F.lit(" "), F.col("sheet_index").cast("string"))))
-    longest = [F.max(F.array_max(F.transform(lines_of(F.get("values", F.lit(k))), F.length))) for k in range(len(names))]
+    longest = [F.max(longest_line(F.get("values", F.lit(k)))) for k in range(len(names))]
     wide = F.array(*(F.least(F.greatest(w + 2, F.lit(max(len(c) + 2, LEAST_WIDTH))), F.lit(MOST_WIDTH)).cast("double") for c, w in zip(names, longest, strict=True)))
     given = F.array(*(F.lit(float(w)) for w in widths)) if widths else None
     sizes = rows.groupBy("output").agg((given if widths else wide).alias("w"))

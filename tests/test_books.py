@@ -180,3 +180,72 @@ def test_records_go_on_in_further_sheets(spark, tmp_path, monkeypatch):
     assert [r["height"] for r in rows if r["sheet_index"] == 2 and r["row_index"] > 1] == [15.0, 30.0, 30.0] and rows[0]["widths"] == [12.0, 12.0]
     books.save_books(sheets.record_books(df.limit(0), F.lit("e.xlsx"), [F.col("n")]), str(tmp_path / "none"))
     assert read_lines(spark, str(tmp_path), "e.xlsx").count() == 0
+
+
+def test_elements_made_at_once_are_those_made_one_by_one():
+    import pyarrow as pa
+
+    rows = [(1, None, ["a&<b>\n\"'", None, "7", "", "1", "#N/A", "x"], ["s", "-", "n", "s", "b", "e", "-"], [0, 3, 2, 0, 0, 1, 0]), (3, 20.5, [], [], []), (12, 15.0, ["ü"] * 30, ["s"] * 30, [2] * 30), (13, 1234567.0, [None], ["s"], [0])]
+
+    def batch(rows):
+        number, height, values, kinds, styles = map(list, zip(*rows, strict=True))
+        return pa.record_batch({"row_index": pa.array(number, pa.int32()), "height": pa.array(height, pa.float64()), "values": pa.array(values, pa.list_(pa.string())), "kinds": pa.array(kinds, pa.list_(pa.string())), "styles": pa.array(styles, pa.list_(pa.int32()))})
+
+    part, held = books.SheetPart(io.BytesIO(), [], False, False), []
+    part._put = held.append
+    for r in rows:
+        part.line(*r)
+    assert books.marked_rows(batch(rows)) == (held, [len(r[2]) for r in rows])
+    assert books.marked_rows(batch(rows).slice(2)) == (held[2:], [30, 1])
+    for values, kinds, styles in ((["=A1"], ["f"], [0]), (["\x01"], ["s"], [0]), (["a", "b"], ["s"], [0]), (None, None, None)):
+        assert books.marked_rows(batch([*rows, (14, None, values, kinds, styles)])) is None
+
+
+def test_plain_sheets_are_read_as_the_parser_reads_them(monkeypatch):
+    from tablesmith.sources import books as source
+
+    texts = [["a", "", " x\n y ", "ü"], ["7"]]
+    plain = [line(1, "s", 0, widths=[3.5, None, 7.0]), *(line(1, "s", k + 1, t, styles=[0, 2, 0, 1][: len(t)], kinds=["s"] * len(t), height=20.5 if k else None) for k, t in enumerate(texts))]
+    odd = {"gap": ["a", None, "c"], "reference": ["a&b"], "return": ["a\rb"], "number": ["7"]}
+    data = {"plain": book(*plain), **{k: book(*plain, line(1, "s", 9, v, kinds=["n"] if k == "number" else ["s" if x else "-" for x in v])) for k, v in odd.items()}}
+    edits = {"spans": (b'<row r="2"', b'<row spans="1:4" r="2"'), "comment": (b"<sheetData>", b"<sheetData><!-- <row r='5'></row> -->"), "hidden": (b'<col min="1"', b'<col hidden="1" min="1"')}
+    for k, (old, new) in edits.items():
+        parts, out = content_of(data["plain"]), io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n, c in parts.items():
+                z.writestr(n, c.replace(old, new))
+        data[k] = out.getvalue()
+    real, met = source.plain_lines, []
+    monkeypatch.setattr(source, "plain_lines", lambda *a: met.append(real(*a)) or met[-1])
+    quick = {(k, last): [f.fields() for f in lines_of(io.BytesIO(d), last_row=last)] for k, d in data.items() for last in (None, 1, 0)}
+    assert len(met[0]) == 3 and len(met[1]) == 2 and len(met[2]) == 1 and not any(met[3::3])
+    monkeypatch.setattr(source, "SMALL_PART", -1)
+    for (k, last), found in quick.items():
+        assert found == [f.fields() for f in lines_of(io.BytesIO(data[k]), last_row=last)], k
+    two = book(line(1, "s", 1, ["a"]), line(2, "t", 1, ["b"]))
+    assert [f.sheet for f in lines_of(io.BytesIO(two), without=frozenset("s"))] == ["t", "t"]
+
+
+def test_tables_become_lines_in_one_pass(spark):
+    rows = [("d", k, "e", 1, k, g, len(g), len(g[0]) if g else 0, 1.5, "x") for k, g in ((4, [["a", "b\ncc"], ["", "d"]]), (7, []))]
+    found = spark.createDataFrame(rows, "doc_id string, seq int, engine string, page int, table_index int, grid array<array<string>>, n_rows int, n_cols int, score double, details string")
+    lines = sheets.table_books(found, F.concat("doc_id", F.lit(".xlsx")))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.count("Window [") == 1
+    got = [(r["sheet"], r["row_index"], r["height"], r["values"], "".join(r["kinds"]), r["styles"], r["widths"], r["formats"] is not None) for r in lines.orderBy("sheet_index", "row_index").collect()]
+    first, second = "T1_e_p1", "T2_e_p1"
+    head = ["sheet", "engine", "page", "table_index_on_page", "rows", "cols", "score", "details"]
+    assert got == [
+        (first, 0, None, [], "", [], [12.0, 12.0], True), (first, 1, None, ["col_1", "col_2"], "ss", [1, 1], None, False), (first, 2, 30.0, ["a", "b\ncc"], "ss", [2, 2], None, False), (first, 3, 15.0, ["", "d"], "ss", [2, 2], None, False),
+        (second, 0, None, [], "", [], [12.0], False), (second, 1, None, ["col_1"], "s", [1], None, False),
+        ("SUMMARY", 0, None, [], "", [], None, False), ("SUMMARY", 1, None, head, "s" * 8, [4] * 8, None, False),
+        ("SUMMARY", 2, None, [first, "e", "1", "4", "2", "2", "1.5", "x"], "ssnnnnns", [0] * 8, None, False), ("SUMMARY", 3, None, [second, "e", "1", "7", "0", "0", "1.5", "x"], "ssnnnnns", [0] * 8, None, False),
+    ]
+
+
+def test_workbooks_are_written_in_small_batches(spark, tmp_path, monkeypatch):
+    seen, before = [], spark.conf.get(books.BATCH_ROWS)
+    monkeypatch.setattr(books.BookSink, "name", classmethod(lambda cls: seen.append(spark.conf.get(books.BATCH_ROWS)) or "books_out"))
+    books.save_books(lines_frame(spark, [("a.xlsx", line(1, "s", 0)), ("a.xlsx", line(1, "s", 1, ["x"]))]), str(tmp_path))
+    assert spark.conf.get(books.BATCH_ROWS) == before and int(before) > books.ROWS_AT_ONCE
+    assert read_lines(spark, str(tmp_path)).count() == 2
