@@ -148,7 +148,7 @@ def book_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT 'd' || (l_orderkey % 50) || '.xlsx' AS file, CAST(1 + count(*) OVER (PARTITION BY l_orderkey % 50) AS INTEGER) AS sheet_index, CAST(row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_orderkey) + 1 AS INTEGER) AS row_index, left('T' || row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_orderkey) || '_pdfplumber_lines_p' || (l_orderkey % 50 + 1), 31) AS sheet, CAST(n AS VARCHAR) AS rows, CAST(cols AS VARCHAR) AS cols, 'ssnnnnns' AS kinds FROM (SELECT l_orderkey, n, 4 + wide AS cols FROM {SCORED.replace('4 + wide AS cols, filled,', 'wide, filled,')})")
 def book_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary sheet of every workbook, the last of its sheets: one row a table, numbers as numbers."""
-    rows = _table_books(spark, sf_dir).where((F.col("sheet") == sheets.SUMMARY_SHEET) & (F.col("row_index") > 1))
+    rows = _table_books(spark, sf_dir, sheets=[sheets.SUMMARY_SHEET]).where((F.col("sheet") == sheets.SUMMARY_SHEET) & (F.col("row_index") > 1))
     return rows.select(_file(F.col("path")).alias("file"), "sheet_index", "row_index", _part_of(0).alias("sheet"), _part_of(4).alias("rows"), _part_of(5).alias("cols"), F.array_join("kinds", "").alias("kinds"))
 
 
