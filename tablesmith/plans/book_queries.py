@@ -141,7 +141,7 @@ def book_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT 'd' || doc || '.xlsx' AS file, CAST(k AS INTEGER) AS sheet_index, array_to_string(list_transform(range(1, len(longest) + 1), lambda i: least(60, greatest(12, greatest(longest[i], length('col_' || i)) + 2))), ',') AS widths FROM (SELECT doc, k, [max(length(cells[1])), max(length(cells[2])), max(length(cells[3]))] || CASE WHEN any_value(wide) = 1 THEN [max(length(cells[4]))] ELSE [] END || [2] AS longest FROM {_NUMBERED} GROUP BY doc, k)")
 def book_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Widths of every sheet's columns as they stand in the file."""
-    rows = _table_books(spark, sf_dir).where((F.col("sheet") != sheets.SUMMARY_SHEET) & (F.col("row_index") == 0))
+    rows = _table_books(spark, sf_dir, without=[sheets.SUMMARY_SHEET], last_row=0).where((F.col("sheet") != sheets.SUMMARY_SHEET) & (F.col("row_index") == 0))
     return rows.select(_file(F.col("path")).alias("file"), "sheet_index", F.array_join(F.transform("widths", lambda w: w.cast("int").cast("string")), ",").alias("widths"))
 
 
