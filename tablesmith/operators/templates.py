@@ -82,13 +82,15 @@ def product_family(tables: DataFrame) -> DataFrame:
     named = F.get(F.filter(F.when(F.col("header").contains(PRODUCT_TEXT) & (F.size("grid") > 1), heads), lambda h: h["at"] > 0), F.lit(0))
     cells = cells.withColumn("__named", named)
     cells = cells.withColumn("__model", F.nullif(F.get(F.get("grid", F.col("__named.row") + 1), F.col("__named.at") - 1), F.lit("")))
-    pages = cells.groupBy("doc_id", "page").agg(F.bool_or(F.col("own").isNotNull()).alias("headed"), F.count("*").alias("tables"), F.max("n_cols").alias("wide"), F.max_by("__model", F.when(F.col("__model").isNotNull(), F.col("seq"))).alias("model"))
-    order = doc.orderBy("page")
-    lone = ~F.col("headed") & (F.col("tables") == 1) & (F.col("wide") == len(SIX_HINTS)) & (F.lag("page").over(order) == F.col("page") - 1)
-    pages = pages.withColumn("__carries", F.coalesce(lone, F.lit(False)))
-    pages = pages.withColumn("__island", F.sum((~F.col("__carries")).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    pages = pages.withColumns({"target": F.first("headed").over(W.partitionBy("doc_id", "__island").orderBy("page")), "model": F.coalesce(F.last("model", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(""))})
-    found = cells.join(pages.where("target").select("doc_id", "page", "headed", F.col("model").alias("__product")), ["doc_id", "page"])
+    # what a page says is told by windows over its tables, what pages before it say by windows over those of lesser number: tables of a
+    # document stay together and meet no others
+    page, order = W.partitionBy("doc_id", "page"), doc.orderBy("page")
+    so_far, before = order.rangeBetween(W.unboundedPreceding, 0), order.rangeBetween(W.unboundedPreceding, -1)
+    cells = cells.withColumns({"headed": F.bool_or(F.col("own").isNotNull()).over(page), "__tables": F.count("*").over(page), "__wide": F.max("n_cols").over(page), "__said": F.max_by("__model", F.when(F.col("__model").isNotNull(), F.col("seq"))).over(page)})
+    cells = cells.withColumns({"__before": F.max("page").over(before), "__product": F.coalesce(F.last("__said", ignorenulls=True).over(so_far), F.lit(""))})
+    carries = F.coalesce(~F.col("headed") & (F.col("__tables") == 1) & (F.col("__wide") == len(SIX_HINTS)) & (F.col("__before") == F.col("page") - 1), F.lit(False))
+    # a page that carries is a target where the last page that does not is one
+    found = cells.withColumn("__target", F.last(F.when(~carries, F.col("headed")), ignorenulls=True).over(so_far)).where("__target")
     plain = F.struct(F.lit(0).alias("start_row"), F.sequence(F.lit(0), F.lit(len(SIX_HINTS) - 1)).alias("mapping"))
     rows = rows_under(found, SIX_HINTS, F.when(F.col("headed"), F.col("own")).otherwise(plain))
     v = F.col("v")
