@@ -81,3 +81,57 @@ def test_a_sheet_in_memory_is_a_block(tmp_path):
     finally:
         books.ElementTree.iterparse = restore
     assert len(most) == 20_000 and max(most) < 5000  # the parser reads blocks of 64 KB
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_tables_of_a_document_are_shuffled_by_it_once_at_most(spark):
+    from tablesmith import scratch
+    from tablesmith.operators import templates
+
+    schema = "doc_id string, engine string, page int, table_index int, arrival_seq long, grid array<array<string>>"
+    tables = spark.createDataFrame([(f"d{k % 7}", "e", k, 1, k, [["a", "b"], ["c", f"{k}"]]) for k in range(40)], schema)
+    together = tables.groupBy("doc_id").agg(F.collect_list("grid").alias("g")).select("doc_id", F.lit("e").alias("engine"), F.lit(1).alias("page"), F.lit(1).alias("table_index"), F.lit(1).alias("arrival_seq"), F.explode("g").alias("grid"))
+    assert _shuffles(grid.select(together, Config(min_score=-100.0))) == 1
+    found = scratch.written(grid.select(tables, Config(min_score=-100.0)), "candidates").withColumn("compacts", F.col("grid")).withColumn("header", F.lit("productinformationformodel"))
+    assert _shuffles(templates.product_family(found)) == 0
+    assert spark.catalog.listTables() == []
+
+
+def test_written_tables_join_as_they_lie(spark):
+    from tablesmith import scratch
+
+    before = {k: spark.conf.get(k) for k in scratch.WRITING}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(500).select(F.concat(F.lit("d"), F.col("id") % 9).alias("doc_id"), (F.col("id") % 20).alias("seq"), "id")
+        one, two = scratch.written(rows, "one"), scratch.written(rows.where("id < 100"), "two")
+        both = one.join(two.withColumnRenamed("id", "other"), ["doc_id", "seq"])
+        spark.conf.set(scratch.ALL_KEYS, "false")
+        assert _shuffles(both) == 0 and both.count() == rows.join(rows.where("id < 100").withColumnRenamed("id", "other"), ["doc_id", "seq"]).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set(scratch.ALL_KEYS, before[scratch.ALL_KEYS])
+    assert {k: spark.conf.get(k) for k in scratch.WRITING} == before
+    assert scratch.written(rows.drop("doc_id"), "plain").count() == 500
+
+
+def test_the_first_of_equal_shapes_stays_whatever_is_missing(spark):
+    rows = [("d", p, n, 2, s, k) for k, (p, n, s) in enumerate([(1, 2, 5.0), (1, 2, 7.0), (1, 2, 7.0), (None, 2, 1.0), (None, 2, 2.0), (1, 3, 0.0), (2, 2, 9.0)])] + [("e", 1, 2, 2, 1.0, 9)]
+    found = spark.createDataFrame(rows, "doc_id string, page int, n_rows int, n_cols int, score double, arrival_seq int")
+    assert sorted(r.arrival_seq for r in grid.deduplicate(found).collect()) == [1, 4, 5, 6, 9]
+
+
+def test_documents_that_the_first_engine_reads_are_not_tried_again(spark, monkeypatch):
+    from tablesmith.operators import phases
+
+    head = ["Object / part No.", "Manufacturer / trademark", "Type / model", "Technical data", "Standard", "Mark(s) of conformity"]
+    table = lambda name: [head, [name, "S", "A-1", "5 mm2", "EN 60335-1", "CE"]]
+    schema = "doc_id string, engine string, page int, table_index int, arrival_seq long, grid array<array<string>>"
+    tables = spark.createDataFrame([("a", "pdfplumber_x", 1, 1, 1, table("one")), ("a", "other", 1, 2, 2, table("two")), ("b", "other", 1, 1, 1, table("three")), ("c", "pdfplumber_x", 1, 1, 1, [["x"]])], schema)
+    seen, real = [], phases.extract
+    monkeypatch.setattr(phases, "extract", lambda t, c: seen.append(sorted({r.doc_id for r in t.select("doc_id").collect()})) or real(t, c))
+    got = sorted((r.doc_id, r.object_part_no, r.attempt) for r in phases.extract_with_retry(tables).collect())
+    assert got == [("a", "one", 0), ("b", "three", 1)] and seen == [["a", "c"], ["b", "c"]]
